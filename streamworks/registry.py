@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def queries():
-    return {}
+MODULES = ("trace_queries",)
 
 
-def oracle_sql():
-    return {}
+def _all(name: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= getattr(import_module(f"streamworks.jobs.{module}"), name)
+    return out
+
+
+def queries() -> dict:
+    return _all("Q")
+
+
+def oracle_sql() -> dict:
+    return _all("S")

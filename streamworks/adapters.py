@@ -58,7 +58,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     return e.select(
         (F.col("user_id") % 8).alias("ssrc"),
-        (i * 10 + 80 * F.col("late") + F.signum("late").cast("long")).alias("arrival"),
+        (i * 10 + 10 * F.col("late") + F.signum("late").cast("long")).alias("arrival"),
         "ts",
         (((i / 8).cast("long") * 97) % 65536).cast("int").alias("seq"),
         (i * 160 % 4294967296).alias("rtp_ts"),
@@ -75,7 +75,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PACKET_SQL = """packet AS (
-  SELECT user_id % 8 AS ssrc, event_id * 10 + 80 * late + sign(late)::BIGINT AS arrival, ts, CAST(((event_id // 8) * 97) % 65536 AS INTEGER) AS seq,
+  SELECT user_id % 8 AS ssrc, event_id * 10 + 10 * late + sign(late)::BIGINT AS arrival, ts, CAST(((event_id // 8) * 97) % 65536 AS INTEGER) AS seq,
     event_id * 160 % 4294967296 AS rtp_ts, CASE WHEN event_type = 'error' THEN 13 ELSE 96 END AS pt, event_type = 'purchase' AS marker,
     event_id % 5 = 0 AS has_ext, CAST(event_id % 3 AS INTEGER) AS cc, CAST(round(value) AS INTEGER) + 12 AS length,
     CASE WHEN event_id % 997 = 0 THEN 'out' ELSE 'in' END AS direction,

@@ -149,17 +149,17 @@ class Field:
         alone = self.emit[0, 0] + np.minimum((self.move[:, :1] - self.move[:, 1:]).min(axis=0), (self.move[:1] - self.move[1:]).min(axis=1)) - self.emit[0, 1:]
         return bool(gain.min() > 0 and alone.min() > 0 and (self.emit[0, 0] > self.emit[0, 1:]).all())
 
-    def decode(self, runs: list[list[str]], bordered: bool = True) -> list[list[int]]:
-        """The best labels of each run of words. ``bordered``: "other" stands on both sides."""
+    def decode(self, runs: list[list[str]]) -> list[list[int]]:
+        """The best labels of each run of words, with "other" on both sides: a plain word's, or the end of the text."""
         out: list[list[int]] = [[]] * len(runs)
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         for i in range(0, len(order), 512):
             part = order[i : i + 512]
-            for k, labels in zip(part, self._batch([runs[k] for k in part], bordered), strict=True):
+            for k, labels in zip(part, self._batch([runs[k] for k in part]), strict=True):
                 out[k] = labels
         return out
 
-    def _batch(self, runs: list[list[str]], bordered: bool) -> list[list[int]]:
+    def _batch(self, runs: list[list[str]]) -> list[list[int]]:
         lengths = np.array([len(r) for r in runs])
         most = int(lengths.max(initial=0))
         if not most:
@@ -168,9 +168,8 @@ class Field:
         for i, run in enumerate(runs):
             for t, w in enumerate(run):
                 scores[i, t] = self.emit[list(word_features(w))].sum(axis=0)
-        if bordered:
-            scores[:, 0] += self.move[0]
-            scores[np.arange(len(runs)), np.maximum(lengths - 1, 0)] += self.move[:, 0]
+        scores[:, 0] += self.move[0]
+        scores[np.arange(len(runs)), np.maximum(lengths - 1, 0)] += self.move[:, 0]
         best, back = scores[:, 0], np.zeros((len(runs), most, STATES), np.int8)
         for t in range(1, most):
             through = best[:, :, None] + self.move[None]
@@ -186,7 +185,7 @@ class Field:
 
 def train(rows=LABELLED, steps: int = 300, rate: float = 0.1, penalty: float = 0.02) -> Field:
     """Maximum likelihood with a quadratic penalty, by Adam over all sentences at once."""
-    data = labelled_sentences(rows)
+    data = [(["", *words, ""], [0, *labels, 0]) for words, labels in labelled_sentences(rows)]  # an end counts as a plain word
     n, most = len(data), max(len(w) for w, _ in data)
     x, y = np.zeros((n, most, WIDTH)), np.zeros((n, most), int)
     lengths = np.array([len(w) for w, _ in data])
@@ -280,7 +279,7 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
                 places.append(run)
                 runs.append([text[a:b] for a, b in run])
     out: list[list[Span]] = [[] for _ in texts]
-    for i, run, labels in zip(owner, places, field.decode(runs, bordered=easy), strict=True):
+    for i, run, labels in zip(owner, places, field.decode(runs), strict=True):
         text, t = texts[i], 0
         while t < len(run):
             label, u = labels[t], t + 1

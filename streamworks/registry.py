@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("trace_queries", "packet_queries", "signal_queries")
+MODULES = ("trace_queries", "packet_queries", "signal_queries", "media_queries", "stream_queries")
 
 
 def _all(name: str) -> dict:

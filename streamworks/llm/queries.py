@@ -145,5 +145,30 @@ SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_char
 """
 
 
+def _op7_sql(threshold: float = 0.8) -> str:
+    """All windows against all templates by exact containment, without bands and without the filter on words."""
+    own = {name: license.words_of(t) for name, t in license.TEMPLATES.items()}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(
+        f"({quoted(name)}, {license.size_class(len(w))}, {len(w)}, [{', '.join(map(quoted, license.shingles_of(w)))}])" for name, w in own.items()
+    )
+    k = license.SHINGLE
+    return f"""
+WITH t(template, size, n_words, own) AS (VALUES {values}),
+d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, {quoted(license.EDGES)}, '', 'g')), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, size, unnest(range(0, greatest(0, len(w) - 1 - size) + 1, size)) AS start FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) > 0),
+v AS (SELECT doc_id, size, start, w[start + 1 : start + 2 * size] AS w FROM s),
+g AS (SELECT doc_id, size, start, list_transform(range(1, greatest(1, len(w) - {k - 1}) + 1), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) AS sh FROM v),
+m AS (SELECT doc_id, template, n_words, start, own, sh, len(list_intersect(own, sh)) / len(own) AS containment FROM g JOIN t USING (size) WHERE list_has_any(own, sh)),
+p AS (SELECT DISTINCT doc_id, template, n_words, containment,
+    start + list_min(list_filter(range(len(sh)), lambda i: list_contains(own, sh[i + 1]))) AS start_word,
+    start + list_max(list_filter(range(len(sh)), lambda i: list_contains(own, sh[i + 1]))) + least({k}, n_words) AS end_word FROM m WHERE containment >= {threshold} - 1e-9),
+n AS (SELECT *, coalesce(max(end_word) OVER (PARTITION BY doc_id ORDER BY start_word, end_word, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) <= start_word AS new FROM p),
+r AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY start_word, end_word, template ROWS UNBOUNDED PRECEDING) AS run FROM n),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY containment DESC, n_words DESC, start_word, template DESC) AS best FROM r)
+SELECT doc_id, template, CAST(start_word AS INTEGER) AS start_word, CAST(end_word AS INTEGER) AS end_word, containment FROM b WHERE best = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_chat": OP6_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_chat": OP6_SQL, "op7_license": _op7_sql()}

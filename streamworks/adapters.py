@@ -44,7 +44,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SYMBOL_SQL = """symbol AS (
-  SELECT CASE WHEN n_nationkey < 7 THEN n_nationkey ELSE n_nationkey + 93 END AS addr,
+  SELECT CAST(CASE WHEN n_nationkey < 7 THEN n_nationkey ELSE n_nationkey + 93 END AS BIGINT) AS addr,
     CASE WHEN n_nationkey % 3 = 0 THEN 'sys/heap_wrap' || n_nationkey || '.c' ELSE 'app/mod' || (n_nationkey % 4) || '/f' || n_nationkey || '.c' END AS path,
     CAST(n_nationkey * 10 AS INTEGER) AS line FROM nation)"""
 

@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..adapters import TRACE_SQL, packets, table, trace_events, with_sql
+from ..adapters import MEDIA_SQL, TRACE_SQL, media_frames, packets, table, trace_events, with_sql
 from ..operators import packets as P
+from ..operators import quality as V
 from ..sources import files, tags, trace_log
 from ..streaming import streams as R
 from .packet_queries import AUTH, PACKET_SQL, status_sql
 from .signal_queries import R as ROUND
-from .signal_queries import measured, rounded
+from .signal_queries import GRID, RATES, measured, rounded
 
 Q, S = {}, {}
 
@@ -185,3 +186,21 @@ def s7(spark, d):
     i = F.col("event_id")
     payload = F.unhex(F.concat(F.lit("80"), F.lpad(F.hex(i % 128), 2, "0"), F.lit("0001"), F.lpad(F.hex(i % 4294967296), 8, "0"), F.lit("00000001")))
     return P.decode_rtp_header(table(spark, d, "events").select(payload.alias("payload"))).groupBy("pt").agg(F.count("*").alias("n"))
+
+
+@query("s5_write_slices", with_sql(MEDIA_SQL) + ", m AS (SELECT 'f' || (CAST(substr(file_id, 2) AS BIGINT) % 16) AS f, * FROM media) SELECT f AS file_id, 'slice_' || CAST((pts - min(pts) OVER (PARTITION BY f)) // 1000 AS BIGINT) AS slice, size, pts FROM m")
+def s5(spark, d):
+    m = media_frames(spark, d)
+    m = m.withColumn("file_id", F.concat(F.lit("f"), F.substring("file_id", 2, 20).cast("long") % 16))
+    place = f"{folder(spark)}/slices"
+    files.write_slices(m, place, 1000)
+    return spark.read.parquet(place).select("file_id", "slice", "size", "pts")
+
+
+@query("s6_write_matrix", with_sql(GRID) + ", g AS (SELECT DISTINCT bits, unnest([8000, 11025, 16000, 22050, 44100])::INTEGER AS src_rate FROM measured)\nSELECT g.bits, 'thd' AS metric, g.src_rate, " + ", ".join(f"coalesce(printf('%.2f', max(floor(thd_db * 4) / 4) FILTER (dst_rate = {r})), '') AS r{r}" for r in RATES) + " FROM g LEFT JOIN measured USING (bits, src_rate) GROUP BY 1, 2, 3")
+def s6(spark, d):
+    long = measured(spark, d).select("bits", F.lit("thd").alias("metric"), "src_rate", "dst_rate", (F.floor(F.col("thd_db") * 4) / 4).alias("value"))  # quarters print alike everywhere
+    place = f"{folder(spark)}/matrix"
+    files.write_matrix(V.metric_matrix(long, RATES), place)
+    schema = "src_rate int, " + ", ".join(f"r{r} string" for r in RATES) + ", bits int, metric string"
+    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(place).na.fill("")

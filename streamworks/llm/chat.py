@@ -1,9 +1,9 @@
 """Chat formatting: records of any known layout become turns, and turns one reversible training text.
 
-Layouts are recognised by their schema, not by trial: each record (a JSON text) is parsed as a variant, the paths of
-its nested fields are listed and hashed, and the fingerprint picks a declarative ``Mapping`` from a registry: which field is the
+Layouts are recognised by their schema, not by trial: the paths of a record's nested fields (those of a JSON text, or the fields of
+a struct that aren't null) are listed and hashed, and the fingerprint picks a declarative ``Mapping`` from a registry: which field is the
 list of turns or, without one, which fields are single turns of which role. A record of an unknown fingerprint gives no
-turns and says so (``layout`` null).
+turns and says so (``layout`` null). Spark's JSON functions read texts of up to 20 million characters; structs have no such limit.
 
 The template marks a turn ``[INST]...[/INST]`` for the user, ``[SYS]...[/SYS]`` for the system, ``<s>...</s>`` for
 the assistant and ``[ROLE]name[TEXT]...[/ROLE]`` for any other role. Control strings inside texts and role names get a backslash
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Opening and closing control strings by role.
 MARKS = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("<s>", "</s>")}
@@ -82,35 +83,56 @@ def field_paths(record: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(names, below)))
 
 
-def schema_fingerprint(record: Column) -> Column:
-    return F.xxhash64(F.array_join(field_paths(record), "\n"))
+def struct_paths(record: Column, schema: T.StructType) -> Column:
+    """The same for a struct: the fields of its schema that aren't null in the row."""
+    paths = []
+    for f in schema:
+        inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
+        own = [f.name, *(f"{f.name}[].{g.name}" for g in (inner.fields if isinstance(inner, T.StructType) else []))]
+        paths.append(F.when(record[f.name].isNotNull(), F.array(*[F.lit(p) for p in own])).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.concat(*paths)) if paths else F.array().cast("array<string>")
+
+
+def schema_fingerprint(record: Column, schema: T.StructType | None = None) -> Column:
+    return F.xxhash64(F.array_join(struct_paths(record, schema) if schema else field_paths(record), "\n"))
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _listed_turns(record: Column, m: Mapping) -> Column:
-    listed = F.from_json(record, f"struct<`{m.turns}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>")[m.turns]
+def _listed_turns(listed: Column, m: Mapping) -> Column:
     if not m.roles:
         return F.transform(listed, lambda t: _turn(t[m.role], t[m.text]))
     known = F.create_map(*[F.lit(x) for p in m.roles for x in p])
     return F.transform(listed, lambda t: _turn(F.coalesce(F.try_element_at(known, t[m.role]), t[m.role]), t[m.text]))
 
 
-def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[Column, Column]:
-    """(layout, turns) of a JSON record: the mapping's name, and array<struct<role, text>>."""
-    own = schema_fingerprint(record)
+def _mapped(record: Column, m: Mapping, schema: T.StructType | None) -> Column | None:
+    """The turns by one mapping; None if a struct's schema can't have them."""
+    if schema and not {p.partition("[")[0] for p in m.paths} <= set(schema.names):
+        return None
+    if m.turns:
+        if schema:
+            inner = getattr(schema[m.turns].dataType, "elementType", None)
+            if not isinstance(inner, T.StructType) or not {m.role, m.text} <= set(inner.names):
+                return None
+            return _listed_turns(record[m.turns], m)
+        kind = f"struct<`{m.turns}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
+        return _listed_turns(F.from_json(record, kind)[m.turns], m)
+    each = record if schema else F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in m.single) + ">")
+    return F.filter(F.array(*[_turn(F.lit(r), each[p].cast("string")) for r, p in m.single]), lambda t: (t["role"] != "system") | (t["text"] != ""))
+
+
+def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None) -> tuple[Column, Column]:
+    """(layout, turns) of a record: the mapping's name, and array<struct<role, text>>. With a ``schema`` the record is a struct, else JSON text."""
+    own = schema_fingerprint(record, schema)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-
     for m in reversed(mappings):
-        if m.turns:
-            found = _listed_turns(record, m)
-        else:
-            each = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in m.single) + ">")
-            found = F.filter(F.array(*[_turn(F.lit(r), each[p]) for r, p in m.single]), lambda t: (t["role"] != "system") | (t["text"] != ""))
-        layout = F.when(own == m.fingerprint, F.lit(m.name)).otherwise(layout)
-        turns = F.when(own == m.fingerprint, found).otherwise(turns)
+        found = _mapped(record, m, schema)
+        if found is not None:
+            layout = F.when(own == m.fingerprint, F.lit(m.name)).otherwise(layout)
+            turns = F.when(own == m.fingerprint, found).otherwise(turns)
     return layout, turns
 
 
@@ -121,7 +143,7 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     )
     listed = rows.groupBy(F.col(id_col).alias(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     kept = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return listed.select(id_col, F.to_json(F.struct(kept.alias("conversation"))).alias("record"))
+    return listed.select(id_col, F.struct(kept.alias("conversation")).alias("record"))
 
 
 def format_turns(turns: Column) -> Column:
@@ -165,7 +187,8 @@ def loss_text(formatted: Column) -> Column:
 
 def format_conversations(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout`` and ``formatted`` (null for an unknown layout)."""
-    layout, turns = canonical_turns(F.col(record_col), mappings)
+    kind = records.schema[record_col].dataType
+    layout, turns = canonical_turns(F.col(record_col), mappings, kind if isinstance(kind, T.StructType) else None)
     return records.withColumn("layout", layout).withColumn("formatted", format_turns(turns))
 
 

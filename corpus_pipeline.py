@@ -38,11 +38,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one whose id names it. Rows of that id beyond the first go too."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+    """One document of each component of near duplicates: the least by id (null first), then by a hash of the text. Equal rows are one."""
+    key = free_name(docs, "near_key")
+    own = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("k")))
+    found = simhash.near_duplicates(own, id_col=key)
+    kept = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(f"{key}_kept")).distinct()
+    return own.join(kept, F.col(key) == F.col(f"{key}_kept"), "left_semi").dropDuplicates([key]).drop(key)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

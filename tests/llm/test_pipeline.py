@@ -44,6 +44,14 @@ def test_stages_equal_brute_force(spark, sf, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "pii", "best-fit packing"]
 
 
+def test_near_dedup_without_ids(spark, sf):
+    """Rows without ids are told apart by their texts; equal rows are one."""
+    words = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black"]
+    rows_ = [(None, words[0]), (None, words[1]), (None, words[1]), (3, words[2]), (3, words[2]), (4, words[2].upper()), (5, None), (6, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows_, "doc_id long, text string"), sf)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(None, words[0]), (None, words[1]), (3, words[2]), (5, None)]))
+
+
 def test_run_is_registered(spark, sf):
     assert "pipeline" in __spark_entry__.queries()
     got = corpus_pipeline.run(spark, sf)

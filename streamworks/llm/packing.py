@@ -16,9 +16,11 @@ equal lengths go by document and piece; an empty table gives an empty result. Ex
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,59 +28,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import cut_lineage, slices
 
 PIECES = "row long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkIds(dict):
-    """Ids of chunks of text (cut before single spaces), as little-endian 32-bit bytes, from the tokenizers library.
+#: Fixed value: how byte-level pre-tokenizers of this kind split a text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    A byte-level pre-tokenizer without a prefix space never joins a word to the space after it, so a text's ids are those
-    of its chunks in a row, unless a space stands inside a run of white space; chunks that could be part of such a run
-    have the value None. The store is emptied when it holds ``most`` chunks.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.most = most
+class TextIds:
+    """The ids that the tokenizers library gives for a byte-level file, by tiktoken's merges over the same vocabulary.
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    Both merge the earliest-listed pair first. tiktoken looks a merge up by the bytes it makes; that is the same merge, because a
+    token's bytes, once cut off from their neighbours, can only have been merged as in the list. It needs ids in the order of the list.
+    """
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        new = list(dict.fromkeys(c for c in chunks if c not in self))
-        if len(self) + len(new) > self.most:
-            self.clear()
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([" " + c for c in part], add_special_tokens=False)
-            for c, e in zip(part, found, strict=True):
-                self[c] = None if not c or c[0].isspace() else np.array(e.ids, "<u4").tobytes()
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        made = [vocab[m.replace(" ", "", 1) if isinstance(m, str) else "".join(m)] for m in spec["model"]["merges"]]
+        if made != sorted(made) or spec["model"].get("end_of_word_suffix") or spec.get("normalizer"):
+            raise ValueError("not a byte-level vocabulary in the order of its merges")
+        value = {c: b for b, c in enumerate(byte_chars())}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(value[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def of(self, text: str) -> bytes:
-        head, *chunks = text.split(" ")
-        if len(text) > 1_000_000 and len(chunks) < len(text) // 1000:
-            return self.ids(text).astype("<u4").tobytes()
-        try:
-            found = [self[c] for c in chunks]
-        except KeyError:
-            self.learn(chunks)
-            found = [self.get(c) for c in chunks]
-        if None in found:
-            return self.ids(text).astype("<u4").tobytes()
-        return (self.ids(head).astype("<u4").tobytes() if head else b"") + b"".join(found)
+        """Little-endian 32-bit ids; special tokens written in the text become their ids, as the library does by default."""
+        parts = self.cut_special.split(text) if self.cut_special and "<|" in text else [text]
+        return b"".join(np.array([self.special[p]] if i % 2 else self.encoding.encode_ordinary(p), "<u4").tobytes() for i, p in enumerate(parts))
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    """One store for each Python worker."""
-    return ChunkIds(path)
+def text_ids(path: str) -> TextIds:
+    """One for each Python worker."""
+    return TextIds(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -91,7 +82,7 @@ def tokenized(docs: DataFrame, text_col: str, row: Column, path: str, end_id: in
     """(row, piece, start, length, ids_crc32): a row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = chunk_ids(path)
+        store = text_ids(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
             out: list[tuple] = []

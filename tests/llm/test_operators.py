@@ -289,6 +289,17 @@ def test_chat_layouts(spark):
     assert {g.formatted for g in got if g.layout} == {"[INST]hi[/INST]<s>yo</s>"}
 
 
+def test_chat_structs_of_one_table(spark):
+    """Rows of several layouts in one wide struct; a text beyond what JSON functions read."""
+    kind = "record struct<prompt:string,completion:string,messages:array<struct<role:string,content:string>>,instruction:string>"
+    rows = [(("hi", "yo", None, None),), ((None, None, [("user", "hi"), ("assistant", "yo")], None),), ((None, None, None, "hi"),)]
+    got = chat.format_conversations(spark.createDataFrame(rows, kind)).select("layout", "formatted").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("prompt", "[INST]hi[/INST]<s>yo</s>"), ("messages", "[INST]hi[/INST]<s>yo</s>"), (None, None)]))
+    long = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("abcdefghij"), 2_500_000).alias("text"))
+    r = chat.turn_digests(chat.format_conversations(chat.records_of_rows(long))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (1, 25_000_000, hashlib.sha256(b"abcdefghij" * 2_500_000).hexdigest())
+
+
 # --- licences ------------------------------------------------------------------------------------------------------
 
 
@@ -405,10 +416,14 @@ def test_packing(spark, sf):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
-def test_chunks_equal_the_library():
-    store = packing.ChunkIds(tokenizer_path("byte_bpe_50k.json"), most=50)
-    for t in odd_texts(1500, 12):
-        assert np.frombuffer(store.of(t), "<u4").tolist() == store.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+def test_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    store, lib = packing.TextIds(path), Tokenizer.from_file(path)
+    long = ["a" * 3000, " " * 500 + "x", "the" * 1000, "\u3000\u00a0\x85\x1f \n", "".join(map(chr, range(1, 0x500))), "".join(map(chr, range(0x2000, 0x2200)))]
+    for t in [*odd_texts(3000, 12), *long]:
+        assert np.frombuffer(store.of(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 # --- SimHash -------------------------------------------------------------------------------------------------------

@@ -11,8 +11,8 @@ A cheap exact filter comes first: for each template some of its longest words, w
 shingles; a window without any of them can't match. Documents, then windows, without such a word are left out before any
 hashing.
 
-Only DataFrame functions are used. The templates are a parameter; the joined table of their bands is broadcast by Spark only
-if its size is below the session's limit.
+Only DataFrame functions are used. The templates are a parameter; the table of their bands is broadcast if it has at most
+``BROADCAST_ROWS`` rows, so the windows and their shingles are not shuffled; a larger one is joined by a shuffle.
 
 Defined results: null and empty texts have no matches; texts shorter than a window are one window; a template shorter than a shingle
 counts as one shingle; of matches in a document that overlap, directly or by others between them, the one of the greatest containment stays
@@ -47,6 +47,8 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 SHINGLE = 5
+#: Rows of templates' bands that are broadcast at most, about 100 bytes each and their shingles.
+BROADCAST_ROWS = 50_000
 EDGES = r"""^[\"'(\[{<*#!?.,;:$%&|]+|[\"')\]}>*#!?.,;:$%&|]+$"""
 
 
@@ -126,6 +128,9 @@ def scan(
     of_templates = banded(known.withColumnRenamed("shingles", "own").withColumn("shingles", F.col("own"))).select(
         "template", "n_words", "own", "size", "band", "value"
     )
+    # the templates' rows are counted here, on the driver; beyond the bound they are joined by a shuffle
+    if sum(bands(size_class(len(w)), threshold, recall) for w in listed.values()) <= BROADCAST_ROWS:
+        of_templates = F.broadcast(of_templates)
     hits = banded(windows).join(of_templates, ["size", "band", "value"])
     containment = F.size(F.array_intersect("own", "shingles")) / F.size("own")
     # a window and template meet in several bands: one row stays

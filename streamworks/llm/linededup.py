@@ -110,6 +110,7 @@ def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = runs(doubled(at, rounds), rounds, min_words)
     place = F.struct("d", "k", "q")
     firsts = found.groupBy("e", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("e", "a", "b", "first")
+    firsts = cut_lineage(firsts)  # read anew, the join below is one of two shuffled sides, whose hot keys Spark splits
     later = found.join(firsts, ["e", "a", "b"]).filter(place != F.col("first"))
     gone = later.select("d", "k", F.explode("qs").alias("q")).distinct()
     same = (gone["d"].eqNullSafe(at["d"])) & (gone["k"] == at["k"]) & (gone["q"] == at["q"])

@@ -191,3 +191,24 @@ def test_as_of_and_plans(spark):
     assert sorted((r.k, r.t, r.found_v) for r in as_of(left, right, ["k"], "t", ["v"]).collect() if r.found_v) == [("a", 5, 50)]
     plan = as_of(left, right, ["k"], "t", ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "SinglePartition" not in plan
+
+
+def test_signalled_epochs(spark):
+    """A signal far ahead is admitted and becomes the highest index, one far behind is rejected and changes nothing."""
+    rows = [(1, 0, 100, None), (1, 1, 200, 0), (1, 2, 50, 3), (1, 3, 51, None), (1, 4, 60, 1), (1, 5, 52, None)]
+    got = P.resync_epoch(spark.createDataFrame(rows, "ssrc long, arrival long, seq int, roc long")).orderBy("arrival").collect()
+    assert [(r["index"], r.epoch_status) for r in got] == [
+        (100, "ok"), (200, "ok"), (3 << 16 | 50, "pkt_idx_adv"), (3 << 16 | 51, "ok"), (1 << 16 | 60, "pkt_idx_old"), (3 << 16 | 52, "ok"),
+    ]
+
+
+def test_bilinear():
+    import numpy as np
+
+    from streamworks.operators.images import bilinear
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (8, 6, 3)).astype(np.uint8)
+    assert np.array_equal(bilinear(a, 6, 8), a)
+    half = a.reshape(4, 2, 3, 2, 3).astype(float).mean(axis=(1, 3))
+    assert np.abs(bilinear(a, 3, 4) - half).max() <= 0.5

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamworks.llm import linededup, packing, pii, quality, simhash
+from streamworks.llm import linededup, nearcopies, packing, pii, quality, simhash
 from streamworks.llm.common import free_name, table
 from streamworks.llm.queries import tokenizer_path
 
@@ -38,10 +38,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the least by id (null first), then by a hash of the text. Equal rows are one."""
+    """One document of each component of near duplicates: the least by id (null first), then by a hash of the text. Equal rows are one.
+
+    Two documents link at 4 or fewer bits of SimHash (as in op10) or at a five-word Jaccard similarity of 0.8 or more.
+    """
     key = free_name(docs, "near_key")
     own = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("k")))
-    found = simhash.near_duplicates(own, id_col=key)
+    found = nearcopies.merged(own, simhash.near_duplicates(own, id_col=key), key)
     kept = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(f"{key}_kept")).distinct()
     return own.join(kept, F.col(key) == F.col(f"{key}_kept"), "left_semi").dropDuplicates([key]).drop(key)
 

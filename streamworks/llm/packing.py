@@ -4,11 +4,11 @@ Tokens: ids of a byte-level BPE file as the tokenizers library gives them, then
 than the capacity is cut into pieces of exactly ``capacity`` tokens, counted from its end, so that only its first
 piece may be shorter.
 
-Packing is hierarchical. Each partition packs its pieces best-fit, longest first, and emits its nearly full bins
-(``slack`` or fewer tokens free) for good. An underfull bin becomes one item, as long as its fill, and goes up
-a tree: groups of ``fan_in`` partitions pack the items they receive best-fit again, and so on until one group
-is left. A bin travels as (fill, leaves with their shifts), never with its tokens, and shrinks in number at each level,
-because best fit leaves at most one bin of a group half empty.
+Packing has two levels. Each partition packs its pieces best-fit, longest first, in windows, and emits its nearly full bins
+(``slack`` or fewer tokens free) for good. The underfull bins of all partitions are items of the second level, as long as their fill.
+They are packed best-fit again, but as counts: there are fewer fills than ``capacity``, so the driver plans with the number of bins
+of each fill, and a plan's row places a numbered range of them. Tasks then number the bins of each fill and look their places up, row by row.
+So no task holds more than a window of pieces, whatever their lengths, and the plan's size doesn't depend on the table's.
 
 Defined results: null text is empty (one piece with ``end_id`` alone); repeated rows are packed as separate documents;
 equal lengths go by document and piece; an empty table gives an empty result. Extra columns are not looked at.
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import byte_chars
 from .common import cut_lineage, slices
@@ -122,12 +123,51 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-ITEM = "bin long, fill int, leaves array<struct<leaf:long,shift:int>>"
+#: Sequence ids of the second level begin here, above those of leaves.
+PLANNED = 1 << 62
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit, longest first, of ``counts`` items of each size: rows (size, item, bin, each, offset).
+
+    A row places the items of a size from number ``item`` on up to the next row's: ``each`` of them in a bin, one after the other from ``offset``, and on
+    with the next bin. Bins with equal contents are one range, so the rows grow with the number of sizes only.
+    """
+    rows, bins = [], 0
+    ranges: dict[int, list[tuple[int, int]]] = {}  # by free space: (first bin, number of bins)
+    spaces: list[int] = []
+
+    def add(free: int, first: int, n: int) -> None:
+        if n and free:
+            if free not in ranges:
+                insort(spaces, free)
+            ranges.setdefault(free, []).append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        item, left = 0, counts[size]
+        while left:
+            at = bisect_left(spaces, size)
+            if at < len(spaces):
+                free = spaces[at]
+                first, n = ranges[free].pop()
+                if not ranges[free]:
+                    del ranges[free]
+                    spaces.pop(at)
+            else:
+                free, first, n = capacity, bins, -(-left // (capacity // size))
+                bins += n
+            # the bin with the least space that fits stays it until the size fits no more
+            each = free // size
+            full = min(n, left // each)
+            over = min(left - full * each, each) if full < n else 0
+            rows.append((size, item, first, each, capacity - free))
+            add(free - each * size, first, full)
+            if over:
+                add(free - over * size, first + full, 1)
+            add(free, first + full + bool(over), n - full - bool(over))
+            item += full * each + over
+            left -= full * each + over
+    return rows
 
 
 def _pack_local(capacity: int, window: int):
@@ -161,49 +201,53 @@ def _pack_local(capacity: int, window: int):
     return run
 
 
-def _pack_items(capacity: int, slack: int, last: bool):
-    """Packs underfull bins as items. Kept items have done = false."""
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, fill) with the task and the row's number among those of its fill in the task."""
+    from pyspark import TaskContext
+
+    task, seen = TaskContext.get().partitionId(), {}
+    for b in batches:
+        fills = b.column("fill").to_numpy()
+        no = np.zeros(len(fills), np.int64)
+        order = np.argsort(fills, kind="stable")
+        kinds, starts, sizes = np.unique(fills[order], return_index=True, return_counts=True)
+        for fill, start, n in zip(kinds.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+            no[order[start : start + n]] = seen.get(fill, 0) + np.arange(n)
+            seen[fill] = seen.get(fill, 0) + n
+        yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("fill"), pa.array(np.full(len(fills), task, np.int32)), pa.array(no)], ["leaf", "fill", "task", "no"])
+
+
+def _place(rows: list[tuple[int, int, int, int, int]]):
+    """(leaf, fill, item) to (leaf, sequence_id, shift), by the plan."""
+    size, item, first, each, offset = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    # each size has its row of item 0; numbers of items are below 2^48
+    keys = (size << 48) + item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _whole(batches)
-        if t is None:
-            return
-        bins, offsets, fills = best_fit(t.column("fill").to_numpy(), capacity)
-        ids, leaves = t.column("bin").to_pylist(), t.column("leaves").to_pylist()
-        merged: list[list] = [[] for _ in fills]
-        name = [0] * len(fills)
-        for i, (b, off) in enumerate(zip(bins.tolist(), offsets.tolist(), strict=True)):
-            name[b] = ids[i]
-            merged[b] += [{"leaf": x["leaf"], "shift": x["shift"] + off} for x in leaves[i]]
-        done = [last or capacity - f <= slack for f in fills.tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(name, pa.int64()), pa.array(fills, pa.int32()), pa.array(merged, pa.list_(pa.struct([("leaf", pa.int64()), ("shift", pa.int32())]))), pa.array(done)],
-            ["bin", "fill", "leaves", "done"],
-        )
+        for b in batches:
+            fill, no = b.column("fill").to_numpy().astype(np.int64), b.column("item").to_numpy()
+            at = np.searchsorted(keys, (fill << 48) + no, side="right") - 1
+            nth = no - item[at]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("leaf"), pa.array(PLANNED + first[at] + nth // each[at]), pa.array(offset[at] + nth % each[at] * fill)], ["leaf", "sequence_id", "shift"]
+            )
 
     return run
 
 
 def best_fit_packing(pieces: DataFrame, capacity: int = 2048, slack: int = 16, fan_in: int = 8, window: int = 200_000) -> DataFrame:
-    """``pieces`` (row, piece, length and more) with sequence_id and offset."""
+    """``pieces`` (row, piece, length and more) with sequence_id and offset. The bins of ``fan_in`` partitions are numbered in one task."""
     local = cut_lineage(pieces.mapInArrow(_pack_local(capacity, window), f"{_ddl(pieces)}, leaf long, at long, fill long"))
-    under = local.filter(F.col("fill") < capacity - slack).select("leaf", F.col("fill").cast("int").alias("fill")).distinct()
-    item = F.array(F.struct(F.col("leaf").alias("leaf"), F.lit(0).alias("shift")))
-    waiting, packed = under.select(F.col("leaf").alias("bin"), "fill", item.alias("leaves")), []
+    under = local.filter(F.col("fill") < capacity - slack).select("leaf", "fill")
     groups = max(1, -(-local.rdd.getNumPartitions() // fan_in))
-    while True:
-        # ever fewer groups: the bins that a group could not fill meet those of other groups at the next level
-        step = cut_lineage(
-            waiting.repartition(groups, "bin").sortWithinPartitions("bin").mapInArrow(_pack_items(capacity, slack, groups == 1), f"{ITEM}, done boolean")
-        )
-        packed.append(step.filter("done"))
-        if groups == 1:
-            break
-        waiting, groups = step.filter("not done").select("bin", "fill", "leaves"), max(1, -(-groups // fan_in))
-    moved = packed[0]
-    for x in packed[1:]:
-        moved = moved.unionByName(x)
-    moved = moved.select(F.col("bin").alias("sequence_id"), F.explode("leaves").alias("l")).select("sequence_id", F.col("l.leaf").alias("leaf"), F.col("l.shift").alias("shift"))
+    numbered = cut_lineage(under.repartition(groups, "leaf").distinct().mapInArrow(_number, "leaf long, fill long, task int, no long"))
+    held = numbered.groupBy("fill", "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("fill").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select("fill", "task", before.alias("before"))
+    # at most as many rows as there are fills
+    rows = plan({r.fill: r.n for r in held.groupBy("fill").agg(F.sum("n").alias("n")).collect()}, capacity)
+    items = numbered.join(starts, ["fill", "task"]).select("leaf", "fill", (F.col("before") + F.col("no")).alias("item"))
+    moved = items.mapInArrow(_place(rows), "leaf long, sequence_id long, shift long")
     found = local.join(moved, "leaf", "left")
     return found.select(
         *pieces.columns, F.coalesce("sequence_id", "leaf").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset")

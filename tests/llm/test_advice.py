@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from streamworks.llm import packing
 
 from .test_operators import brute_simhash
 
@@ -34,3 +38,35 @@ def test_near_dedup_reaches_jaccard_of_four_fifths(spark, sf):
     # d + 1 and d + 2 go; d + 3 goes only where SimHash links it to one of the others
     want = {d for d in range(0, 600, 10)} | {d + 3 for d in range(0, 600, 10) if not any(near(d + 3, d + j) for j in range(3))}
     assert len(want) > 110 and sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_packing_plans_with_counts():
+    """A plan of ranges is best fit, and stays small for any number of bins."""
+    rng = random.Random(4)
+    for sizes in ([1, 2, 3, 50, 99, 100], range(1, 101), range(51, 90)):
+        counts = {s: rng.randint(1, 40) for s in sizes}
+        rows, fills = sorted(packing.plan(counts, 100)), {}
+        for k, (size, item, first, each, offset) in enumerate(rows):
+            end = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == size else counts[size]
+            for i in range(item, end):
+                fills.setdefault(first + (i - item) // each, []).append((offset + (i - item) % each * size, size))
+        for places in fills.values():
+            assert [o for o, _ in sorted(places)] == [0, *np.cumsum([n for _, n in sorted(places)])[:-1].tolist()] and sum(n for _, n in places) <= 100
+        _, _, want = packing.best_fit(np.array([s for s, n in counts.items() for _ in range(n)]), 100)
+        assert sorted(sum(n for _, n in p) for p in fills.values()) == sorted(want.tolist())
+    assert len(packing.plan({s: 10**7 + s for s in range(1, 2049)}, 2048)) < 20_000
+
+
+def test_packing_of_bins_that_do_not_merge(spark):
+    """Pieces over half of the capacity, which can't merge, and short ones that fill their gaps."""
+    pieces = spark.range(0, 6000, 1, 6).select(
+        F.col("id").alias("row"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        F.when(F.col("id") % 6 < 5, 1100 + F.col("id") % 800).otherwise(100 + F.col("id") % 50).alias("length"), F.lit(0).cast("long").alias("ids_crc32"),
+    )
+    bins = {}
+    for r in packing.best_fit_packing(pieces, fan_in=2).collect():
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == 6000 and len(bins) == 5000
+    for places in bins.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048

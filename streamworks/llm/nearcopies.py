@@ -23,6 +23,8 @@ from .common import cut_lineage, slices
 from .simhash import LOWER, SEED, WORD, components
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
+#: Texts in pairs that are broadcast at most, about 50 bytes each (node and key).
+BROADCAST_ROWS = 100_000
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -89,7 +91,10 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b): the components of the pairs (p, q, a, b) of nodes whose sets are near."""
         pairs = cut_lineage(pairs.distinct())
-        wanted = pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct().join(node.select("node", "key"), "node")
+        wanted = cut_lineage(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct().join(node.select("node", "key"), "node"))
+        # counted, so that the texts are not shuffled for few pairs; more than the bound are joined by a shuffle
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
         texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "key").select("node", "text")
         sets = cut_lineage(_sets(texts).dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select(F.col("node").alias("q"), F.col("hashes").alias("hq")), "q")

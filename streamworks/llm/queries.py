@@ -93,29 +93,27 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-#: Every run of up to min_words lines as text, grouped by equality: what the suffix array must agree with.
-OP4_SQL = f"""
-WITH RECURSIVE d AS (
+#: The rule: a line goes if a run of three words or more that holds it stands earlier too, apart. Of lines of a word at least, three weigh enough.
+OP4_SQL = """
+WITH d AS (
   SELECT doc_id, md5(text) AS k, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1, 2
 ), l AS (
   SELECT doc_id, k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d
 ), p AS (
-  SELECT *, length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 AS words,
-    row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS q
-  FROM l WHERE trim(line, ' ') <> ''
-), w AS (
-  SELECT doc_id, k, q, list(line) OVER n AS ls, list(words) OVER n AS ws, list(pos) OVER n AS ats
-  FROM p WINDOW n AS (PARTITION BY doc_id, k ORDER BY q ROWS BETWEEN CURRENT ROW AND {linededup.MIN_WORDS - 1} FOLLOWING)
-), e AS (
-  SELECT doc_id, k, q, e, ls[1:e] AS ls, ats[1:e] AS ats, list_sum(ws[1:e]) AS total, ws[1] AS first, ws[e] AS last
-  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS e FROM w)
-), f AS (
-  SELECT doc_id, k, q, e, array_to_string(ls, chr(10)) AS run, ats FROM e
-  WHERE total >= {linededup.MIN_WORDS} AND (total - first < {linededup.MIN_WORDS} OR total - last < {linededup.MIN_WORDS})
+  SELECT *, len(string_split(trim(line, ' '), ' ')) AS words, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS q FROM l WHERE trim(line, ' ') <> ''
+), e1 AS (SELECT doc_id, k, q, 1 AS e, words, line AS run, [pos] AS ats FROM p),
+e2 AS (
+  SELECT a.doc_id, a.k, a.q, 2 AS e, a.words + b.words AS words, a.run || chr(10) || b.line AS run, list_append(a.ats, b.pos) AS ats
+  FROM e1 a JOIN p b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.q = a.q + 1
+), e3 AS (
+  SELECT a.doc_id, a.k, a.q, 3 AS e, a.words + b.words AS words, a.run || chr(10) || b.line AS run, list_append(a.ats, b.pos) AS ats
+  FROM e2 a JOIN p b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.q = a.q + 2
 ), m AS (
-  SELECT *, row_number() OVER (PARTITION BY e, run ORDER BY doc_id NULLS FIRST, text_key, q) AS copy
-  FROM (SELECT f.*, f.k AS text_key FROM f)
-), gone AS (SELECT DISTINCT doc_id, k, unnest(ats) AS pos FROM m WHERE copy > 1),
+  SELECT *, first_value({'doc_id': doc_id, 'k': k, 'q': q}) OVER (PARTITION BY e, run ORDER BY doc_id NULLS FIRST, k, q) AS f
+  FROM (FROM e1 UNION ALL FROM e2 UNION ALL FROM e3) WHERE words >= 3
+), gone AS (
+  SELECT DISTINCT doc_id, k, unnest(ats) AS pos FROM m WHERE doc_id IS DISTINCT FROM f.doc_id OR k <> f.k OR q >= f.q + e
+),
 g AS (SELECT doc_id, k, list(pos) AS ats FROM gone GROUP BY 1, 2),
 o AS (
   SELECT documents.doc_id, text, ats, CASE WHEN ats IS NULL THEN text ELSE

@@ -166,6 +166,7 @@ def test_fingerprints_awkward(spark, docs, empty):
 
 
 def brute_line_dedup(rows, least):
+    """The rule as it stands: a line goes if some run of ``least`` words or more that holds it stands earlier too, and apart."""
     rows = [(i, t) for i, t in rows if t is not None]
     kinds = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in rows}, key=lambda r: r[:2])
     seqs = [[(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" ")] for _, _, t in kinds]
@@ -173,39 +174,57 @@ def brute_line_dedup(rows, least):
     for d, seq in enumerate(seqs):
         for q in range(len(seq)):
             total = 0
-            for e in range(1, least + 1):
-                if q + e > len(seq):
-                    break
+            for e in range(1, len(seq) - q + 1):
                 total += len(seq[q + e - 1][1].strip(" ").split(" "))
-                if total >= least:  # any heavy run, not only the shortest
+                if total >= least:
                     seen.setdefault(tuple(x for _, x in seq[q : q + e]), []).append((d, q, e))
     for places in seen.values():
         for d, q, e in places[1:]:
-            gone[d] |= {n for n, _ in seqs[d][q : q + e]}
+            if (d, q) >= (places[0][0], places[0][1] + e):
+                gone[d] |= {n for n, _ in seqs[d][q : q + e]}
     new = {}
     for (has, i, t), g in zip(kinds, gone, strict=True):
         new[(i if has else None, t)] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g)
     return new
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(11)
+@pytest.mark.parametrize("least", [1, 3, 6])
+def test_line_dedup_equals_brute_force(spark, least):
+    rng = random.Random(11 + least)
     lines = ["a", "b c", "d e f", "g h i j", "", "k l m n o p", "q"]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    passage = [f"x{i} y" for i in range(50)]  # a maximal run of 50 lines, between others
+    rows += [(300 + i, "\n".join([f"own {i}", *passage[i:], f"end {i}"])) for i in range(4)]
+    rows += [(400 + i, "\n".join((["la la"] * 12, ["u v", "w"] * 9, ["m n o"] * 3 + ["p"] + ["m n o"] * 4, ["r", "s", "t"] * 7)[i])) for i in range(4)]
     rows += [(None, "a\nb c\nd e f\ng h i j"), (200, None), (201, ""), (5, rows[5][1])]
-    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")), min_words=6)
-    want = brute_line_dedup(rows, 6)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")), min_words=least)
+    want = brute_line_dedup(rows, least)
     found = got.collect()
     assert len(found) == len(rows)
     for r in found:
         assert r.text == (None if r.old is None else want[r.doc_id, r.old]), (r.doc_id, r.old)
 
 
+def test_line_dedup_keeps_first_copies_whole(spark):
+    """Runs that repeat within one text, and a maximal run whose copy goes in one piece."""
+    passage = [f"line {i} of a passage" for i in range(50)]
+    rows = [(1, "\n".join(["la la"] * 12)), (2, "\n".join(["one a", "two b"] * 5)), (3, "\n".join([*passage, "after"])), (4, "\n".join(["before", *passage]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, min_words=10).collect()}
+    assert got == {1: "\n".join(["la la"] * 5), 2: rows[1][1], 3: rows[2][1], 4: "before"}
+    at = linededup.cut_lineage(linededup.repeated_lines(linededup.positions(df, "doc_id", "text")))
+    levels = linededup.suffix_ranks(at)
+    assert len(levels) == 6  # 32 <= 50 lines < 64
+    copies = linededup.later_copies(linededup.least_intervals(at, levels, 10))
+    runs = {(r.d.id, r.q, r.n) for r in linededup.maximal_runs(copies, levels).filter("d.id > 2").collect()}
+    assert runs == {(4, 1, 50)}
+
+
 def test_line_dedup_awkward(spark, docs, empty):
-    got = linededup.dedup_lines(docs, out="n").collect()
+    got = linededup.dedup_lines(docs, out="n", min_words=10).collect()
     assert len(got) == len(DOCS) and got[0].asDict().keys() == {*docs.columns, "n"}
     by = {r.doc_id: r for r in got}
-    assert by[1].n == 0 and by[2].n == 1 + 0 + (by[2].text.count("\n") == 0) * 0 or by[2].n == 1 or by[2].n == 2
+    assert (by[1].n, by[2].n, by[2].text, by[9].n, by[3].text) == (0, 2, "", 0, None)
     assert linededup.dedup_lines(empty).count() == 0
 
 

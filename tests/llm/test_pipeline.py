@@ -23,7 +23,7 @@ def test_stages_equal_brute_force(spark, sf, tmp_path):
     assert rows(kept) == want and set(kept.columns) == columns
 
     deduped = corpus_pipeline.line_dedup(spark, kept, sf)
-    new = brute_line_dedup(want, 10)
+    new = brute_line_dedup(want, 3)
     want = [(i, new[i, t]) for i, t in want]
     assert rows(deduped) == want and set(deduped.columns) == columns
     assert deduped.filter(F.length("text") != F.col("n_chars")).count() == 0

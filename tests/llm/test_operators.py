@@ -367,26 +367,10 @@ def test_base_spans_equal_the_patterns(spark):
     cases = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
     for t in cases:
         assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == brute_base(t), t
-    field = pii.default_field()
-    assert field.plain_is_other()
-    for t, (base, both) in zip(cases, pii.find(cases, field), strict=True):
+    for t, (base, both) in zip(cases, pii.find(cases, pii.default_field()), strict=True):
         assert set(base) <= set(both) and all(0 <= a < b <= len(t) for _, a, b in both)
 
 
-def test_field_learns_its_table_and_decodes_exactly():
-    field = pii.default_field()
-    assert all(field.decode([w])[0] == y for w, y in pii.labelled_sentences())
-    rng = random.Random(2)
-    pool = ["plain", "call", "+1", "(555)", "010-9999", "10.0.0.1", "a@b.cd", "1999", "4111", "1111", "word"]
-    texts_ = [" ".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(300)]
-    for t in texts_:  # runs between plain words give the same as whole lines
-        whole = field.decode([t.split()])[0]
-        runs = pii.odd_runs(t, True)
-        parts = dict(zip([w for run in runs for w in run], [y for ys in field.decode([[t[a:b] for a, b in run] for run in runs]) for y in ys], strict=True))
-        spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
-        assert whole == [parts.get(s, 0) for s in spans], t
-
-
 def test_pii_awkward(spark, docs, empty):
     got = pii.span_digests(docs).collect()
     assert len(got) == len(DOCS)

@@ -55,17 +55,35 @@ def drop_orphan_frees(df: DataFrame) -> DataFrame:
     return with_pairing(df).filter((F.col("act") == "+") | F.col("closes")).select(*df.columns)
 
 
-def last_owner(df: DataFrame, probes: DataFrame, block: int = 64) -> DataFrame:
+def _nodes(low: Column, high: Column) -> Column:
+    """array<struct<level, node>>: the largest aligned blocks of 2^level addresses that make up [low, high], two of each level at most."""
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+
+    def of_level(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        first, last = shift(low + size - 1, k), shift(high + 1, k) - 1  # blocks that lie inside
+        inside = first <= last
+        node = lambda x: F.struct(k.alias("level"), x.alias("node"))
+        # a block whose sibling isn't inside too
+        return F.array_compact(F.array(F.when(inside & (first % 2 != 0), node(first)), F.when(inside & (last % 2 == 0), node(last))))
+
+    top = F.floor(F.log2((high - low + 1).cast("double"))).cast("int") + 1  # one more, should the logarithm be rounded down
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), of_level))
+
+
+def last_owner(df: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (device_id, probe) the latest allocation with addr <= probe <= addr + size, both ends inclusive.
 
-    Addresses are cut into blocks; an allocation stands in each block that it touches, so that the join is on equal blocks and
-    the range is checked behind it.
+    An allocation is cut into aligned blocks of powers of two, two of each size at most, and each block keeps its latest owner (combined
+    before the shuffle). A probe asks the one block of each size that it lies in. So however many allocations cover an address, a
+    probe meets as many rows as there are block sizes.
     """
-    plus = df.filter("act = '+'").select("device_id", "addr", "size", "seq")
-    plus = plus.withColumn("block", F.explode(F.sequence(F.floor(F.col("addr") / block), F.floor((F.col("addr") + F.col("size")) / block))))
-    asked = probes.withColumn("block", F.floor(F.col("probe") / block))
-    hit = asked.join(plus, ["device_id", "block"]).filter("probe >= addr AND probe <= addr + size")
-    best = hit.groupBy("device_id", "probe").agg(F.max_by(F.struct("addr", "size", "seq"), "seq").alias("a"))
+    plus = df.filter("act = '+'").select("device_id", "addr", "size", "seq", F.explode(_nodes(F.col("addr"), F.col("addr") + F.col("size"))).alias("b"))
+    owner = plus.groupBy("device_id", "b.level", "b.node").agg(F.max_by(F.struct("addr", "size", "seq"), "seq").alias("a"))
+    levels = owner.groupBy("device_id").agg(F.max("level").alias("most"))
+    asked = probes.distinct().join(levels, "device_id").withColumn("level", F.explode(F.sequence(F.lit(0), "most")))
+    asked = asked.withColumn("node", F.call_function("shiftright", F.col("probe"), F.col("level")))
+    best = asked.join(owner, ["device_id", "level", "node"]).groupBy("device_id", "probe").agg(F.max_by("a", F.col("a.seq")).alias("a"))
     best = best.select("device_id", "probe", "a.addr", "a.size", "a.seq", (F.col("probe") - F.col("a.addr")).alias("position"))
     frees = df.filter("act = '-'").groupBy("device_id", "addr").agg(F.max("seq").alias("free_seq"))
     return best.join(frees, BY_ADDRESS, "left").select(

@@ -7,15 +7,16 @@ differing bits.
 Search: the 64 bits are cut into ``distance - 1`` segments. Among 3 segments with 4 differing bits one differs by
 at most one bit (fewer segments than the 5 that an exact match would need). For that segment
 each fingerprint is indexed once for each bit left out, so two fingerprints that differ there by one bit or none share a
-key. Rows meet by equality of the key, and only rows in one key are compared, exactly, on all 64 bits. For corpora
-of very many fingerprints ``segments`` may be raised: then the key joins ``segments - distance + 1`` segments,
-which differ together by at most one bit for some choice of them, and random meetings become rarer by a power of two
-for each further bit of the key.
+key. Rows meet by equality of the key, and only rows in one key are compared, exactly, on all 64 bits. The number of segments follows
+the number of distinct fingerprints (``segments_for``), so that a key holds eight random ones at most on average: with more than three, the
+key joins ``segments - distance + 1`` segments, which differ together by at most one bit for some choice of them, and random
+meetings become rarer by a power of two for each further bit of the key. The result is the same for any number.
 
 What grows: one row for each distinct fingerprint and left-out bit (64 of 3 segments). Rows of one key never become
 pairs: each task compares a key's fingerprints in blocks and emits a spanning forest of the links, at most one
-row for each fingerprint and key. Copies of one fingerprint count once. Components come from alternating large-star and
-small-star steps, each an aggregation and an equi-join.
+row for each fingerprint and key. A key that holds more than ``most`` fingerprints is cut into blocks by hash, and each pair of blocks is compared in
+a task of its own, so no task holds more than two blocks. Copies of one fingerprint count once. Components come from alternating large-star and
+small-star steps, each an aggregation and an equi-join. A component's least id is aggregated before it is joined back.
 
 Defined results: null text is empty text; no words give fingerprint 0, linked like any other; fewer words than a shingle
 give the whole sequence as one; repeated rows are rows of one class; an empty table gives an empty result; other
@@ -85,17 +86,46 @@ def keys(segments: int, distance: int) -> list[list[int]]:
     return [[b for s in chosen for b in range(cuts[s], cuts[s + 1])] for chosen in itertools.combinations(range(segments), take)]
 
 
+def segments_for(n: int, distance: int = 4, crowd: int = 8) -> int:
+    """The fewest segments whose keys hold at most ``crowd`` of ``n`` random fingerprints on average."""
+    tried = [distance - 1, *range(distance + 1, 2 * distance)]
+    return next((s for s in tried if n <= crowd << (min(map(len, keys(s, distance))) - 1)), tried[-1])
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _masked(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(key_no, key, fp) for each (number, mask)."""
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("no"), F.lit(_signed(m)).cast("long").alias("mask")) for i, m in masks])
+    return fps.select("fp", F.explode(listed).alias("m")).select(F.col("m.no").alias("key_no"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp")
+
+
+def _masks(segments: int, distance: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Whole masks, and (number, number of the whole mask, mask) of each with one bit left out."""
+    whole = [sum(1 << b for b in bits) for bits in keys(segments, distance)]
+    parts = [(k, w & ~(1 << b)) for k, w in enumerate(whole) for b in range(64) if w >> b & 1]
+    return whole, [(i, k, m) for i, (k, m) in enumerate(parts)]
+
+
 def variants(fps: DataFrame, segments: int, distance: int) -> DataFrame:
     """(key_no, key, fp): each key with each of its bits left out."""
-    masks = []
-    for bits in keys(segments, distance):
-        whole = sum(1 << b for b in bits)
-        masks += [whole & ~(1 << b) for b in bits]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    listed = F.array(*[F.struct(F.lit(i).cast("int").alias("no"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(signed)])
-    return fps.select("fp", F.explode(listed).alias("m")).select(
-        F.col("m.no").alias("key_no"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp"
-    )
+    return _masked(fps, [(i, m) for i, _, m in _masks(segments, distance)[1]])
+
+
+def crowded(fps: DataFrame, segments: int, distance: int, most: int) -> DataFrame:
+    """(key_no, key, parts): the keys that may hold more than ``most`` fingerprints, and how many blocks they are cut into.
+
+    A key is one of two whole values (its missing bit 0 or 1). So whole values are counted, of which there are far fewer: if neither has more
+    than ``most / 2``, the key has at most ``most``.
+    """
+    whole, parts = _masks(segments, distance)
+    counts = _masked(fps, list(enumerate(whole))).groupBy("key_no", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most // 2)
+    under = F.array(*[F.struct(F.lit(i).cast("long").alias("no"), F.lit(k).cast("long").alias("whole"), F.lit(_signed(m)).cast("long").alias("mask")) for i, k, m in parts])
+    each = counts.select("key", "n", F.explode(F.filter(under, lambda u: u["whole"] == F.col("key_no"))).alias("u"))
+    held = each.select(F.col("u.no").alias("key_no"), F.col("key").bitwiseAND(F.col("u.mask")).alias("key"), "n").groupBy("key_no", "key").agg(F.sum("n").alias("n"))
+    return held.select("key_no", "key", (2 * F.ceil(F.col("n") / most)).cast("int").alias("parts"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -161,9 +191,18 @@ def _links(distance: int):
     return run
 
 
-def links(fps: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, segments: int = 3, most: int = 16_384) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that hold every component together."""
-    found = variants(fps, segments, distance).repartition("key_no", "key").sortWithinPartitions("key_no", "key")
+    found = variants(fps, segments, distance)
+    hot = cut_lineage(crowded(fps, segments, distance, most))
+    if not hot.isEmpty():
+        # a block of a crowded key meets each other block of it in a task of their own
+        block, parts = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.col("parts")
+        others = F.filter(F.sequence(F.lit(0), parts - 1), lambda i: i != block)
+        pair = F.transform(others, lambda i: F.least(i, block) * parts + F.greatest(i, block) + 1)
+        found = found.join(hot, ["key_no", "key"], "left").withColumn("pair", F.explode(F.when(parts.isNull(), F.array(F.lit(0))).otherwise(pair)))
+        found = found.select((F.col("key_no") + F.col("pair").cast("long") * 4096).alias("key_no"), "key", "fp")  # there are fewer key numbers
+    found = found.repartition("key_no", "key").sortWithinPartitions("key_no", "key")
     return found.mapInArrow(_links(distance), "a long, b long").distinct()
 
 
@@ -190,14 +229,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, segments: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, segments: int | None = None, most: int = 16_384
 ) -> DataFrame:
     """(id, fingerprint, component_id): a row for each document; component_id is the least id of its component."""
     own = cut_lineage(with_fingerprint(docs, id_col, text_col, words))
-    least = own.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = cut_lineage(components(links(least.select("fp"), distance, segments)))
-    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut_lineage(own.groupBy("fp").agg(F.min("id").alias("first")))
+    found = cut_lineage(links(least.select("fp"), distance, segments or segments_for(least.count(), distance), most))
+    roots = components(found).withColumnRenamed("node", "fp")
+    joined = cut_lineage(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    # read anew on both sides, so that a component of very many fingerprints is split in the join, as is a fingerprint of very many copies below
+    smallest = cut_lineage(joined.groupBy("root").agg(F.min("first").alias("component_id")))
     named = joined.join(smallest, "root").select("fp", "component_id")
     return own.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

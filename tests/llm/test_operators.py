@@ -469,8 +469,8 @@ def test_simhash_equals_brute_force(spark, sf):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("segments", [3, 5])
-def test_links_find_chains_and_dense_groups(spark, segments):
+@pytest.mark.parametrize(("segments", "most"), [(3, 10_000), (5, 10_000), (6, 10_000), (3, 20)])
+def test_links_find_chains_and_dense_groups(spark, segments, most):
     rng = random.Random(7)
     fps = [rng.getrandbits(64) for _ in range(200)]
     chain = [fps[0]]
@@ -480,7 +480,10 @@ def test_links_find_chains_and_dense_groups(spark, segments):
     fps = list(dict.fromkeys(fps + chain + dense))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, 4, segments)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, 4, segments, most)).collect()}
+    if most == 20:  # crowded keys are found, and all that are
+        sizes = simhash.variants(df, 3, 4).groupBy("key_no", "key").count().filter("count > 20")
+        assert sizes.join(simhash.crowded(df, 3, 4, 20), ["key_no", "key"], "left_anti").count() == 0 < sizes.count()
     got = {}
     for i, f in enumerate(signed):
         got.setdefault(roots.get(f, ("own", f)), set()).add(i)
@@ -490,6 +493,10 @@ def test_links_find_chains_and_dense_groups(spark, segments):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.segments_for(n) for n in (0, 10**6, 10**7, 10**9, 10**11)] == [3, 3, 5, 6, 7]
+
+
 def test_simhash_awkward(docs):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(DOCS)

@@ -4,9 +4,9 @@ SimHash at 4 bits reaches a similarity of about 0.95; this finds what lies betwe
 that a pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 > 0.9999. Every candidate is then checked by its exact sets, so no pair below
 ``least`` is linked. Texts with equal sets are one class.
 
-In each band value the members are first compared with the least of them; then those that are still in different components with each
-other. So a dense group costs one comparison for each member, and only unlike members that meet in a band make pairs. Sets are made
-only for texts that are in a pair.
+Members of a band value are compared in rounds (``ROUNDS``), each time with one of them, another in each round, and only if they are still in different
+components; the first rounds look at few bands, which join most of a dense group. So such a group costs a few comparisons for each member. What is
+still apart after the rounds is compared pair by pair: unlike texts that meet in a band by chance. Sets are made only for texts that are in a pair.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import cut_lineage, slices
 from .simhash import LOWER, SEED, WORD, components
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
+#: (bands, salt): how many bands a round looks at, and what picks the member that the others are compared with.
+ROUNDS = ((4, 0), (BANDS, 1), (BANDS, 2))
 #: Texts in pairs that are broadcast at most, about 50 bytes each (node and key).
 BROADCAST_ROWS = 100_000
 _RANDOM = np.random.default_rng(SEED)
@@ -77,15 +79,16 @@ def _sets(texts: DataFrame) -> DataFrame:
 def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``found`` (key, component_id: the least key of a component so far) with components joined where texts are near copies."""
     found = cut_lineage(found.select(F.col(key).alias("key"), "component_id").distinct())
+    # components by number, in their order
+    numbers = found.select("component_id").distinct().repartitionByRange("component_id").sortWithinPartitions("component_id")
+    numbers = cut_lineage(numbers.withColumn("c", F.monotonically_increasing_id()))
+    found = cut_lineage(found.join(numbers, "component_id").select("key", "c"))
     marks = cut_lineage(marked(docs, key, text_col).dropDuplicates(["key"]))
-    member = marks.select("key", "node").join(found, "key").select("node", "component_id").distinct()
-    lowest = member.groupBy("node").agg(F.min("component_id").alias("c"))
-    edges = member.join(lowest, "node").filter(F.col("component_id") != F.col("c")).select(F.col("component_id").alias("a"), F.col("c").alias("b"))
+    member = marks.select("key", "node").join(found, "key").select("node", F.col("c").alias("own")).distinct()
+    lowest = member.groupBy("node").agg(F.min("own").alias("c"))
+    edges = member.join(lowest, "node").filter(F.col("own") != F.col("c")).select(F.col("own").alias("a"), F.col("c").alias("b"))
     node = cut_lineage(marks.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")).join(lowest, "node"))
 
-    rows = node.select("node", "n", "c", F.posexplode("bands").alias("band", "value"))
-    firsts = rows.groupBy("band", "value").agg(F.min(F.struct("node", "n", "c")).alias("x"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    met = cut_lineage(rows.join(firsts, ["band", "value"]))
     fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -101,14 +104,29 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
         shared = F.size(F.array_intersect("hp", "hq"))
         return cut_lineage(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
 
-    stars = met.filter((F.col("node") != F.col("x.node")) & (F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
-    edges = cut_lineage(edges.unionByName(checked(stars.select(F.col("x.node").alias("p"), F.col("node").alias("q"), F.col("x.c").alias("a"), F.col("c").alias("b")))))
-    roots = components(edges).withColumnsRenamed({"node": "c", "root": "r"})
-    now = met.join(roots, "c", "left").select("band", "value", "node", "n", F.coalesce("r", "c").alias("c"))
-    mixed = now.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("band", "value")
-    open_ = cut_lineage(now.join(mixed, ["band", "value"]))
-    l, r = open_.alias("l"), open_.alias("r")
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c"))
-    rest = l.join(r, on & fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.c").alias("a"), F.col("r.c").alias("b"))
-    roots = components(edges.unionByName(checked(rest))).withColumnRenamed("node", "component_id")
-    return found.join(roots, "component_id", "left").select(F.col("key").alias(key), F.coalesce("root", "component_id").alias("component_id"))
+    open_ = node.select("node", "n", "c", F.posexplode("bands").alias("band", "value"))
+    every = new = cut_lineage(edges)
+    for bands, salt in (*ROUNDS, (BANDS, None)):
+        # who is where by now; the edges of each round are between the components of the one before
+        if not new.isEmpty():
+            roots = components(new).select(F.col("node").alias("c"), F.col("root").alias("r"))
+            open_ = open_.join(roots, "c", "left").select("band", "value", "node", "n", F.coalesce("r", "c").alias("c"))
+        # band values that hold more than one component, and the member that the others are compared with
+        met = open_.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt or 0))).alias("x"))
+        rows = cut_lineage(open_.join(met.filter("low != high").select("band", "value", "x"), ["band", "value"]))
+        if rows.isEmpty():
+            break
+        if salt is None:
+            l, r = rows.alias("l"), rows.alias("r")
+            on = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c"))
+            pairs = l.join(r, on & fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.c").alias("a"), F.col("r.c").alias("b"))
+        else:
+            pairs = rows.filter((F.col("band") < bands) & (F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
+            pairs = pairs.select(F.col("x.node").alias("p"), F.col("node").alias("q"), F.col("x.c").alias("a"), F.col("c").alias("b"))
+        new = checked(pairs)
+        every = every.unionByName(new)
+        open_ = rows.drop("x")
+    edges = every
+    roots = components(edges).select(F.col("node").alias("c"), F.col("root").alias("r"))
+    named = cut_lineage(numbers.select("c").join(roots, "c", "left").select("c", F.coalesce("r", "c").alias("r")).join(numbers.withColumnRenamed("c", "r"), "r").select("c", "component_id"))
+    return found.join(named, "c").select(F.col("key").alias(key), "component_id")

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from streamworks.llm import packing
+from streamworks.llm import nearcopies, packing
+from streamworks.llm.common import cut_lineage
 
 from .test_operators import brute_simhash
 
@@ -70,3 +71,35 @@ def test_packing_of_bins_that_do_not_merge(spark):
     for places in bins.values():
         ends = [0, *(o + n for o, n in sorted(places))]
         assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_a_large_group_of_near_copies_costs_few_comparisons(spark, monkeypatch):
+    """A group in which every text is like about half of the others, beside unlike ones."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join("x" + w if k in set(rng.sample(range(60), 1)) else w for k, w in enumerate(base)) + f" end{i % 7}") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.struct("doc_id"))
+    seen = []
+    monkeypatch.setattr(nearcopies, "cut_lineage", lambda df: (seen.append(df.count()) if set(df.columns) == {"p", "q", "a", "b"} else None, nearcopies.__dict__["_cut"](df))[1])
+    monkeypatch.setattr(nearcopies, "_cut", cut_lineage, raising=False)
+    got = {r.key.doc_id: r.component_id.doc_id for r in nearcopies.merged(docs, docs.select("key", F.col("key").alias("component_id")), "key").collect()}
+    texts = dict(rows)
+    want = brute_classes(texts)
+    assert got == want and sum(seen) < 12 * len(rows)
+
+
+def brute_classes(texts):
+    sets, root = {i: five_words(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}

@@ -26,8 +26,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more for quality, learnt from the labelled ones that aren't held out."""
-    model = quality.fit_on_labels(quality.measured(docs), table(spark, sf_dir, "labels"))
+    """Documents that score 0.5 or more for quality, learnt from the labelled ones that aren't held out. Only those are measured twice."""
+    labels = table(spark, sf_dir, "labels")
+    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id").distinct()
+    model = quality.fit_on_labels(quality.measured(docs.filter(~quality.held_out()).join(known, "doc_id", "left_semi")), labels)
     score = free_name(docs, "score")
     return quality.with_text_score(docs, model, out=score).filter(F.col(score) >= 0.5).drop(score)
 

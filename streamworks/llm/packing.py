@@ -4,11 +4,13 @@ Tokens: ids of a byte-level BPE file as the tokenizers library gives them, then
 than the capacity is cut into pieces of exactly ``capacity`` tokens, counted from its end, so that only its first
 piece may be shorter.
 
-Packing has two levels. Each partition packs its pieces best-fit, longest first, in windows, and emits its nearly full bins
-(``slack`` or fewer tokens free) for good. The underfull bins of all partitions are items of the second level, as long as their fill.
-They are packed best-fit again, but as counts: there are fewer fills than ``capacity``, so the driver plans with the number of bins
+Packing is a tree. Each partition packs its pieces best-fit, longest first, in windows, and emits its nearly full bins
+(``slack`` or fewer tokens free, or fewer than the shortest item has) for good. The underfull bins of ``fan_in`` partitions are the items of the next level, as long as
+their fill: one task packs them best-fit again, in windows, emits what is nearly full by then and hands the rest up, until one group is left. The root
+packs what reaches it best-fit once more, but as counts: there are fewer fills than ``capacity``, so it plans with the number of bins
 of each fill, and a plan's row places a numbered range of them. Tasks then number the bins of each fill and look their places up, row by row.
-So no task holds more than a window of pieces, whatever their lengths, and the plan's size doesn't depend on the table's.
+So no task holds more than a window of items, whatever their lengths (bins above half of the capacity may all reach the root), and the plan's size
+doesn't depend on the table's.
 
 Defined results: null text is empty (one piece with ``end_id`` alone); repeated rows are packed as separate documents;
 equal lengths go by document and piece; an empty table gives an empty result. Extra columns are not looked at.
@@ -123,7 +125,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-#: Sequence ids of the second level begin here, above those of leaves.
+#: Sequence ids of the root begin here, above those of the levels below.
 PLANNED = 1 << 62
 
 
@@ -170,21 +172,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def _pack_local(capacity: int, window: int):
-    """Packs (row, piece, length) in windows of so many pieces; adds leaf, offset and the leaf's fill."""
+def _pack(capacity: int, window: int, size: str, names: tuple[str, str, str], level: int):
+    """Packs rows by their ``size`` in windows of so many; adds the bin, the offset in it and the bin's fill under ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, used = TaskContext.get().partitionId() << 36, 0
+        base, used = (level << 56) + (TaskContext.get().partitionId() << 36), 0
 
         def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal used
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            bins, offsets, fills = best_fit(t.column("length").to_numpy(), capacity)
-            out = pa.RecordBatch.from_arrays(
-                [*t.columns, pa.array(bins + base + used), pa.array(offsets), pa.array(fills[bins])], [*t.schema.names, "leaf", "at", "fill"]
-            )
+            bins, offsets, fills = best_fit(t.column(size).to_numpy(), capacity)
+            out = pa.RecordBatch.from_arrays([*t.columns, pa.array(bins + base + used), pa.array(offsets), pa.array(fills[bins])], [*t.schema.names, *names])
             used += len(fills)
             return out
 
@@ -236,24 +236,40 @@ def _place(rows: list[tuple[int, int, int, int, int]]):
 
 
 def best_fit_packing(pieces: DataFrame, capacity: int = 2048, slack: int = 16, fan_in: int = 8, window: int = 200_000) -> DataFrame:
-    """``pieces`` (row, piece, length and more) with sequence_id and offset. The bins of ``fan_in`` partitions are numbered in one task."""
-    local = cut_lineage(pieces.mapInArrow(_pack_local(capacity, window), f"{_ddl(pieces)}, leaf long, at long, fill long"))
+    """``pieces`` (row, piece, length and more) with sequence_id and offset. The bins of ``fan_in`` partitions meet in one task of the next level."""
+    local = cut_lineage(pieces.mapInArrow(_pack(capacity, window, "length", ("leaf", "at", "fill"), 0), f"{_ddl(pieces)}, leaf long, at long, fill long"))
     under = local.filter(F.col("fill") < capacity - slack).select("leaf", "fill")
-    groups = max(1, -(-local.rdd.getNumPartitions() // fan_in))
-    numbered = cut_lineage(under.repartition(groups, "leaf").distinct().mapInArrow(_number, "leaf long, fill long, task int, no long"))
+    shortest = local.agg(F.min("fill")).first()[0] or 0
+    groups, level, moved = -(-local.rdd.getNumPartitions() // fan_in), 0, None
+    while groups > 1:
+        level += 1
+        items = under.repartition(groups, "leaf").distinct()
+        packed = cut_lineage(items.mapInArrow(_pack(capacity, window, "fill", ("node", "shift", "total"), level), "leaf long, fill long, node long, shift long, total long"))
+        moved = _onward(moved, packed.select("leaf", F.col("node").alias("sequence_id"), "shift"))
+        under = packed.filter((F.col("total") < capacity - slack) & (F.col("total") <= capacity - shortest)).select(F.col("node").alias("leaf"), F.col("total").alias("fill"))
+        groups = 1 if groups <= fan_in else -(-groups // fan_in)
+    numbered = cut_lineage(under.repartition(max(1, -(-local.rdd.getNumPartitions() // fan_in)), "leaf").distinct().mapInArrow(_number, "leaf long, fill long, task int, no long"))
     held = numbered.groupBy("fill", "task").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("fill").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = held.select("fill", "task", before.alias("before"))
     # at most as many rows as there are fills
     rows = plan({r.fill: r.n for r in held.groupBy("fill").agg(F.sum("n").alias("n")).collect()}, capacity)
     items = numbered.join(starts, ["fill", "task"]).select("leaf", "fill", (F.col("before") + F.col("no")).alias("item"))
-    moved = items.mapInArrow(_place(rows), "leaf long, sequence_id long, shift long")
+    moved = _onward(moved, items.mapInArrow(_place(rows), "leaf long, sequence_id long, shift long"))
     found = local.join(moved, "leaf", "left")
     return found.select(
         *pieces.columns, F.coalesce("sequence_id", "leaf").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset")
     )
 
 
+def _onward(moved: DataFrame | None, more: DataFrame) -> DataFrame:
+    """(leaf, sequence_id, shift) of leaves that moved, with the next level's moves behind them."""
+    if moved is None:
+        return more
+    then = more.select(F.col("leaf").alias("sequence_id"), F.col("sequence_id").alias("to"), F.col("shift").alias("by"))
+    return moved.join(then, "sequence_id", "left").select("leaf", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

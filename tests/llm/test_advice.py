@@ -103,3 +103,18 @@ def brute_classes(texts):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in texts}
+
+
+def test_packing_tree_of_pieces_above_half(spark):
+    """20,000 pieces that can't merge pass all levels in windows; the root holds counts only, and totals don't get worse."""
+    pieces = spark.range(0, 20_000, 1, 70).select(
+        F.col("id").alias("row"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (1100 + F.col("id") % 800).alias("length"), F.lit(0).cast("long").alias("ids_crc32")
+    )
+    got = packing.best_fit_packing(pieces, fan_in=4, window=500)
+    assert got.count() == 20_000 == got.select("sequence_id").distinct().count()
+    mixed = pieces.withColumn("length", F.when(F.col("row") % 3 == 0, 2048 - F.lit(1100) - F.col("row") % 800).otherwise(F.col("length")))
+    bins = mixed.drop("x")
+    found = packing.best_fit_packing(bins, fan_in=4, window=500).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("k"), F.count_distinct("offset").alias("o"))
+    assert found.filter("n != end OR n > 2048 OR k != o").count() == 0
+    whole = packing.best_fit(np.array([r.length for r in mixed.select("length").collect()]), 2048)[2]
+    assert found.count() <= 1.02 * len(whole)

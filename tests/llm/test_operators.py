@@ -63,23 +63,40 @@ def test_topk_equals_brute_force(spark):
     rows += [(600 + i, [0.5] * 8) for i in range(50)]  # ties
     rows += [(700, None), (701, [None] * 8), (702, [float("nan")] * 8), (None, [1.0] * 8), (703, []), (750, [1.0, 2.0]), (800, [2.0, 1.0]), (5, [9.0] * 8), (850, [0.0] * 8), (50, [0.1] * 8)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, dim string, bucket int")
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=64, query_block=4, buckets=5)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=64, buckets=5, round_bytes=700)
     assert {tuple(r) for r in got.collect()} == brute_top(rows, 5, 50)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_pruning_never_loses(spark):
-    rng = np.random.default_rng(1)
-    vecs = rng.integers(-50, 50, (400, 6))
+@pytest.mark.parametrize(("spread", "size"), [(50, 6), (3, 3), (10**9, 4), (20, 64)])
+def test_pruning_never_loses(spread, size):
+    """Whatever the block, the thresholds and the branch: the k best, ties to the smaller id."""
+    rng = np.random.default_rng(spread)
+    vecs = rng.integers(-spread, spread, (400, size))
+    if size == 64:  # each near one of eight axes
+        vecs[np.arange(400), rng.integers(0, 8, 400)] += 900
+    queries = np.concatenate([vecs[:30] * (1 if spread > 10**6 else 2), rng.integers(-spread, spread, (20, size)), np.zeros((1, size), np.int64)])
     norms = np.sqrt((vecs.astype(float) ** 2).sum(axis=1))
-    order = np.argsort(-norms)
-    vecs, norms, ids = vecs[order], norms[order], np.arange(400)
-    for _ in range(50):
-        q = rng.integers(-50, 50, 6)
-        scores = vecs @ q
-        theta = float(np.sort(scores)[-3])
-        got_ids, got = topk.search_block(ids, vecs, norms, -1, q, theta, 5)
-        assert set(got_ids) == set(ids[scores >= theta]) and sorted(got) == sorted(scores[scores >= theta])
+    order = np.argsort(-norms, kind="stable")
+    ids = rng.permutation(400)
+    q_ids = np.concatenate([ids[:30], np.arange(1000, 1021)])
+    own = topk.Best(q_ids, queries, np.full(len(queries), -np.inf), 5)
+    for start in range(0, 400, 50):
+        own.meet(ids[order[start : start + 50]], vecs[order[start : start + 50]])
+    for i, q in enumerate(queries):
+        want = sorted((-int(sum(int(a) * int(b) for a, b in zip(v, q, strict=True))), int(c)) for c, v in zip(ids, vecs, strict=True) if c != q_ids[i])[:5]
+        assert sorted((-s, c) for c, s in own.found[i].items()) == want
+    assert sum(n for n, _ in own.stats.values()) == 400 * len(queries)
+    if size == 64:
+        assert own.stats["by coordinates"][0] > 4 * own.stats["by coordinates"][1] > 0
+
+
+def test_pruned_shares(spark):
+    """Vectors of few directions: most pairs are left out, by both branches."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) ** 3 * (5 if i % 9 == 0 else 1) for _ in range(4)]) for i in range(2000)]
+    got = {r.branch: (r.pairs, r.verified) for r in topk.pruned_shares(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=128).collect()}
+    assert sum(n for n, _ in got.values()) == 40 * 2000 and sum(n for _, n in got.values()) < 40 * 2000 / 2
 
 
 # --- quality -------------------------------------------------------------------------------------------------------

@@ -1,18 +1,22 @@
 """Byte-pair encoding and decoding as a streaming transducer with bounded lookahead.
 
-How far can text to the right of a token boundary change it? A merge r = (u, v) takes place in one continuation
-and not in the other only if an earlier merge r' = (u', v') reaches across v's right end, so u' is v or ends v in
-its tree of merges, and r' comes earlier in the list. Chains of such merges are finite; ``lookahead`` adds up the
-longest |v| + |v'| + ... by one pass over the list. A boundary with that many symbols after it is stable whatever follows,
-and what follows a true boundary is encoded independently of what stands before it. So ``Encoder.stream`` holds a
-buffer of bounded size, emits the tokens before the last stable boundary and goes on from there.
+Every text goes through a ``Transducer``, a block of ``BLOCK`` characters at a time, and its tokens come out as soon as they are stable; what is held is a
+block and an unfinished word. White space ends a word, so what stands before the last white space of a block is stable. In a run without white space longer than
+a block, words are cut by the vocabulary's pattern; all but the last two of them are stable. And a word longer than ``WINDOW`` bytes goes through
+``WordStream``, which merges a window of it and emits the tokens before the last stable boundary.
+
+How far can what follows a token change its right boundary? A merge r = (u, v) that crosses it has a left part u that ends there, so u is the token or ends
+it in its tree of merges. r takes place in one continuation and not in another only if an earlier merge r' = (u', v') reaches across v's right end,
+so u' is v or ends v, and r' comes earlier in the list. Chains of such merges are finite; ``lookaheads`` adds up the longest |v| + |v'| + ... for each
+token by one pass over the list. A boundary with that many symbols after it is stable whatever follows, and what follows a
+true boundary is encoded independently of what stands before it.
 
 Decoding is the reverse machine: token ids become bytes, bytes become text by an incremental UTF-8 state
 machine that holds at most the three bytes of an unfinished character. A vocabulary file without a decoder spells tokens
 out, separated by spaces, as the tokenizers library does.
 
 Defined results: null text is empty and has no tokens; special tokens written in a text become their ids, as the
-library does by default; texts of any length need the memory of the text and a buffer; repeated rows repeat; an
+library does by default; texts of any length need the memory of the text (as Arrow and Python hand it over) and a buffer; repeated rows repeat; an
 empty table gives an empty result. Extra columns stay.
 """
 
@@ -73,31 +77,32 @@ class Encoder:
         chars = byte_chars()
         self.first = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.suffix] for c in chars]
-        self.ahead = self.lookahead()
-        self.buffer = 4 * self.ahead + 256
+        self.ahead_of = self.lookaheads()
+        cut = len(self.suffix)
+        self.sizes = {i: len(s) - cut if cut and s.endswith(self.suffix) else len(s) for s, i in self.vocab.items()}  # symbols in each token
         self.most = most
         self.known: dict[str, tuple[int, ...]] = {}  # words
         self.chunks: dict[str, bytes] = {}  # what stands between white space
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def lookahead(self) -> int:
-        """Symbols after a boundary that suffice to make it stable, from the list of merges alone."""
+    def lookaheads(self) -> dict[int, int]:
+        """For each token the symbols after it that suffice to make its right boundary stable, from the list of merges alone."""
         right: dict[int, int] = {}
         size = {i: 1 for i in {*self.first, *self.last}}
         best: dict[int, int] = {}  # by left part: the longest chain among the merges so far
-        longest = max_token = 1
         for (u, v), (_, new) in self.merges.items():  # in order
             chain, end = 0, v
             while end is not None:
                 chain = max(chain, best.get(end, 0))
                 end = right.get(end)
-            chain += size.get(v, 1)
-            best[u] = max(best.get(u, 0), chain)
+            best[u] = max(best.get(u, 0), chain + size.get(v, 1))
             size[new] = size.get(u, 1) + size.get(v, 1)
             right[new] = v
-            longest, max_token = max(longest, chain), max(max_token, size[new])
-        self.max_token = max_token
-        return longest
+        out: dict[int, int] = {}
+        for token in (*size, *self.vocab.values()):  # parts come before what is made of them
+            if token not in out:
+                out[token] = max(best.get(token, 0), out.get(right.get(token), 0))
+        return out
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merges the earliest-listed, leftmost pair until none is left."""
@@ -139,46 +144,27 @@ class Encoder:
                 heapq.heappush(heap, (r[0], h, r[1]))
         return [x for x in symbols if x >= 0]
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """The tokens of one word, emitted as soon as they are stable, from a buffer of bounded size."""
-        start, n = 0, len(data)
-        while n - start > self.buffer:
-            window = data[start : start + self.buffer]
-            done, safe = 0, self.buffer - self.ahead
-            for token in self.merge([self.first[b] for b in window]):
-                size = self.sizes[token]
-                if done + size > safe:
-                    break
-                done += size
-                yield token
-            start += done
-        if start < n:
-            rest = data[start:]
-            yield from self.merge([*(self.first[b] for b in rest[:-1]), self.last[rest[-1]]])
-
-    @property
-    def sizes(self) -> dict[int, int]:
-        """Symbols in each token."""
-        if not hasattr(self, "_sizes"):
-            cut = len(self.suffix)
-            self._sizes = {i: len(s) - cut if cut and s.endswith(self.suffix) else len(s) for s, i in self.vocab.items()}
-        return self._sizes
-
     def word(self, word: str) -> tuple[int, ...]:
         got = self.known.get(word)
         if got is None:
             data = word.encode("utf-8")
-            got = tuple(self.stream(data))
+            stream = WordStream(self)
+            got = (*stream.feed(data), *stream.finish())
             if len(data) <= 200:  # what is kept stays small
                 if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[word] = got
         return got
 
+    def normal(self, text: str) -> str:
+        if self.nfc and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower() if self.lower else text  # one letter at a time, so no final sigma
+
     def chunk(self, chunk: str) -> bytes:
         low = chunk
         if self.lower:
-            low = low.replace("Σ", "σ").lower()  # one letter at a time, so no final sigma
+            low = low.replace("Σ", "σ").lower()
         ids = [i for w in self.words.findall(low) for i in self.word(w)]
         data = np.array(ids, "<u4").tobytes()
         if len(chunk) <= 100:
@@ -208,6 +194,169 @@ class Encoder:
         )
 
 
+#: Bytes of one word that are merged at once at first.
+WINDOW = 64
+
+
+class WordStream:
+    """The tokens of one word, emitted as soon as they are stable. It holds a window of the word, or more only where nothing in it is stable."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.held, self.window = encoder, b"", WINDOW
+
+    def feed(self, data: bytes) -> list[int]:
+        encoder, out = self.encoder, []
+        self.held += data
+        while len(self.held) > self.window:
+            tokens = encoder.merge([encoder.first[b] for b in self.held[: self.window]])
+            done = kept = at = 0
+            for i, token in enumerate(tokens):
+                at += encoder.sizes[token]
+                if self.window - at >= encoder.ahead_of[token]:
+                    done, kept = at, i + 1
+            if not kept:
+                self.window *= 2
+                continue
+            out += tokens[:kept]
+            self.held, self.window = self.held[done:], WINDOW
+        return out
+
+    def finish(self) -> list[int]:
+        encoder, rest = self.encoder, self.held
+        self.held = b""
+        return encoder.merge([*(encoder.first[b] for b in rest[:-1]), encoder.last[rest[-1]]]) if rest else []
+
+
+class Transducer:
+    """A text to ids, a block at a time: ids (as little-endian bytes) come out as soon as nothing that follows can change them."""
+
+    KEPT = 32  # characters on both sides that tell whether a run can be cut
+
+    def __init__(self, encoder: Encoder, block: int = 1 << 16):
+        self.encoder, self.block, self.pending = encoder, block, ""
+        self.running = False  # within a run without white space
+        self.words = ""  # its end, normalised, not yet cut into words for good
+        self.open: tuple[WordStream, regex.Pattern] | None = None  # a word longer than a block, and what continues it
+
+    def feed(self, text: str) -> bytes:
+        self.pending += text
+        out = b""
+        while len(self.pending) > self.block:
+            head = self.pending[: self.block]
+            if self.running:
+                space = SPACE.search(head)
+                if space:
+                    out += self._run(head[: space.start()]) + self._end_run()
+                    self.pending = self.pending[space.start() :]
+                else:
+                    cut = self._safe_cut()
+                    if not cut:
+                        break  # wait for more
+                    out += self._run(head[:cut])
+                    self.pending = self.pending[cut:]
+                continue
+            cut = last_space(head)
+            if cut > 0:
+                out += self.encoder.encode(head[:cut]).tobytes()
+                self.pending = self.pending[cut:]
+            else:
+                self.running = True
+                if cut == 0:
+                    self.pending = self.pending[1:]  # white space is no token
+        return out
+
+    def finish(self) -> bytes:
+        out = b""
+        if self.running:
+            space = SPACE.search(self.pending)
+            at = space.start() if space else len(self.pending)
+            out += self._run(self.pending[:at]) + self._end_run()
+            self.pending = self.pending[at:]
+        out += self.encoder.encode(self.pending).tobytes()
+        self.pending = ""
+        return out
+
+    def _safe_cut(self) -> int:
+        """A place near the end that no special token and no normalisation reaches across; 0 if there is none."""
+        head, k = self.pending, self.KEPT
+        for cut in range(min(len(head), self.block) - k, k, -1):
+            a, b = head[cut - k : cut], head[cut : cut + k]
+            if not any(x in a[1 - len(x) :] + b[: len(x) - 1] for x in self.encoder.special):
+                if unicodedata.normalize("NFC", a) + unicodedata.normalize("NFC", b) == unicodedata.normalize("NFC", a + b):
+                    return cut
+        return 0
+
+    def _run(self, text: str) -> bytes:
+        """Part of a run: its words but those that what follows may change."""
+        encoder, special = self.encoder, self.encoder.cut_special
+        out = b""
+        for i, part in enumerate(special.split(text) if special and "<|" in text else [text]):
+            if i % 2:
+                out += self._flush() + np.array([encoder.special[part]], "<u4").tobytes()
+                continue
+            self.words += encoder.normal(part)
+            out += self._words()
+        return out
+
+    def _words(self) -> bytes:
+        encoder, ids = self.encoder, []
+        if self.open:
+            stream, more = self.open
+            end = more.match(self.words).end()
+            if end < len(self.words):
+                ids += stream.feed(self.words[:end].encode("utf-8")) + stream.finish()
+                self.words, self.open = self.words[end:], None
+            else:
+                ids += stream.feed(self.words[:-1].encode("utf-8"))
+                self.words = self.words[-1:]
+                return np.array(ids, "<u4").tobytes()
+        found = list(encoder.words.finditer(self.words))
+        for m in found[:-2]:
+            ids += encoder.word(m[0])
+        if len(found) > 2:
+            self.words = self.words[found[-2].start() :]
+        last = encoder.words.search(self.words) if found else None
+        if len(found) >= 2 and (a := list(encoder.words.finditer(self.words))) and len(a[-1][0]) > self.block // 2:
+            for m in a[:-1]:  # the word before a long one can't change any more
+                ids += encoder.word(m[0])
+            self.words, last = self.words[a[-1].start() :], a[-1]
+        if last and last.start() == 0 and len(last[0]) == len(self.words) > self.block // 2:
+            more = next(c for c in CLASSES if c.match(last[0][1:]))
+            if more.fullmatch(last[0][1:]):
+                self.open = WordStream(encoder), more
+                ids += self.open[0].feed(self.words[:-1].encode("utf-8"))
+                self.words = self.words[-1:]
+        return np.array(ids, "<u4").tobytes()
+
+    def _flush(self) -> bytes:
+        ids = []
+        if self.open:
+            stream, more = self.open
+            end = more.match(self.words).end() if self.words else 0
+            ids += stream.feed(self.words[:end].encode("utf-8")) + stream.finish()
+            self.words, self.open = self.words[end:], None
+        ids += [i for w in self.encoder.words.findall(self.words) for i in self.encoder.word(w)]
+        self.words = ""
+        return np.array(ids, "<u4").tobytes()
+
+    def _end_run(self) -> bytes:
+        self.running = False
+        return self._flush()
+
+
+SPACE = regex.compile(rf"[\s{OTHER_SPACE}]")
+#: What a long word of the vocabulary's pattern is made of: letters, or neither letters, digits nor white space (digits are words alone).
+CLASSES = (regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+"), regex.compile(r"\p{N}+"))
+
+
+def last_space(text: str) -> int:
+    """The place of the last white space, or -1."""
+    for i in range(len(text) - 1, -1, -1):
+        if text[i].isspace():
+            return i
+    return -1
+
+
 class Decoder:
     """Ids to text, a block at a time; between blocks it holds the bytes of one unfinished character at most."""
 
@@ -245,17 +394,25 @@ def machines(path: str) -> tuple[Encoder, Decoder]:
 BLOCK = 1 << 16
 
 
+def blocks_of_ids(encoder: Encoder, text: str) -> Iterator[bytes]:
+    machine = Transducer(encoder, BLOCK)
+    for i in range(0, len(text), BLOCK):
+        yield machine.feed(text[i : i + BLOCK])
+    yield machine.finish()
+
+
 def round_trip(encoder: Encoder, decoder: Decoder, text: str) -> tuple[int, str, str]:
-    """Token count and the digests of ids and of the decoded text, a block at a time."""
-    ids = encoder.encode(text)
-    of_ids, of_text = hashlib.sha256(), hashlib.sha256()
+    """Token count and the digests of ids and of the decoded text: ids are hashed and decoded as they come."""
+    of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
     decoder.restart()
-    for i in range(0, len(ids), BLOCK):
-        block = ids[i : i + BLOCK].tolist()
-        of_ids.update((" " * bool(i) + " ".join(map(str, block))).encode())
-        of_text.update(decoder.feed(block).encode("utf-8"))
+    for block in blocks_of_ids(encoder, text):
+        if block:
+            ids = np.frombuffer(block, "<u4").tolist()
+            of_ids.update((" " * bool(n) + " ".join(map(str, ids))).encode())
+            of_text.update(decoder.feed(ids).encode("utf-8"))
+            n += len(ids)
     of_text.update(decoder.finish().encode("utf-8"))
-    return len(ids), of_ids.hexdigest(), of_text.hexdigest()
+    return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -268,7 +425,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
         encoder, _ = machines(path)
         for batch in slices(batches, text):
             at = batch.schema.get_field_index(text)
-            ids = pa.array([encoder.encode(t).astype(np.int32) for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([np.frombuffer(b"".join(blocks_of_ids(encoder, t)), "<i4") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), ids], names)
 
     return kept.mapInArrow(run, with_field(docs.schema, out, "array<int>"))

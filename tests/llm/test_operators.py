@@ -275,23 +275,59 @@ def test_bpe_equals_the_library(spark, docs):
     assert bpe.round_trips(docs.limit(0), path).count() == 0
 
 
-def test_stream_is_stable_for_any_continuation():
-    """A boundary with the computed lookahead behind it stays, whatever is appended."""
+def test_word_stream_is_stable_for_any_continuation():
+    """Tokens that are out stay, whatever follows, and together they are the whole word's."""
     encoder, _ = bpe.machines(tokenizer_path("word_bpe_49k.json"))
     rng = random.Random(8)
-    for _ in range(20):
-        word = "".join(rng.choices("etaoinshrdlu", k=encoder.ahead + 60))
-        whole = [encoder.merge([encoder.first[b] for b in (word + more).encode()]) for more in ("", "x" * 9, "".join(rng.choices("eta", k=30)))]
-        firsts = []
-        for tokens in whole:
-            at, kept = 0, []
-            for t in tokens:
-                at += encoder.sizes[t]
-                if at + encoder.ahead > len(word):
-                    break
-                kept.append(t)
-            firsts.append(kept)
-        assert firsts[0] == firsts[1] == firsts[2] and firsts[0]
+    assert np.mean([encoder.ahead_of[t] <= bpe.WINDOW for t in encoder.vocab.values()]) > 0.5
+    for n in range(400):
+        pieces = rng.choice(["etaoinshrdlu", ["the", "ing", "tion", "ation", "s", "er"], "ab", "!?.", ["a"], [*"aeiou", "ß", "日本", "👍"]])
+        word = "".join(rng.choices(pieces, k=rng.randint(1, 400))).encode()
+        stream, out, at = bpe.WordStream(encoder), [], 0
+        while at < len(word):
+            step = rng.randint(1, 90)
+            out += stream.feed(word[at : at + step])
+            at += step
+        early = len(out)
+        out += stream.finish()
+        assert out == encoder.merge([*(encoder.first[b] for b in word[:-1]), encoder.last[word[-1]]]), word
+        assert early or len(word) < 1200
+
+
+@pytest.mark.parametrize("block", [130, 200, 1000])
+def test_transducer_equals_the_library(block):
+    """Texts with and without white space, in blocks; most tokens are out before the end of the input."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    lib, (encoder, _) = Tokenizer.from_file(path), bpe.machines(path)
+    rng = random.Random(block)
+    marks = ["a" * 50, "!" * 70, "'s", "'", "re", "1234", "Éa", "e\u0301", "日本語", "<|endoftext|>", "ing", "ΣΣ", "\u1100\u1161\u11a8", "x", "'ll", "-", "\u0301"]
+    texts_ = [" ".join(rng.choices(ALPHABET, k=3000)), "a" * 5000, "!" * 5000 + "x" * 3000 + "'s", "9" * 2000, "é" * 3000, "\u0301" * 500, " " * 3000 + "x"]
+    texts_ += ["".join(rng.choices(marks, k=rng.randint(50, 400))) for _ in range(60)] + ["".join(rng.choices([*marks, " ", "\n"], k=300)) for _ in range(60)]
+    for t in texts_:
+        machine, out = bpe.Transducer(encoder, block), b""
+        for i in range(0, len(t), 97):
+            out += machine.feed(t[i : i + 97])
+            assert t[0] == "\u0301" or len(machine.pending) <= block + 97 and len(machine.words) <= 4 * block
+        early = len(out)
+        out += machine.finish()
+        assert np.frombuffer(out, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t[:200]
+        assert early > 0.5 * len(out) or len(t) < 4 * block or t[0] in " \u0301"
+
+
+def test_transducer_needs_little_memory():
+    """A text of 2.8 million characters without any white space adds less than 20 MB, whatever its length: blocks are of 65536 characters."""
+    import tracemalloc
+
+    encoder, decoder = bpe.machines(tokenizer_path("word_bpe_49k.json"))
+    text = "abcdefghij,.12" * 200_000
+    bpe.round_trip(encoder, decoder, text[:100_000])
+    tracemalloc.start()
+    n, _, _ = bpe.round_trip(encoder, decoder, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 200_000 and peak < 20_000_000, peak
 
 
 # --- chat ----------------------------------------------------------------------------------------------------------

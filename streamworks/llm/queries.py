@@ -147,24 +147,32 @@ def _op7_sql(threshold: float = 0.8) -> str:
     """All windows against all templates by exact containment, without bands and without the filter on words."""
     own = {name: license.words_of(t) for name, t in license.TEMPLATES.items()}
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    k = license.SHINGLE
+
+    def once(w: list[str]) -> str:
+        every = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
+        return ", ".join(quoted(x) if every.count(x) == 1 else "NULL" for x in license.shingles_of(w))
+
     values = ", ".join(
-        f"({quoted(name)}, {license.size_class(len(w))}, {len(w)}, [{', '.join(map(quoted, license.shingles_of(w)))}])" for name, w in own.items()
+        f"({quoted(name)}, {license.size_class(len(w))}, {len(w)}, [{', '.join(map(quoted, license.shingles_of(w)))}], [{once(w)}])" for name, w in own.items()
     )
-    k = license.SHINGLE
     return f"""
-WITH t(template, size, n_words, own) AS (VALUES {values}),
-d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, {quoted(license.EDGES)}, '', 'g')), lambda w: w <> '') AS w FROM documents),
-s AS (SELECT doc_id, w, size, unnest(range(0, greatest(0, len(w) - 1 - size) + 1, size)) AS start FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) > 0),
-v AS (SELECT doc_id, size, start, w[start + 1 : start + 2 * size] AS w FROM s),
-g AS (SELECT doc_id, size, start, list_transform(range(1, greatest(1, len(w) - {k - 1}) + 1), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) AS sh FROM v),
-m AS (SELECT doc_id, template, n_words, start, own, sh, len(list_intersect(own, sh)) / len(own) AS containment FROM g JOIN t USING (size) WHERE list_has_any(own, sh)),
-p AS (SELECT DISTINCT doc_id, template, n_words, containment,
-    start + list_min(list_filter(range(len(sh)), lambda i: list_contains(own, sh[i + 1]))) AS start_word,
-    start + list_max(list_filter(range(len(sh)), lambda i: list_contains(own, sh[i + 1]))) + least({k}, n_words) AS end_word FROM m WHERE containment >= {threshold} - 1e-9),
-n AS (SELECT *, coalesce(max(end_word) OVER (PARTITION BY doc_id ORDER BY start_word, end_word, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) <= start_word AS new FROM p),
-r AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY start_word, end_word, template ROWS UNBOUNDED PRECEDING) AS run FROM n),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY containment DESC, n_words DESC, start_word, template DESC) AS best FROM r)
-SELECT doc_id, template, CAST(start_word AS INTEGER) AS start_word, CAST(end_word AS INTEGER) AS end_word, containment FROM b WHERE best = 1
+WITH t(template, size, n_words, own, ordered) AS (VALUES {values}),
+u AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, md5(text) AS k, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, {quoted(license.EDGES)}, '', 'g')), lambda w: w <> '') AS w FROM u),
+s AS (SELECT doc_id, k, w, size, unnest(range(0, greatest(0, len(w) - 1 - size) + 1, size)) AS start FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) > 0),
+v AS (SELECT doc_id, k, size, start, w[start + 1 : start + 2 * size] AS w FROM s),
+g AS (SELECT doc_id, k, size, start, list_transform(range(1, greatest(1, len(w) - {k - 1}) + 1), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) AS sh FROM v),
+m AS (SELECT doc_id, k, template, n_words, start, own, ordered, sh, size FROM g JOIN t USING (size) WHERE list_has_any(own, sh) AND len(list_intersect(own, sh)) / len(own) >= {threshold} - 1e-9),
+h AS (SELECT * FROM (SELECT *, list_position(ordered, sh[i + 1]) AS p FROM (SELECT *, unnest(range(len(sh))) AS i FROM m)) WHERE p > 0),
+n AS (SELECT *, CASE WHEN p <= lag(p) OVER b OR i - lag(i) OVER b > n_words THEN 1 ELSE 0 END AS new FROM h WINDOW b AS (PARTITION BY doc_id, k, template, start ORDER BY i)),
+o AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, k, template, start ORDER BY i ROWS UNBOUNDED PRECEDING) AS occurrence FROM n),
+e AS (SELECT doc_id, k, template, n_words, start, any_value(own) AS own, any_value(sh) AS sh, min(i) AS a, max(i) AS b FROM o GROUP BY doc_id, k, template, n_words, start, occurrence),
+p AS (SELECT DISTINCT doc_id, k, template, start + a AS start_word, start + b + least({k}, n_words) AS end_word, len(list_intersect(own, sh[a + 1 : b + 1])) AS held, len(own) AS size FROM e),
+q AS (SELECT *, held / size AS containment, row_number() OVER (PARTITION BY doc_id, k ORDER BY held DESC, held / size DESC, start_word, end_word, template DESC) AS r FROM p WHERE held / size >= {threshold} - 1e-9)
+SELECT doc_id, template, CAST(start_word AS INTEGER) AS start_word, CAST(end_word AS INTEGER) AS end_word, containment FROM q x WHERE NOT EXISTS (
+  SELECT 1 FROM q y WHERE x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.k = y.k AND y.r < x.r
+    AND 2 * (least(x.end_word, y.end_word) - greatest(x.start_word, y.start_word)) > least(x.end_word - x.start_word, y.end_word - y.start_word))
 """
 
 

@@ -396,6 +396,41 @@ def test_license_scan_equals_brute_force(spark):
     assert license.scan(df.limit(0)).count() == 0
 
 
+def test_license_occurrences_and_rows(spark):
+    """Licences side by side, the same one many times, rows without ids, full texts with changes, no templates."""
+    t, line = license.TEMPLATES, "the words between them are a few more than five of them"
+    rows = [
+        (1, f"{t['gpl-2.0']} {t['gpl-3.0']}"), (2, f"{t['gpl-2.0']}\n{line}\n{t['gpl-3.0']}"), (3, "\n".join((t["mit"], t["cc-by-4.0"], t["mit"]))), (4, "\n".join([t["apache-2.0"]] * 100)),
+        (None, f"x {t['mit']}"), (None, t["cc-by-4.0"]), (None, None), (5, t["mit"]), (5, t["cc-by-4.0"]), (5, t["mit"]),
+        (6, f"Copyright (c) 2020 someone {t['mit text']} {line} {t['bsd-3-clause text']}"), (7, t["gpl-3.0 header"].replace("redistribute", "copy").replace("useful", "handy")), (8, "\n".join(f"{k}: {v}" for k, v in t.items() if k.endswith("text"))),
+    ]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.start_word):
+        by.setdefault(r.doc_id, []).append(r.template)
+    assert by[1] == by[2] == ["gpl-2.0", "gpl-3.0"] and by[3] == ["mit", "cc-by-4.0", "mit"] and by[4] == ["apache-2.0"] * 100
+    assert sorted(by[None]) == sorted(by[5]) == ["cc-by-4.0", "mit"] and by[6] == ["mit text", "bsd-3-clause text"] and by[7] == ["gpl-3.0 header"]
+    assert by[8] == [k for k in t if k.endswith("text")]
+    assert license.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={}).count() == 0
+    assert len(set(map(license.size_class, (len(license.words_of(x)) for x in t.values())))) >= 5
+
+
+def test_license_bands_recall_without_the_filter_on_words(spark, monkeypatch):
+    """What the bands alone retrieve: with every word an anchor, no planted template is missed."""
+    rng, names = random.Random(3), list(license.TEMPLATES)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 300))]
+        own = license.TEMPLATES[names[i % len(names)]].split()
+        if len(own) > 100:  # 0.88 of the shingles stay at least
+            own[len(own) // 2] = own[len(own) // 4] = "changed"
+        at = rng.randint(0, len(words))
+        rows.append((i, " ".join([*words[:at], *own, *words[at:]])))
+    monkeypatch.setattr(license, "anchors", lambda found, *_: set(found) | {w for _, t in rows for w in license.words_of(t)})
+    got = {(r.doc_id, r.template) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((i, names[i % len(names)]) in got for i in range(400)) >= 399
+
+
 # --- personal data -------------------------------------------------------------------------------------------------
 
 

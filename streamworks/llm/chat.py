@@ -1,8 +1,9 @@
 """Chat formatting: records of any known layout become turns, and turns one reversible training text.
 
 Layouts are recognised by their schema, not by trial: the paths of a record's nested fields (those of a JSON text, or the fields of
-a struct that aren't null) are listed and hashed, and the fingerprint picks a declarative ``Mapping`` from a registry: which field is the
-list of turns or, without one, which fields are single turns of which role. A record of an unknown fingerprint gives no
+a struct) are listed, to ``DEPTH`` levels and over all members of lists; fields that are null are absent. Of them those count that any mapping names, so ids,
+sources, tools and other fields don't matter; their hash picks a declarative ``Mapping`` from a registry: which field is the
+list of turns or, without one, which fields are single turns of which role. Texts may be lists of parts, whose texts are joined. A record of an unknown fingerprint gives no
 turns and says so (``layout`` null). Spark's JSON functions read texts of up to 20 million characters; structs have no such limit.
 
 The template marks a turn ``[INST]...[/INST]`` for the user, ``[SYS]...[/SYS]`` for the system, ``<s>...</s>`` for
@@ -19,11 +20,14 @@ are repeated turns; a null id is a conversation; an empty table gives an empty r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 #: Opening and closing control strings by role.
 MARKS = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
@@ -42,7 +46,9 @@ def unescape(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mapping:
-    """``turns``: JSON path of the list of turns, ``role`` and ``text`` the fields in it; or ``single``: (role, path) in order."""
+    """``turns``: path of the list of turns, ``role`` and ``text`` the fields in it; or ``single``: (role, path) in order.
+
+    ``paths`` must all be there, those of ``optional`` may be. With ``parts`` a turn's text is a list of parts with a text each."""
 
     name: str
     paths: tuple[str, ...]
@@ -51,88 +57,163 @@ class Mapping:
     text: str = "text"
     single: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
+    parts: bool = False
 
     @property
-    def fingerprint(self) -> Column:
-        return F.xxhash64(F.lit("\n".join(sorted(self.paths))))
+    def fingerprints(self) -> list[Column]:
+        """One for each choice of optional paths."""
+        chosen = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
+        return [F.xxhash64(F.lit("\n".join(sorted({*self.paths, *c})))) for c in chosen]
 
 
 SAME_ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
+CONTENT = ("messages", "messages[].content", "messages[].role")
 #: Field paths are those of objects; [] stands for the members of a list.
-MAPPINGS = (
-    Mapping("turns", ("conversation", "conversation[].role", "conversation[].text"), turns="conversation"),
-    Mapping("messages", ("messages", "messages[].content", "messages[].role"), turns="messages", text="content"),
-    Mapping("shared", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=SAME_ROLES),
+FLAT = (
     Mapping("prompt", ("completion", "prompt"), single=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("answer", ("prompt", "response"), single=(("user", "prompt"), ("assistant", "response"))),
     Mapping("instruction", ("instruction", "output"), single=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction with input", ("input", "instruction", "output"), single=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("instruction with system", ("instruction", "output", "system"), single=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
 )
+MAPPINGS = (
+    Mapping("turns", ("conversation", "conversation[].role", "conversation[].text"), turns="conversation"),
+    Mapping("messages", CONTENT, turns="messages", text="content", optional=("prompt",)),
+    Mapping("messages of parts", (*CONTENT, "messages[].content[].text"), turns="messages", text="content", parts=True, optional=("prompt",)),
+    Mapping("shared", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=SAME_ROLES, optional=("system",)),
+    *FLAT,
+    # the same fields, one level further down
+    *(Mapping(f"nested {m.name}", ("data", *(f"data.{p}" for p in m.paths)), single=tuple((r, f"data.{p}") for r, p in m.single)) for m in FLAT),
+)
+#: How deep fields are listed; no mapping names deeper ones.
+DEPTH = 4
+
+
+def _named(mappings: tuple[Mapping, ...]) -> Column:
+    return F.array(*[F.lit(p) for p in sorted({p for m in mappings for p in (*m.paths, *m.optional)})])
+
+
+def field_paths(record: Column, depth: int = DEPTH) -> Column:
+    """The paths of a JSON text's fields that aren't null, each once: of nested objects, and of all members of lists of objects."""
+    none = F.array().cast("array<string>")
+
+    def below(value: Column, prefix: Column, left: int) -> Column:
+        """Paths under one JSON value: an object's fields, or those of a list's members."""
+        keys = F.coalesce(F.json_object_keys(value), none)
+
+        def field(name: Column) -> Column:
+            inner = F.call_function("get_json_object", value, F.concat(F.lit("$['"), name, F.lit("']")))
+            path = F.concat(prefix, name)
+            return F.when(inner.isNull(), none).otherwise(F.concat(F.array(path), of_value(inner, path, left - 1)) if left > 1 else F.array(path))
 
+        return F.flatten(F.transform(keys, field))
 
-def field_paths(record: Column) -> Column:
-    """The sorted paths of a JSON object's fields, down to the fields of listed objects. A list counts by its first member."""
-    names = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    def of_value(value: Column, path: Column, left: int) -> Column:
+        members = F.coalesce(F.from_json(value, "array<string>"), none)
+        listed = F.flatten(F.transform(members, lambda m: F.when(m.startswith("{"), below(m, F.concat(path, F.lit("[].")), left)).otherwise(none)))
+        return F.when(value.startswith("["), F.array_distinct(listed)).when(value.startswith("{"), below(value, F.concat(path, F.lit(".")), left)).otherwise(none)
 
-    def below(name: Column) -> Column:
-        first = F.call_function("get_json_object", record, F.concat(F.lit("$['"), name, F.lit("'][0]")))
-        inner = F.coalesce(F.json_object_keys(first), F.array().cast("array<string>"))
-        return F.concat(F.array(name), F.transform(inner, lambda k: F.concat(name, F.lit("[]."), k)))
+    return F.array_distinct(below(record, F.lit(""), depth))
 
-    return F.array_sort(F.flatten(F.transform(names, below)))
 
+def struct_paths(record: Column, schema: T.StructType, depth: int = DEPTH) -> Column:
+    """The same for a struct."""
+    none = F.array().cast("array<string>")
 
-def struct_paths(record: Column, schema: T.StructType) -> Column:
-    """The same for a struct: the fields of its schema that aren't null in the row."""
-    paths = []
-    for f in schema:
-        inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
-        own = [f.name, *(f"{f.name}[].{g.name}" for g in (inner.fields if isinstance(inner, T.StructType) else []))]
-        paths.append(F.when(record[f.name].isNotNull(), F.array(*[F.lit(p) for p in own])).otherwise(F.array().cast("array<string>")))
-    return F.array_sort(F.concat(*paths)) if paths else F.array().cast("array<string>")
+    def below(value: Column, kind: T.StructType, prefix: str, left: int) -> Column:
+        each = [F.when(value[f.name].isNull(), none).otherwise(F.concat(F.array(F.lit(prefix + f.name)), of_value(value[f.name], f.dataType, prefix + f.name, left - 1))) for f in kind]
+        return F.concat(none, *each)
 
+    def of_value(value: Column, kind: T.DataType, path: str, left: int) -> Column:
+        if left < 1:
+            return none
+        if isinstance(kind, T.StructType):
+            return below(value, kind, f"{path}.", left)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.array_distinct(F.flatten(F.transform(value, lambda m: F.coalesce(below(m, kind.elementType, f"{path}[].", left), none))))
+        return none
 
-def schema_fingerprint(record: Column, schema: T.StructType | None = None) -> Column:
-    return F.xxhash64(F.array_join(struct_paths(record, schema) if schema else field_paths(record), "\n"))
+    return F.array_distinct(below(record, schema, "", depth))
+
+
+def schema_fingerprint(record: Column, schema: T.StructType | None = None, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The hash of the record's paths that mappings name, in order."""
+    paths = struct_paths(record, schema) if schema else field_paths(record)
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, _named(mappings))), "\n"))
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _listed_turns(listed: Column, m: Mapping) -> Column:
-    if not m.roles:
-        return F.transform(listed, lambda t: _turn(t[m.role], t[m.text]))
-    known = F.create_map(*[F.lit(x) for p in m.roles for x in p])
-    return F.transform(listed, lambda t: _turn(F.coalesce(F.try_element_at(known, t[m.role]), t[m.role]), t[m.text]))
+TURNS = "array<struct<role:string,text:string>>"
+
+
+def _listed_turns(listed: Column, m: Mapping, text) -> Column:
+    listed = F.filter(listed, lambda t: t.isNotNull())
+    role = lambda t: t[m.role]
+    if m.roles:
+        known = F.create_map(*[F.lit(x) for p in m.roles for x in p])
+        role = lambda t: F.coalesce(F.try_element_at(known, t[m.role]), t[m.role])
+    return F.coalesce(F.transform(listed, lambda t: _turn(role(t), text(t))), F.array().cast(TURNS))
+
+
+def _texts_of_parts(text: Column) -> Column:
+    """A text, or the joined texts of a JSON list of parts."""
+    parts = F.transform(F.from_json(text, "array<struct<text:string>>"), lambda p: F.coalesce(p["text"], F.lit("")))
+    return F.when(text.startswith("[{"), F.coalesce(F.array_join(parts, ""), text)).otherwise(text)
+
+
+def _at(record: Column, path: str) -> Column:
+    for name in path.split("."):
+        record = record[name]
+    return record
+
+
+def _has(schema: T.StructType, path: str) -> T.DataType | None:
+    kind: T.DataType = schema
+    for name in path.replace("[]", ".[]").split("."):
+        if name == "[]":
+            kind = getattr(kind, "elementType", None)
+        elif isinstance(kind, T.StructType) and name in kind.names:
+            kind = kind[name].dataType
+        else:
+            return None
+    return kind
 
 
 def _mapped(record: Column, m: Mapping, schema: T.StructType | None) -> Column | None:
     """The turns by one mapping; None if a struct's schema can't have them."""
-    if schema and not {p.partition("[")[0] for p in m.paths} <= set(schema.names):
+    if schema and any(_has(schema, p) is None for p in m.paths):
         return None
     if m.turns:
         if schema:
-            inner = getattr(schema[m.turns].dataType, "elementType", None)
-            if not isinstance(inner, T.StructType) or not {m.role, m.text} <= set(inner.names):
+            if m.parts:
+                return _listed_turns(record[m.turns], m, lambda t: F.array_join(F.transform(t[m.text], lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+            if not isinstance(_has(schema, f"{m.turns}[].{m.text}"), T.StringType):
                 return None
-            return _listed_turns(record[m.turns], m)
+            return _listed_turns(record[m.turns], m, lambda t: t[m.text])
         kind = f"struct<`{m.turns}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
-        return _listed_turns(F.from_json(record, kind)[m.turns], m)
-    each = record if schema else F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in m.single) + ">")
-    return F.filter(F.array(*[_turn(F.lit(r), each[p].cast("string")) for r, p in m.single]), lambda t: (t["role"] != "system") | (t["text"] != ""))
+        return _listed_turns(F.from_json(record, kind)[m.turns], m, lambda t: _texts_of_parts(t[m.text]) if m.parts else t[m.text])
+
+    def single(path: str) -> Column:
+        return _at(record, path).cast("string") if schema else F.call_function("get_json_object", record, F.lit("$." + path))
+
+    return F.filter(F.array(*[_turn(F.lit(r), single(p)) for r, p in m.single]), lambda t: (t["role"] != "system") | (t["text"] != ""))
 
 
-def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None) -> tuple[Column, Column]:
+def canonical_turns(
+    record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None, fingerprint: Column | None = None
+) -> tuple[Column, Column]:
     """(layout, turns) of a record: the mapping's name, and array<struct<role, text>>. With a ``schema`` the record is a struct, else JSON text."""
-    own = schema_fingerprint(record, schema)
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    own = schema_fingerprint(record, schema, mappings) if fingerprint is None else fingerprint
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
         found = _mapped(record, m, schema)
         if found is not None:
-            layout = F.when(own == m.fingerprint, F.lit(m.name)).otherwise(layout)
-            turns = F.when(own == m.fingerprint, found).otherwise(turns)
+            layout = F.when(own.isin(*m.fingerprints), F.lit(m.name)).otherwise(layout)
+            turns = F.when(own.isin(*m.fingerprints), found).otherwise(turns)
     return layout, turns
 
 
@@ -187,9 +268,11 @@ def loss_text(formatted: Column) -> Column:
 
 def format_conversations(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout`` and ``formatted`` (null for an unknown layout)."""
-    kind = records.schema[record_col].dataType
-    layout, turns = canonical_turns(F.col(record_col), mappings, kind if isinstance(kind, T.StructType) else None)
-    return records.withColumn("layout", layout).withColumn("formatted", format_turns(turns))
+    kind, own = records.schema[record_col].dataType, free_name(records, "fingerprint")
+    schema = kind if isinstance(kind, T.StructType) else None
+    layout, turns = canonical_turns(F.col(record_col), mappings, schema, F.col(own))
+    found = records.withColumn(own, schema_fingerprint(F.col(record_col), schema, mappings))
+    return found.withColumn("layout", layout).withColumn("formatted", format_turns(turns)).drop(own)
 
 
 def turn_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

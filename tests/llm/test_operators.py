@@ -361,6 +361,27 @@ def test_chat_layouts(spark):
     assert {g.formatted for g in got if g.layout} == {"[INST]hi[/INST]<s>yo</s>"}
 
 
+def test_chat_layouts_with_other_fields(spark):
+    """Extra fields, nulls, nested prompts, parts and odd first members don't hide a layout."""
+    said = '"role":"user","content":"hi"},{"role":"assistant","content":"yo"'
+    records = [
+        ('{"id":7,"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo","weight":1}]}', "shared"),
+        ('{"id":"a","source":"web","tools":[{"name":"x"}],"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}],"system":null}', "shared"),
+        ('{"messages":[{"name":null,' + said + "}]}", "messages"), ('{"prompt":"hi","messages":[{' + said + ',"extra":{"deep":{"er":[1]}}}]}', "messages"),
+        ('{"messages":[{},{' + said + "}]}", "messages"), ('{"data":{"prompt":"hi","completion":"yo","id":3}}', "nested prompt"), ('{"prompt":"hi","completion":"yo","input":null}', "prompt"),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"h"},{"type":"text","text":"i"}]},{"role":"assistant","content":"yo"}]}', "messages of parts"),
+        ('{"prompt":"hi"}', None), ('{"messages":[]}', None), ('{"messages":{"role":"user","content":"x"}}', None), ("[1,2]", None),
+    ]
+    got = chat.format_conversations(spark.createDataFrame([(r,) for r, _ in records], "record string")).collect()
+    assert {(g.record, g.layout) for g in got} == set(records)
+    want = {"[INST]hi[/INST]<s>yo</s>", "[ROLE][TEXT][/ROLE][INST]hi[/INST]<s>yo</s>"}
+    assert {g.formatted for g in got if g.layout} == want
+    kind = "record struct<id:long,data:struct<prompt:string,completion:string>,messages:array<struct<role:string,content:array<struct<type:string,text:string>>,name:string>>>"
+    rows = [((1, ("hi", "yo"), None),), ((2, None, [("user", [("text", "h"), ("text", "i")], None), ("assistant", [("text", "yo")], "n")]),), ((3, None, None),)]
+    got = chat.format_conversations(spark.createDataFrame(rows, kind)).select("layout", "formatted").collect()
+    assert [tuple(g) for g in got] == [("nested prompt", "[INST]hi[/INST]<s>yo</s>"), ("messages of parts", "[INST]hi[/INST]<s>yo</s>"), (None, None)]
+
+
 def test_chat_structs_of_one_table(spark):
     """Rows of several layouts in one wide struct; a text beyond what JSON functions read."""
     kind = "record struct<prompt:string,completion:string,messages:array<struct<role:string,content:string>>,instruction:string>"

@@ -41,19 +41,53 @@ def convert_channels(frame: Column, weights: list[list[float]] | None, n_in: int
     return F.array(*out)
 
 
-#: Down-mix tables by layout, a row for each output channel.
-HALF_POWER = 0.707
-DOWNMIX = {
-    ("mono", "stereo"): [[1.0], [1.0]],
-    ("stereo", "mono"): [[0.5, 0.5]],
-    ("quad", "stereo"): [[1.0, 0.0, HALF_POWER, 0.0], [0.0, 1.0, 0.0, HALF_POWER]],
-    ("5.1", "stereo"): [[1.0, 0.0, HALF_POWER, 0.0, HALF_POWER, 0.0], [0.0, 1.0, HALF_POWER, 0.0, 0.0, HALF_POWER]],
-}
+#: Channels of each layout, in order.
+LAYOUTS = {
+    "mono": ("M",), "stereo": ("L", "R"), "quad": ("FL", "FR", "SL", "SR"), "5.1": ("FL", "FR", "C", "LFE", "BL", "BR"), "7.1": ("FL", "FR", "C", "LFE", "SL", "SR", "BL", "BR"),
+}
+#: By output and input layout, a sum for each output channel; "-" is silence.
+MIXES = {
+    "mono": {
+        "mono": "M", "stereo": "L*0.707+R*0.707", "quad": "FL*0.5+FR*0.5+SL*0.5+SR*0.5", "5.1": "FL*0.447+FR*0.447+C*0.447+BL*0.447+BR*0.447",
+        "7.1": "FL*0.378+FR*0.378+C*0.378+SL*0.378+SR*0.378+BL*0.378+BR*0.378",
+    },
+    "stereo": {
+        "mono": "M*0.707 M*0.707", "stereo": "L R", "quad": "FL+SL*0.707 FR+SR*0.707", "5.1": "FL+C*0.707+BL*0.707 FR+C*0.707+BR*0.707",
+        "7.1": "FL+C*0.707+SL*0.707+BL*0.596 FR+C*0.707+SR*0.707+BR*0.596",
+    },
+    "quad": {
+        "mono": "M*0.707 M*0.707 - -", "stereo": "L R - -", "quad": "FL FR SL SR", "5.1": "FL+C*0.707 FR+C*0.707 BL BR",
+        "7.1": "FL*0.965+FR*0.258+C*0.707+SL*0.707 FL*0.258+FR*0.965+C*0.707+SR*0.707 SL*0.707+BL*0.965+BR*0.258 SR*0.707+BL*0.258+BR*0.965",
+    },
+    "5.1": {
+        "mono": "M*0.707 M*0.707 - - - -", "stereo": "L R - - - -", "quad": "FL*0.961 FR*0.961 - - FL*0.274+SL*0.960+SR*0.422 FR*0.274+SL*0.422+SR*0.960", "5.1": "FL FR C LFE BL BR",
+        "7.1": "FL+SL*0.367 FR+SR*0.367 C LFE SL*0.930+BL*0.700+BR*0.460 SR*0.930+BL*0.460+BR*0.700",
+    },
+    "7.1": {
+        "mono": "M*0.707 M*0.707 - - - - - -", "stereo": "L R - - - - - -", "quad": "FL*0.939 FR*0.939 - - FL*0.344+SL*0.344 FR*0.344+SR*0.344 SL*0.939 SR*0.939",
+        "5.1": "FL FR C LFE BL*0.883 BR*0.883 BL*0.470 BR*0.470", "7.1": "FL FR C LFE SL SR BL BR",
+    },
+}
 
 
 def downmix_matrix(layout_in: str, layout_out: str) -> list[list[float]]:
-    """M4: the weights for M3."""
-    return DOWNMIX[layout_in, layout_out]
+    """M4: the weights for M3, a row for each output channel."""
+    channels, rows = LAYOUTS[layout_in], []
+    for total in MIXES[layout_out][layout_in].split(" "):
+        row = [0.0] * len(channels)
+        for term in total.split("+") if total != "-" else []:
+            name, _, weight = term.partition("*")
+            row[channels.index(name)] = float(weight or 1)
+        rows.append(row)
+    return rows
+
+
+def downmix_weights() -> list[tuple[str, str, int, int, float]]:
+    """M4 as rows (layout_in, layout_out, ch, out_ch, weight), silent channels with one weight of 0."""
+    return [
+        (a, b, c, d, w)
+        for b in MIXES for a in MIXES[b] for d, row in enumerate(downmix_matrix(a, b)) for c, w in enumerate(row) if w or (c == 0 and not any(row))
+    ]
 
 
 def interleave(channels: Column) -> Column:

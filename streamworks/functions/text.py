@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,11 @@ def parse_sample_name(name: Column) -> Column:
     return F.when(ok, found)
 
 
+def bad_names(names: DataFrame, name_col: str) -> DataFrame:
+    """how many names don't parse."""
+    return names.agg(F.count_if(parse_sample_name(F.col(name_col)).isNull()).alias("bad"))
+
+
 def trim_nul(text: Column) -> Column:
     """NULs and spaces go at both ends, inner NULs go too."""
     return F.regexp_replace(F.regexp_replace(text, r"^[\x00 ]+|[\x00 ]+$", ""), r"\x00", "")

@@ -81,6 +81,15 @@ def a16(spark, d):
     return C.gop_report(media_frames(spark, d))
 
 
+TYPED = "typed AS (SELECT *, CASE WHEN key_frame THEN 'I' WHEN frame_idx % 2 = 0 THEN 'P' ELSE 'B' END AS frame_type FROM media)"
+
+
+@query("a16_gop_report_by_type", with_sql(MEDIA_SQL, TYPED) + ", g AS (SELECT *, sum(key_frame::INT) OVER (PARTITION BY file_id ORDER BY frame_idx) AS gop FROM typed) SELECT file_id, CAST(gop AS BIGINT) AS gop, frame_type, CAST(count(*) AS BIGINT) AS frames, CAST(sum(size) AS BIGINT) AS bytes, CAST(min(pts) AS BIGINT) AS first_pts, CAST(max(pts) AS BIGINT) AS last_pts, CAST(count(*) FILTER (key_frame) AS BIGINT) AS key_frames FROM g GROUP BY 1, 2, 3")
+def a16c(spark, d):
+    kind = F.when(F.col("key_frame"), "I").when(F.col("frame_idx") % 2 == 0, "P").otherwise("B")
+    return C.gop_report(media_frames(spark, d).withColumn("frame_type", kind), "frame_type")
+
+
 @query("a16_rate_per_second", with_sql(MEDIA_SQL) + "SELECT file_id, CAST(pts // 1000 AS BIGINT) AS second, CAST(count(*) AS BIGINT) AS frames, CAST(sum(size) * 8 AS BIGINT) AS bits FROM media GROUP BY 1, 2")
 def a16b(spark, d):
     return C.rate_per_second(media_frames(spark, d))
@@ -131,6 +140,12 @@ def f10(spark, d):
     return zones(spark, d).filter("name NOT LIKE '% %'").select("name", X.parse_sample_name(F.col("name")).alias("p")).select("name", "p.idx", "p.note", "p.vel_min", "p.vel_max")
 
 
+@query("f10_bad_names", "SELECT CAST(count(*) AS BIGINT) AS bad FROM documents WHERE NOT regexp_matches(source || '_' || doc_id || '.wav', '^[0-9]+_')")
+def f10b(spark, d):
+    names = table(spark, d, "documents").select(F.concat("source", F.lit("_"), "doc_id", F.lit(".wav")).alias("name"))
+    return X.bad_names(names, "name")
+
+
 @query("m14_trim_nul", "SELECT doc_id, left(text, 20) AS title FROM documents WHERE left(text, 20) = trim(left(text, 20))")
 def m14(spark, d):
     t = F.substring("text", 1, 20)
@@ -150,6 +165,18 @@ def j7(spark, d):
     return N.state_as_of(midi_events(spark, d)).select("file_id", "seq", F.coalesce("in_force", F.lit(-1)).alias("in_force"))
 
 
+STATE_SQL = """state AS (SELECT *, CASE WHEN type = 3 AND seq % 2 = 0 THEN seq % 5 END AS bank, CASE WHEN type = 2 THEN seq % 16384 - 8192 END AS pitch, CASE WHEN type = 4 THEN velocity END AS pressure FROM midi)"""
+
+
+@query("j7_channel_state_as_of", with_sql(MIDI_SQL, STATE_SQL) + ", f AS (SELECT file_id, seq, type, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}_in_force" for c in ("bank", "program", "pitch", "pressure")) + """ FROM state WINDOW w AS (PARTITION BY file_id, channel ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT file_id, seq, """ + ", ".join(f"CAST(coalesce({c}_in_force, -1) AS INTEGER) AS {c}_in_force" for c in ("bank", "program", "pitch", "pressure")) + " FROM f WHERE type = 1")
+def j7b(spark, d):
+    kind = F.col("type")
+    rows = midi_events(spark, d).withColumns({"bank": F.when((kind == 3) & (F.col("seq") % 2 == 0), F.col("seq") % 5), "pitch": F.when(kind == 2, F.col("seq") % 16384 - 8192), "pressure": F.when(kind == 4, F.col("velocity"))})
+    names = ("bank", "program", "pitch", "pressure")
+    return N.state_as_of(rows, names).select("file_id", "seq", *[F.coalesce(f"{c}_in_force", F.lit(-1)).cast("int").alias(f"{c}_in_force") for c in names])
+
+
 TICKS = """timed AS (SELECT *, sum(delta_ticks) OVER w AS tick, sum(delta_ticks * tempo) OVER w / 480.0::DOUBLE / 1000 AS ms FROM (
   SELECT *, coalesce(last_value(tempo_us IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 500000) AS tempo FROM midi) WINDOW w AS (PARTITION BY file_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 
@@ -169,6 +196,11 @@ def a8(spark, d):
     return N.instrument_ranges(midi_events(spark, d).filter("type = 1"), "file_id")
 
 
+@query("a8_instrument_totals", with_sql(MIDI_SQL) + "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT file_id) AS BIGINT) AS instruments FROM midi WHERE type = 1")
+def a8b(spark, d):
+    return N.instrument_totals(midi_events(spark, d).filter("type = 1"), "file_id")
+
+
 @query("i1_crop", with_sql(PIXEL_SQL) + "SELECT frame_id, CAST(x - 4 AS INTEGER) AS x, CAST(y - 2 AS INTEGER) AS y, r, g, b FROM pixel WHERE x BETWEEN 4 AND 11 AND y BETWEEN 2 AND 9")
 def i1(spark, d):
     return I.crop(pixels(spark, d), 4, 2, 8, 8)

@@ -79,10 +79,24 @@ def w7(spark, d):
     return P.ssrc_collision(packets(spark, d)).select("ssrc", "arrival", "direction", "first_direction")
 
 
-@query("w17_resync_epoch")
+#: The scan as a recursion: high and pending are the state after each packet.
+W17_SQL = with_sql(PACKET_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (
+  SELECT ssrc, arrival, seq, CASE WHEN arrival % 500 = 0 THEN arrival // 9000 END AS roc, row_number() OVER (PARTITION BY ssrc ORDER BY arrival) AS k FROM packet
+), r AS (
+  SELECT DISTINCT ssrc, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS high, CAST(0 AS BIGINT) AS pending, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS INTEGER) AS seq, CAST(NULL AS BIGINT) AS roc, CAST(NULL AS BIGINT) AS index, CAST(NULL AS VARCHAR) AS epoch_status FROM packet
+  UNION ALL
+  SELECT ssrc, k, CASE WHEN s = 'pkt_idx_old' THEN high ELSE greatest(high, i) END, CASE WHEN s = 'pkt_idx_adv' THEN 0 ELSE count END, arrival, seq, roc, i, s FROM (
+    SELECT *, CASE WHEN count > 0 AND i - high > 32768 THEN 'pkt_idx_adv' WHEN count > 0 AND high - i > 32768 THEN 'pkt_idx_old' ELSE 'ok' END AS s FROM (
+      SELECT *, CASE WHEN count > 0 THEN count * 65536 + seq WHEN high <= 32768 THEN seq
+        ELSE (high // 65536 + CASE WHEN high % 65536 < 32768 THEN CASE WHEN seq - high % 65536 > 32768 THEN -1 ELSE 0 END WHEN high % 65536 - 32768 > seq THEN 1 ELSE 0 END) * 65536 + seq END AS i FROM (
+        SELECT p.*, r.high, coalesce(p.roc, r.pending) AS count FROM r JOIN p ON p.ssrc = r.ssrc AND p.k = r.k + 1)))
+) SELECT ssrc, arrival, seq, roc, index, epoch_status FROM r WHERE k > 0"""
+
+
+@query("w17_resync_epoch", W17_SQL)
 def w17(spark, d):
     p = packets(spark, d).select("ssrc", "arrival", "seq")
-    roc = F.when(F.col("arrival") % 500 == 0, (F.col("arrival") / 200000).cast("long"))
+    roc = F.when(F.col("arrival") % 500 == 0, F.floor(F.col("arrival") / 9000))
     return P.resync_epoch(p.withColumn("roc", roc))
 
 

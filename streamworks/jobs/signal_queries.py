@@ -60,6 +60,25 @@ def m3(spark, d):
     return rounded(table(spark, d, "embeddings").select("vec_id", F.get(both, F.lit(0)).alias("l"), F.get(both, F.lit(1)).alias("r")))
 
 
+def mix_values() -> str:
+    return ", ".join(f"('{a}', '{b}', {c}, {d}, {w}::DOUBLE)" for a, b, c, d, w in M.downmix_weights())
+
+
+@query("m4_downmix", f"""WITH layout(layout_in, n_in) AS (VALUES {', '.join(f"('{k}', {len(v)})" for k, v in M.LAYOUTS.items())}), mix(layout_in, layout_out, ch, out_ch, weight) AS (VALUES {mix_values()}),
+sample AS (SELECT vec_id, label, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(i)),
+cut AS (SELECT label, layout_in, i % n_in AS ch, x FROM sample, layout WHERE i // n_in < 64 // n_in)
+SELECT label, layout_in, layout_out, CAST(out_ch AS INTEGER) AS out_ch, {R('sum(weight * x)')} AS total FROM cut JOIN mix USING (layout_in, ch) GROUP BY 1, 2, 3, 4""")
+def m4(spark, d):
+    layouts = spark.createDataFrame([(k, len(v)) for k, v in M.LAYOUTS.items()], "layout_in string, n_in int")
+    weights = spark.createDataFrame(M.downmix_weights(), "layout_in string, layout_out string, ch int, out_ch int, weight double")
+    sample = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    frame = F.floor(F.col("i") / F.col("n_in"))
+    cut = sample.join(F.broadcast(layouts), frame < F.floor(64 / F.col("n_in"))).select(F.col("vec_id").alias("stream_id"), "label", "layout_in", (F.col("i") % F.col("n_in")).alias("ch"), frame.alias("n"), "x")
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("stream_id"), "label")
+    mixed = G.convert_layout(cut.drop("label"), weights).join(labels, "stream_id")
+    return rounded(mixed.groupBy("label", "layout_in", "layout_out", F.col("ch").cast("int").alias("out_ch")).agg(F.sum("x").alias("total")))
+
+
 @query("m5_interleave", f"SELECT vec_id, array_to_string(list_transform(range(1, 33), lambda i: printf('%.4f', embedding[i]::DOUBLE) || ',' || printf('%.4f', embedding[i + 32]::DOUBLE)), ',') AS mixed, {R('list_sum(list_transform(range(1, 65, 2), lambda i: embedding[i]::DOUBLE))')} AS first_channel FROM embeddings")
 def m5(spark, d):
     e = F.col("embedding").cast("array<double>")
@@ -207,7 +226,39 @@ def u2(spark, d):
     return rounded(G.same_output(s, s.withColumn("x", F.when(F.col("n") % 100 == 0, F.col("x") + 1).otherwise(F.col("x")))))
 
 
-@query("q13_eq_filter")
+def q13_sql() -> str:
+    """The cascade sample by sample; coefficients by the cookbook's formulas, written out again."""
+    import math
+
+    def section(kind, fc, q, gain):
+        w, amp = 2 * math.pi * fc / 16000, 10 ** (gain / 40)
+        cos, alpha = math.cos(w), math.sin(w) / (2 * q)
+        if kind == "high_pass":
+            rows = ((1 + cos) / 2, -1 - cos, (1 + cos) / 2), (1 + alpha, -2 * cos, 1 - alpha)
+        elif kind == "low_pass":
+            rows = ((1 - cos) / 2, 1 - cos, (1 - cos) / 2), (1 + alpha, -2 * cos, 1 - alpha)
+        elif kind == "peak":
+            rows = (1 + alpha * amp, -2 * cos, 1 - alpha * amp), (1 + alpha / amp, -2 * cos, 1 - alpha / amp)
+        else:
+            k = 2 * math.sqrt(amp) * alpha
+            rows = (amp * ((amp + 1) + (amp - 1) * cos + k), -2 * amp * ((amp - 1) + (amp + 1) * cos), amp * ((amp + 1) + (amp - 1) * cos - k)), ((amp + 1) - (amp - 1) * cos + k, 2 * ((amp - 1) - (amp + 1) * cos), (amp + 1) - (amp - 1) * cos - k)
+        (b0, b1, b2), (a0, a1, a2) = rows
+        return [f"({x!r})::DOUBLE" for x in (b0 / a0, b1 / a0, b2 / a0, a1 / a0, a2 / a0)]
+
+    bank = [section("high_pass", 100.0, 0.707, 0.0), section("peak", 1000.0, 1.0, 6.0), section("high_shelf", 4000.0, 0.707, -3.0), section("low_pass", 7000.0, 0.707, 0.0)]
+    inner, state, begin = "SELECT s.*, " + ", ".join(f"r.p{i}, r.q{i}" for i in range(4)) + ", s.x AS y0 FROM r JOIN sample s ON s.stream_id = r.stream_id AND s.ch = r.ch AND s.n = r.n + 1", [], []
+    for i, (b0, *_) in enumerate(bank):
+        inner = f"SELECT *, {b0} * y{i} + p{i} AS y{i + 1} FROM ({inner})"
+    for i, (_, b1, b2, a1, a2) in enumerate(bank):
+        state.append(f"{b1} * y{i} - {a1} * y{i + 1} + q{i} AS p{i}, {b2} * y{i} - {a2} * y{i + 1} AS q{i}")
+        begin.append(f"0.0::DOUBLE AS p{i}, 0.0::DOUBLE AS q{i}")
+    return with_sql(SAMPLE_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f""", r AS (
+  SELECT DISTINCT stream_id, ch, CAST(-1 AS BIGINT) AS n, {", ".join(begin)}, 0.0::DOUBLE AS x FROM sample
+  UNION ALL SELECT stream_id, ch, n, {", ".join(state)}, y4 AS x FROM ({inner})
+) SELECT stream_id, ch, n, {R('x')} AS x FROM r WHERE n >= 0"""
+
+
+@query("q13_eq_filter", q13_sql())
 def q13(spark, d):
     bank = [{"kind": "high_pass", "fc": 100.0}, {"kind": "peak", "fc": 1000.0, "q": 1.0, "gain": 6.0}, {"kind": "high_shelf", "fc": 4000.0, "gain": -3.0}, {"kind": "low_pass", "fc": 7000.0}]
     return rounded(G.eq_filter(samples(spark, d), bank, 16000))
@@ -330,6 +381,14 @@ def q12(spark, d):
     return rounded(V.howl_candidates(V.power_spectrum(frames(spark, d)), papr=3.0, phpr=3.0, pnpr=1.0))
 
 
+@query("q12_howl_stable", with_sql(FRAME_SQL, DFT) + f""", m AS (SELECT *, avg(p) OVER (PARTITION BY stream_id, frame_idx) AS mean, lag(p) OVER w AS lo, lead(p) OVER w AS hi,
+  stddev_pop(10 * log10(greatest(p, 1e-20))) OVER (PARTITION BY stream_id, bin ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS deviation FROM spec WINDOW w AS (PARTITION BY stream_id, frame_idx ORDER BY bin))
+SELECT m.stream_id, m.frame_idx, CAST(m.bin AS INTEGER) AS bin, {R('m.p')} AS p FROM m LEFT JOIN spec h2 ON h2.stream_id = m.stream_id AND h2.frame_idx = m.frame_idx AND h2.bin = 2 * m.bin LEFT JOIN spec h3 ON h3.stream_id = m.stream_id AND h3.frame_idx = m.frame_idx AND h3.bin = 3 * m.bin
+WHERE m.bin > 0 AND deviation <= 4 AND 10 * log10(m.p / mean) > 3 AND coalesce(10 * log10(m.p / lo), 1e9) > 1 AND coalesce(10 * log10(m.p / hi), 1e9) > 1 AND coalesce(10 * log10(m.p / h2.p), 1e9) > 3 AND coalesce(10 * log10(m.p / h3.p), 1e9) > 3""")
+def q12b(spark, d):
+    return rounded(V.howl_candidates(V.power_spectrum(frames(spark, d)), papr=3.0, phpr=3.0, pnpr=1.0, imsd=4.0, frames=4))
+
+
 @query("q16_band_split_levels", with_sql(FRAME_SQL, DFT) + f"SELECT stream_id, frame_idx, CAST(CASE WHEN bin * 250 < 500 THEN 0 WHEN bin * 250 < 2000 THEN 1 WHEN bin * 250 < 5000 THEN 2 ELSE 3 END AS INTEGER) AS band, {R('sum(p)')} AS energy FROM spec WHERE NOT (bin * 250 >= 500 AND bin * 250 < 2000) GROUP BY 1, 2, 3")
 def q16(spark, d):
     return rounded(G.bands(V.power_spectrum(frames(spark, d)), "power", (500, 2000, 5000), 16000, 64, (False, True, False, False)))

@@ -35,12 +35,20 @@ def folder(spark) -> str:
     return f"{(base or tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def feed(spark, df):
-    """A table as a file stream: written once, then read as a stream."""
+def feed(spark, df, order=None, batches=4):
+    """A table as a file stream. With an ``order`` the files come in so many batches, by ranges of it, each by all tasks; else in one."""
     place = f"{folder(spark)}/in"
     df = df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
-    df.write.parquet(place)
-    return spark.readStream.schema(df.schema).parquet(place)
+    stream = spark.readStream.schema(df.schema)
+    if order is None:
+        df.write.parquet(place)
+        return stream.parquet(place)
+    cuts = df.agg(F.percentile_approx(order, [i / batches for i in range(1, batches)])).first()[0] or []
+    bounds = [None, *cuts, None]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        part = df if a is None else df.filter(F.col(order) > a)
+        (part if b is None else part.filter(F.col(order) <= b)).repartition(2).write.mode("append").parquet(place)
+    return stream.option("maxFilesPerTrigger", 2).parquet(place)
 
 
 def levels_in(spark, d):
@@ -54,8 +62,8 @@ def plain(df):
 
 @query("r1_stream_admit", with_sql(PACKET_SQL, AUTH, status_sql(128)) + "SELECT ssrc, arrival, seq, CAST(index AS BIGINT) AS index, status FROM judged")
 def r1(spark, d):
-    p = packets(spark, d).filter("auth_ok").select("ssrc", "arrival", "seq").coalesce(1)
-    return R.run_available(R.stream_admit(feed(spark, p)), folder(spark))
+    p = packets(spark, d).filter("auth_ok").select("ssrc", "arrival", "seq")
+    return R.run_available(R.stream_admit(feed(spark, p, "arrival")), folder(spark))
 
 
 LEVEL_SQL = """WITH e AS (SELECT ts, 's' || (user_id % 4) AS stream_id, value / 500 AS x FROM events), w AS ({w})
@@ -100,11 +108,24 @@ def r5(spark, d):
     return R.call_sessions(calls(spark, d))
 
 
+@query("r5_stream_call_sessions", f"WITH {CALLS}, {session_sql('call', 'device_id', '30 MINUTE')} " + """SELECT device_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", CAST(count(*) AS BIGINT) AS events, arg_max(event, ts) AS last_event,
+  CASE WHEN count(*) FILTER (event = 'answer') > 0 THEN 'answered' WHEN count(*) FILTER (event = 'hangup') > 0 THEN 'missed' ELSE 'open' END AS outcome FROM s GROUP BY device_id, sid
+  HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM call)""")
+def r5b(spark, d):
+    return plain(R.run_available(R.call_sessions(feed(spark, calls(spark, d)), delay="10 minutes"), folder(spark)))
+
+
 @query("r6_state_durations", f"WITH {CALLS}, n AS (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq)) - epoch_us(ts)) / 1e6 AS s FROM call) SELECT device_id, event, {ROUND('coalesce(sum(s), 0.0)')} AS seconds, CAST(count(*) AS BIGINT) AS entered FROM n GROUP BY 1, 2")
 def r6(spark, d):
     return rounded(R.state_durations(calls(spark, d)))
 
 
+@query("r6_stream_state_durations", f"WITH {CALLS}, n AS (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq)) - epoch_us(ts)) / 1e6 AS s FROM call) SELECT device_id, event, {ROUND('coalesce(sum(s), 0.0)')} AS seconds, CAST(count(*) AS BIGINT) AS entered FROM n GROUP BY 1, 2")
+def r6b(spark, d):
+    found = R.run_available(R.stream_state_durations(feed(spark, calls(spark, d), "seq")), folder(spark))
+    return rounded(found.groupBy("device_id", "event").agg(F.sum("seconds").alias("seconds"), F.sum("entered").alias("entered")))
+
+
 NOTIFY = "notify AS (SELECT 'u' || user_id AS uuid, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 'bye' ELSE 'alive' END AS kind FROM events)"
 
 
@@ -114,16 +135,34 @@ def r7(spark, d):
     return R.service_liveness(e, 3600)
 
 
-@query("r8_segment_feed", """WITH m AS (SELECT user_id % 8 AS stream_id, event_id AS seq, event_type = 'signup' AS bos, CAST(event_id % 3 AS INTEGER) AS format, CAST(trunc(value * 10) AS INTEGER) * CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS z FROM events),
+@query("r7_stream_service_liveness", f"WITH {NOTIFY}, {session_sql('notify', 'uuid', '2 HOUR')} SELECT uuid, min(ts) AS start, max(ts) AS last_seen, CAST(count(*) AS BIGINT) AS notifies, CASE WHEN arg_max(kind, ts) = 'bye' THEN 'bye' ELSE 'expired' END AS ended_by FROM s GROUP BY uuid, sid HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM notify)")
+def r7b(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("uuid"), "ts", F.when(F.col("event_type") == "error", "bye").otherwise("alive").alias("kind"))
+    found = R.run_available(R.service_liveness(feed(spark, e), 3600, "10 minutes"), folder(spark))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last_seen")})
+
+
+SEGMENTS = """WITH m AS (SELECT user_id % 8 AS stream_id, event_id AS seq, event_type = 'signup' AS bos, CAST(event_id % 3 AS INTEGER) AS format, CAST(trunc(value * 10) AS INTEGER) * CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS z FROM events),
 s AS (SELECT *, sum(bos::INT) OVER (PARTITION BY stream_id ORDER BY seq) AS segment FROM m WHERE z <> 0)
-SELECT stream_id, CAST(segment AS BIGINT) AS segment, arg_min(format, seq) AS format, CAST(sum(CASE WHEN z > 512 THEN 0 ELSE z END) AS BIGINT) AS bytes, CAST(count(*) FILTER (z > 512) AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS metas FROM s GROUP BY 1, 2""")
-def r8(spark, d):
+SELECT stream_id, CAST(segment AS BIGINT) AS segment, arg_min(format, seq) AS format, CAST(sum(CASE WHEN z > 512 THEN 0 ELSE z END) AS BIGINT) AS bytes, CAST(count(*) FILTER (z > 512) AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS metas FROM s GROUP BY 1, 2"""
+
+
+def segments(spark, d):
     i = F.col("event_id")
-    m = table(spark, d, "events").select(
+    return table(spark, d, "events").select(
         (F.col("user_id") % 8).alias("stream_id"), i.alias("seq"), (F.col("event_type") == "signup").alias("bos"), (i % 3).cast("int").alias("format"),
         ((F.col("value") * 10).cast("int") * F.when(i % 9 == 0, 0).otherwise(1)).alias("valid_size"),
     )
-    return R.segment_feed(m)
+
+
+@query("r8_stream_segment_feed", SEGMENTS + " HAVING segment < (SELECT max(segment) FROM s x WHERE x.stream_id = s.stream_id)")
+def r8b(spark, d):
+    return R.run_available(R.stream_segment_feed(feed(spark, segments(spark, d), "seq")), folder(spark))
+
+
+@query("r8_segment_feed", SEGMENTS)
+def r8(spark, d):
+    return R.segment_feed(segments(spark, d))
 
 
 @query("r9_late_data_report", with_sql(PACKET_SQL, AUTH, status_sql(128)) + "SELECT ssrc, status AS reason, CAST(count(*) AS BIGINT) AS n FROM judged WHERE status <> 'ok' GROUP BY 1, 2")

@@ -47,11 +47,11 @@ def frame_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("file_id", "stream_type").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.max_by("pts", "frame_idx").alias("last_pts"))
 
 
-def gop_report(df: DataFrame) -> DataFrame:
-    """Frames, bytes and the pts range of each group of pictures; group 0 is what comes before the first key frame."""
+def gop_report(df: DataFrame, frame_type: str | None = None) -> DataFrame:
+    """Frames, bytes and the pts range of each group of pictures, or of each type of frame in it; group 0 is what comes before the first key frame."""
     own = Window.partitionBy("file_id").orderBy("frame_idx")
     gop = F.sum(F.col("key_frame").cast("int")).over(own)
-    return df.withColumn("gop", gop).groupBy("file_id", "gop").agg(
+    return df.withColumn("gop", gop).groupBy("file_id", "gop", *([frame_type] if frame_type else [])).agg(
         F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.min("pts").alias("first_pts"), F.max("pts").alias("last_pts"), F.count_if("key_frame").alias("key_frames")
     )
 

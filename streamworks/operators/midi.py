@@ -13,16 +13,18 @@ DEFAULT_TEMPO = 500_000  # microseconds for each quarter note
 def match_zone(notes: DataFrame, zones: DataFrame) -> DataFrame:
     """The first zone (by zone_ord) of the note with vel_min <= velocity < vel_max, where 127 stands for 128; none: zone "NOT_FOUND".
 
-    An equi-join on the note with the range behind it; Spark broadcasts the zones below its size limit."""
-    z = zones.select("note", "zone_ord", "name", F.col("vel_min"), F.when(F.col("vel_max") == 127, 128).otherwise(F.col("vel_max")).alias("_top"))
-    hit = notes.join(z, (notes["note"] == z["note"]) & (notes["velocity"] >= z["vel_min"]) & (notes["velocity"] < z["_top"]), "left").drop(z["note"])
-    return hit.groupBy(*notes.columns).agg(F.min_by("name", "zone_ord").alias("zone")).withColumn("zone", F.coalesce("zone", F.lit("NOT_FOUND")))
+    The zones of a note become one sorted list, so each note meets one row (Spark broadcasts the lists below its size limit); repeated notes stay."""
+    z = zones.select("note", F.struct("zone_ord", "vel_min", F.when(F.col("vel_max") == 127, 128).otherwise(F.col("vel_max")).alias("top"), "name").alias("z"))
+    listed = z.groupBy("note").agg(F.array_sort(F.collect_list("z")).alias("_zones"))
+    fits = F.filter("_zones", lambda z: (F.col("velocity") >= z["vel_min"]) & (F.col("velocity") < z["top"]))
+    return notes.join(listed, "note", "left").select(*notes.columns, F.coalesce(F.get(fits, F.lit(0))["name"], F.lit("NOT_FOUND")).alias("zone"))
 
 
-def state_as_of(events: DataFrame) -> DataFrame:
-    """The program in force at each note-on of a channel (null before the first)."""
+def state_as_of(events: DataFrame, columns: tuple[str, ...] = ("program",)) -> DataFrame:
+    """What is in force at each note-on of a channel (null before the first event of its kind): program, bank, pitch, pressure or other columns."""
     own = Window.partitionBy("file_id", "channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("in_force", F.last("program", ignorenulls=True).over(own)).filter(F.col("type") == NOTE_ON)
+    found = {("in_force" if columns == ("program",) else f"{c}_in_force"): F.last(c, ignorenulls=True).over(own) for c in columns}
+    return events.withColumns(found).filter(F.col("type") == NOTE_ON)
 
 
 def ticks_to_ms(events: DataFrame, division: int) -> DataFrame:
@@ -46,3 +48,8 @@ def note_durations(events: DataFrame, tick: str = "tick") -> DataFrame:
 def instrument_ranges(zones: DataFrame, by: str) -> DataFrame:
     """Least and greatest note, notes and distinct notes of each instrument."""
     return zones.groupBy(by).agg(F.min("note").alias("low"), F.max("note").alias("high"), F.count("*").alias("n"), F.count_distinct("note").alias("notes"))
+
+
+def instrument_totals(zones: DataFrame, by: str, approximate: bool = False) -> DataFrame:
+    """All notes, and how many instruments they are of (``approximate``: by a sketch, for very many)."""
+    return zones.agg(F.count("*").alias("n"), (F.approx_count_distinct(by) if approximate else F.count_distinct(by)).alias("instruments"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import ordered_scan
+
 HALF, FULL = 1 << 15, 1 << 16
 #: Packets left below which a key's use is soft-limited, and the least limit.
 SOFT_LIMIT = 65536
@@ -75,18 +77,17 @@ def next_index(high: int | None, seq: int) -> int:
 
 def extend_sequence(df: DataFrame, order: str = "arrival") -> DataFrame:
     """Adds ``index`` by an exact scan of each ssrc in order of arrival. The scan follows the highest index of all packets."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", index long"
 
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        out, high = [], None
-        for seq in part["seq"].tolist():
+    def step(state: dict, part: pa.RecordBatch) -> list:
+        out, high = [], state["high"]
+        for seq in part.column("seq").to_pylist():
             i = next_index(high, seq)
             out.append(i)
             high = i if high is None else max(high, i)
-        return part.assign(index=out)
+        state["high"] = high
+        return [out]
 
-    return df.groupBy("ssrc").applyInPandas(scan, schema)
+    return ordered_scan(df, ["ssrc"], order, "index long", lambda: {"high": None}, step)
 
 
 def extend_sequence_by_wraps(df: DataFrame, order: str = "arrival") -> DataFrame:
@@ -162,33 +163,33 @@ def common_streams(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def resync_epoch(df: DataFrame, order: str = "arrival") -> DataFrame:
-    """Like W2 where a row may carry a signalled rollover count ``roc``: its index is then roc << 16 | seq.
+    """Like W2 where a row may carry a signalled rollover count ``roc``, which serves from that packet on: indexes are roc << 16 | seq.
 
-    More than 32768 ahead of the highest index it is "pkt_idx_adv" (admitted, the window restarts there), more than 32768 behind "pkt_idx_old"
-    (rejected: the highest index stays). A signal holds for its own row.
+    An index more than 32768 ahead of the highest one (0 before any packet) is "pkt_idx_adv": admitted, the window restarts there, and the count is used
+    up. One more than 32768 behind is "pkt_idx_old" (rejected: the highest index stays). A count of 0 takes back what is pending.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", index long, epoch_status string"
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        out, said, high = [], [], None
-        for seq, roc in zip(part["seq"].tolist(), part["roc"].tolist(), strict=True):
-            state = "ok"
-            if roc is None or pd.isna(roc):
-                i = next_index(high, seq)
+
+    def step(state: dict, part: pa.RecordBatch) -> list:
+        out, said = [], []
+        for seq, roc in zip(part.column("seq").to_pylist(), part.column("roc").to_pylist(), strict=True):
+            if roc is not None:
+                state["pending"] = int(roc)
+            high, kind = state["high"], "ok"
+            if state["pending"]:
+                i = state["pending"] << 16 | seq
+                if i - high > HALF:
+                    kind, state["pending"] = "pkt_idx_adv", 0
+                elif high - i > HALF:
+                    kind = "pkt_idx_old"
             else:
-                i = int(roc) << 16 | seq
-                if high is not None and i - high > HALF:
-                    state = "pkt_idx_adv"
-                elif high is not None and high - i > HALF:
-                    state = "pkt_idx_old"
+                i = next_index(high, seq)
             out.append(i)
-            said.append(state)
-            if state != "pkt_idx_old":
-                high = i if high is None else max(high, i)
-        return part.assign(index=out, epoch_status=said)
+            said.append(kind)
+            if kind != "pkt_idx_old":
+                state["high"] = max(high, i)
+        return [out, said]
 
-    return df.groupBy("ssrc").applyInPandas(scan, schema)
+    return ordered_scan(df, ["ssrc"], order, "index long, epoch_status string", lambda: {"high": 0, "pending": 0}, step)
 
 
 def admit(df: DataFrame, window: int = 128) -> DataFrame:

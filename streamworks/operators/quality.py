@@ -191,9 +191,10 @@ def top_bins(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
 
-def howl_candidates(df: DataFrame, power: str = "power", papr: float = 10.0, phpr: float = 20.0, pnpr: float = 10.0) -> DataFrame:
+def howl_candidates(df: DataFrame, power: str = "power", papr: float = 10.0, phpr: float = 20.0, pnpr: float = 10.0, imsd: float | None = None, frames: int = 8) -> DataFrame:
     """Q12: bins whose power stands out (dB) from the frame's mean, from both neighbours, and from two and three times their frequency.
 
+    With ``imsd`` also bins whose level stays within so many dB (W16) over the last ``frames`` frames of the stream.
     The frame's array is indexed, so nothing is joined. Harmonics beyond the last bin don't speak against a bin.
     """
     p = F.col(power)
@@ -206,5 +207,10 @@ def howl_candidates(df: DataFrame, power: str = "power", papr: float = 10.0, php
         (db(F.col("p")) - db(F.col("_mean")) > papr) & (F.least(ratio(at(F.col("bin") - 1)), ratio(at(F.col("bin") + 1))) > pnpr)
         & (F.least(ratio(at(2 * F.col("bin"))), ratio(at(3 * F.col("bin")))) > phpr) & (F.col("bin") > 0)
     )
-    return rows.filter(ok).select("stream_id", "frame_idx", "bin", "p")
+    if imsd is None:
+        return rows.filter(ok).select("stream_id", "frame_idx", "bin", "p")
+    # levels of bins that don't stand out count for stability too
+    levels = rows.select("stream_id", "frame_idx", "bin", F.col("p").alias("power"), db(F.col("p")).alias("p"), ok.alias("ok"))
+    stable = spectral_stability(levels, frames).filter(F.col("ok") & (F.col("deviation") <= imsd))
+    return stable.select("stream_id", "frame_idx", "bin", F.col("power").alias("p"))
 

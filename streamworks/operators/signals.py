@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signal import curve_db, level_agg
-from .windows import as_of
+from .windows import as_of, ordered_scan
 
 BY_CHANNEL = ["stream_id", "ch"]
 
@@ -62,6 +62,12 @@ def mix_streams(df: DataFrame, weights: DataFrame) -> DataFrame:
     return df.join(weights, "stream_id").groupBy("mix_id", "ch", "n").agg(F.sum(w * F.col("x")).alias("x"))
 
 
+def convert_layout(df: DataFrame, layouts: DataFrame) -> DataFrame:
+    """M3 and M4 on samples: (stream_id, layout_in, ch, n, x) through a table of weights (layout_in, layout_out, ch, out_ch, weight), which Spark broadcasts."""
+    mixed = df.join(layouts, ["layout_in", "ch"]).groupBy("stream_id", "layout_in", "layout_out", F.col("out_ch").alias("ch"), "n")
+    return mixed.agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+
+
 def _ramp(t: Column, curve: str) -> Column:
     return {"line": t, "quad": t * t, "sqrt": F.sqrt(t)}[curve]
 
@@ -75,11 +81,19 @@ def fade(df: DataFrame, mode: str, curve: str, ms: int, rate: int) -> DataFrame:
 
 
 def gain_ramp(df: DataFrame, targets: DataFrame, step_samples: int, start_db: float = 0.0) -> DataFrame:
-    """Gain moves one dB for every ``step_samples`` towards the target in force (stream_id, n, gain_db); each change starts
-    from the target before it, which must be reached by then **[choice]**."""
-    own = Window.partitionBy("stream_id").orderBy("n")
-    told = targets.withColumn("from_db", F.coalesce(F.lag("gain_db").over(own), F.lit(start_db))).withColumn("since", F.col("n"))
-    found = as_of(df, told, ["stream_id"], "n", ["gain_db", "from_db", "since"])
+    """Gain moves one dB for every ``step_samples`` towards the target in force (stream_id, n, gain_db). A new target starts from where the gain is by then."""
+
+    def step(state: dict, part: pa.RecordBatch) -> list:
+        out = []
+        for n, goal in zip(part.column("n").to_pylist(), part.column("gain_db").to_pylist(), strict=True):
+            moved = (n - state["since"]) // step_samples
+            at = min(state["from"] + moved, state["goal"]) if state["goal"] >= state["from"] else max(state["from"] - moved, state["goal"])
+            state |= {"from": at, "goal": goal, "since": n}
+            out.append(float(at))
+        return [out]
+
+    told = ordered_scan(targets.withColumn("gain_db", F.col("gain_db").cast("double")), ["stream_id"], "n", "from_db double", lambda: {"from": start_db, "goal": start_db, "since": 0}, step)
+    found = as_of(df, told.withColumn("since", F.col("n")), ["stream_id"], "n", ["gain_db", "from_db", "since"])
     moved = F.floor((F.col("n") - F.col("found_since")) / step_samples).cast("double")
     up, down = F.least(F.col("found_from_db") + moved, F.col("found_gain_db")), F.greatest(F.col("found_from_db") - moved, F.col("found_gain_db"))
     db = F.coalesce(F.when(F.col("found_gain_db") >= F.col("found_from_db"), up).otherwise(down), F.lit(start_db))
@@ -148,22 +162,40 @@ def biquad(kind: str, fc: float, q: float, gain: float, rate: int) -> np.ndarray
     return np.array([*b, *a[1:]]) / a[0]
 
 
-def eq_filter(df: DataFrame, bank: list[dict], rate: int) -> DataFrame:
-    """Q13: a cascade of enabled biquads over each stream and channel, in order of n."""
-    sections = [biquad(b["kind"], b["fc"], b.get("q", 0.707), b.get("gain", 0.0), rate) for b in bank if b.get("enabled", True)]
+def eq_filter(df: DataFrame, bank: list[dict], rate: int, block: int = 64) -> DataFrame:
+    """Q13: a cascade of enabled biquads over each stream and channel, in order of n.
+
+    A section is a linear system with two numbers of state, so a block of samples is two matrix products: one with the block's input, one with the state before it.
+    The states of all sections go on from batch to batch.
+    """
+    sections = [blocked(biquad(b["kind"], b["fc"], b.get("q", 0.707), b.get("gain", 0.0), rate), block) for b in bank if b.get("enabled", True)]
+
+    def step(state: list[np.ndarray], part: pa.RecordBatch) -> list:
+        y = part.column("x").to_numpy(zero_copy_only=False).astype(float)
+        for s, (a, c, carry, drive) in enumerate(sections):
+            out, now = np.empty(len(y)), state[s]
+            for i in range(0, len(y), block):
+                x = y[i : i + block]
+                n = len(x)
+                out[i : i + n] = a[:n, :n] @ x + c[:n] @ now
+                now = carry[n] @ now + drive[:, block - n :] @ x
+            state[s], y = now, out
+        return [y]
+
+    return ordered_scan(df, list(BY_CHANNEL), "n", "x double", lambda: [np.zeros(2) for _ in sections], step).select(*df.columns)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n")
-        y = part["x"].to_numpy(copy=True)
-        for b0, b1, b2, a1, a2 in sections:
-            s1 = s2 = 0.0
-            for i, v in enumerate(y):
-                out = b0 * v + s1
-                s1, s2 = b1 * v - a1 * out + s2, b2 * v - a2 * out
-                y[i] = out
-        return part.assign(x=y)
 
-    return df.groupBy(*BY_CHANNEL).applyInPandas(run, df.schema)
+def blocked(section: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The matrices of a block: output from input and from state, the state's own powers, and the state from input (of the last samples)."""
+    b0, b1, b2, a1, a2 = section
+    move, into = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(move @ powers[-1])
+    impulse = np.array([b0, *((powers[k] @ into)[0] for k in range(block - 1))])
+    a = np.array([[impulse[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+    drive = np.stack([powers[block - 1 - j] @ into for j in range(block)], axis=1)
+    return a, np.stack([p[0] for p in powers[:block]]), powers, drive
 
 
 def static_curve(df: DataFrame, points: list[tuple[float, float]], makeup: float = 0.0) -> DataFrame:
@@ -173,18 +205,31 @@ def static_curve(df: DataFrame, points: list[tuple[float, float]], makeup: float
     return df.withColumn("x", F.when(F.col("x") == 0, 0.0).otherwise(F.signum("x") * F.pow(F.lit(10.0), db / 20)))
 
 
-def compress(df: DataFrame, points: list[tuple[float, float]], attack: int, release: int, hold: int = 0, makeup: float = 0.0) -> DataFrame:
-    """Q14: the curve's gain, smoothed in order of n: falling gain with the attack, rising with the release after the hold (all in samples)."""
-    xs, ys = [p[0] for p in points][::-1], [p[1] for p in points][::-1]
+def compress(df: DataFrame, points: list[tuple[float, float]], attack: int, release: int, hold: int = 0, makeup: float = 0.0, knee: float = 0.0) -> DataFrame:
+    """Q14: the curve's gain, smoothed in order of n: falling gain with the attack, rising with the release after the hold (all in samples).
+
+    With a ``knee`` (dB) the curve is its own mean over so many dB around the level, which rounds its corners **[choice]**. Gain and hold go on from batch to batch.
+    """
+    xs, ys = np.array([p[0] for p in points][::-1], float), np.array([p[1] for p in points][::-1], float)
+    area = np.concatenate(([0.0], np.cumsum(np.diff(xs) * (ys[1:] + ys[:-1]) / 2)))  # under the curve, from its first point
+
+    def under(x: np.ndarray) -> np.ndarray:
+        at = np.clip(np.searchsorted(xs, x) - 1, 0, len(xs) - 2)
+        inside = np.clip(x, xs[0], xs[-1])
+        part = area[at] + (inside - xs[at]) * (ys[at] + np.interp(inside, xs, ys)) / 2
+        return part + np.minimum(x - xs[0], 0) * ys[0] + np.maximum(x - xs[-1], 0) * ys[-1]
+
+    def curve(level: np.ndarray) -> np.ndarray:
+        return np.interp(level, xs, ys) if knee <= 0 else (under(level + knee / 2) - under(level - knee / 2)) / knee
+
+    a, r = math.exp(-1 / max(attack, 1e-9)), math.exp(-1 / max(release, 1e-9))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n")
-        x = part["x"].to_numpy()
+    def step(state: dict, part: pa.RecordBatch) -> list:
+        x = part.column("x").to_numpy(zero_copy_only=False).astype(float)
         level = 20 * np.log10(np.maximum(np.abs(x), 1e-10))
-        want = np.interp(level, xs, ys) - np.maximum(level, xs[0])
-        a, r = math.exp(-1 / max(attack, 1e-9)), math.exp(-1 / max(release, 1e-9))
-        out, gain, held = np.empty(len(x)), 0.0, 0
-        for i, g in enumerate(want):
+        want = curve(level) - np.maximum(level, xs[0])
+        out, gain, held = np.empty(len(x)), state["gain"], state["held"]
+        for i, g in enumerate(want.tolist()):
             if g < gain:
                 gain, held = a * gain + (1 - a) * g, hold
             elif held > 0:
@@ -192,9 +237,10 @@ def compress(df: DataFrame, points: list[tuple[float, float]], attack: int, rele
             else:
                 gain = r * gain + (1 - r) * g
             out[i] = gain
-        return part.assign(x=x * 10 ** ((out + makeup) / 20))
+        state |= {"gain": gain, "held": held}
+        return [x * 10 ** ((out + makeup) / 20)]
 
-    return df.groupBy(*BY_CHANNEL).applyInPandas(run, df.schema)
+    return ordered_scan(df, list(BY_CHANNEL), "n", "x double", lambda: {"gain": 0.0, "held": 0}, step).select(*df.columns)
 
 
 def same_output(a: DataFrame, b: DataFrame) -> DataFrame:

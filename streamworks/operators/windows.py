@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,3 +46,33 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, take:
     row = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.unionByName(other, allowMissingColumns=True).withColumn("_state", F.last("_state", ignorenulls=True).over(row)).filter("_side = 1")
     return found.select(*left.columns, *[F.col(f"_state.{c}").alias(f"found_{c}") for c in take])
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: str, added: str, begin: Callable[[], object], step: Callable[[object, pa.RecordBatch], list]) -> DataFrame:
+    """Adds (or, by the same name, replaces) columns by a scan of each key's rows in order, with a state that is carried from batch to batch.
+
+    For what depends on all rows before, step by step. ``step`` gets the state, which it changes, and the next rows of its key, and returns
+    an array for each column of the DDL ``added``. Keys are dealt to tasks and sorted there, so a task holds one batch and one state, whatever a key's length.
+    """
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(added)
+    kinds = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()] for f in new]
+    schema = T.StructType([*[f for f in df.schema if f.name not in new.names], *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            at = 0
+            for key, rows in groupby(own):
+                n = sum(1 for _ in rows)
+                part = batch.slice(at, n)
+                at += n
+                if state is None or key != last:
+                    last, state = key, begin()
+                found = [pa.array(x, kind) for x, kind in zip(step(state, part), kinds, strict=True)]
+                cols = dict(zip(part.schema.names, part.columns, strict=True)) | dict(zip(new.names, found, strict=True))
+                yield pa.RecordBatch.from_arrays([cols[c] for c in schema.names], schema.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

@@ -93,6 +93,29 @@ def state_durations(df: DataFrame) -> DataFrame:
     return df.withColumn("s", seconds).groupBy("device_id", "event").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("seconds"), F.count("*").alias("entered"))
 
 
+def stream_state_durations(df: DataFrame) -> DataFrame:
+    """R6 on a stream: (device_id, event, entered, seconds) as they become known; the sums by device and event are those of ``state_durations``.
+
+    State is a device's last event and its time. Events of one batch are taken in order of (ts, seq).
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = tuple(state.get) if state.exists else None
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        out = []
+        for event, micros in zip(rows["event"].tolist(), (rows["ts"].astype("int64") // 1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), strict=True):
+            if last:
+                out.append((key[0], last[0], 0, (micros - last[1]) / 1e6))
+            out.append((key[0], event, 1, 0.0))
+            last = (event, micros)
+        state.update(last)
+        yield pd.DataFrame(out, columns=["device_id", "event", "entered", "seconds"])
+
+    return df.groupBy("device_id").applyInPandasWithState(
+        run, "device_id long, event string, entered long, seconds double", "event string, micros long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def service_liveness(df: DataFrame, interval_s: int = 30, delay: str | None = None) -> DataFrame:
     """Spans in which a service (uuid, ts, kind alive or bye) was alive; one without a notify for two intervals has expired **[choice]**."""
     rows = df.withWatermark("ts", delay) if delay else df
@@ -113,6 +136,31 @@ def segment_feed(df: DataFrame, most: int = 512) -> DataFrame:
     )
 
 
+def stream_segment_feed(df: DataFrame, most: int = 512) -> DataFrame:
+    """R8 on a stream: each segment once the next one begins, as ``segment_feed`` tells it. State is the open segment's sums."""
+    names = ["segment", "format", "bytes", "errors", "metas"]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = dict(zip(names, state.get, strict=True)) if state.exists else None
+        out = []
+        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
+            if r.valid_size == 0:
+                continue
+            if now is None or r.bos:
+                if now is not None:
+                    out.append((key[0], *now.values()))
+                now = dict(zip(names, ((now["segment"] if now else 0) + int(r.bos), r.format, 0, 0, 0), strict=True))
+            bad = r.valid_size > most
+            now |= {"bytes": now["bytes"] + (0 if bad else r.valid_size), "errors": now["errors"] + int(bad), "metas": now["metas"] + 1}
+        if now is not None:
+            state.update(tuple(now.values()))
+        yield pd.DataFrame(out, columns=["stream_id", *names])
+
+    return df.groupBy("stream_id").applyInPandasWithState(
+        run, "stream_id long, segment long, format int, bytes long, errors long, metas long", "segment long, format int, bytes long, errors long, metas long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def late_data_report(admitted: DataFrame) -> DataFrame:
     """Of R1's result (or W3's): packets rejected as too old or repeated, by ssrc."""
     return admitted.filter("status <> 'ok'").groupBy("ssrc", F.col("status").alias("reason")).agg(F.count("*").alias("n"))

@@ -105,12 +105,13 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
         return cut_lineage(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
 
     open_ = node.select("node", "n", "c", F.posexplode("bands").alias("band", "value"))
-    every = new = cut_lineage(edges)
+    new, named = cut_lineage(edges), numbers.select("c", F.col("c").alias("r"))
     for bands, salt in (*ROUNDS, (BANDS, None)):
         # who is where by now; the edges of each round are between the components of the one before
         if not new.isEmpty():
-            roots = components(new).select(F.col("node").alias("c"), F.col("root").alias("r"))
+            roots = cut_lineage(components(new).select(F.col("node").alias("c"), F.col("root").alias("r")))
             open_ = open_.join(roots, "c", "left").select("band", "value", "node", "n", F.coalesce("r", "c").alias("c"))
+            named = cut_lineage(named.join(roots.select(F.col("c").alias("r"), F.col("r").alias("to")), "r", "left").select("c", F.coalesce("to", "r").alias("r")))
         # band values that hold more than one component, and the member that the others are compared with
         met = open_.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt or 0))).alias("x"))
         rows = cut_lineage(open_.join(met.filter("low != high").select("band", "value", "x"), ["band", "value"]))
@@ -124,9 +125,9 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
             pairs = rows.filter((F.col("band") < bands) & (F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
             pairs = pairs.select(F.col("x.node").alias("p"), F.col("node").alias("q"), F.col("x.c").alias("a"), F.col("c").alias("b"))
         new = checked(pairs)
-        every = every.unionByName(new)
         open_ = rows.drop("x")
-    edges = every
-    roots = components(edges).select(F.col("node").alias("c"), F.col("root").alias("r"))
-    named = cut_lineage(numbers.select("c").join(roots, "c", "left").select("c", F.coalesce("r", "c").alias("r")).join(numbers.withColumnRenamed("c", "r"), "r").select("c", "component_id"))
+    else:
+        roots = components(new).select(F.col("node").alias("r"), F.col("root").alias("to"))
+        named = named.join(roots, "r", "left").select("c", F.coalesce("to", "r").alias("r"))
+    named = cut_lineage(named.join(numbers.withColumnRenamed("c", "r"), "r").select("c", "component_id"))
     return found.join(named, "c").select(F.col("key").alias(key), "component_id")

@@ -1,6 +1,7 @@
 """What reviews found missing."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .test_operators import brute_simhash
 
 
 def five_words(text):
-    words = text.lower().split()
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 

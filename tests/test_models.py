@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streamworks.functions import signal as M
 from streamworks.functions.text import is_playlist_url, normalize_path, parse_sample_name, trim_nul
+from streamworks.operators import midi as N
 from streamworks.operators import packets as P
 from streamworks.operators import signals as G
 from streamworks.operators import trace as T
@@ -193,13 +194,102 @@ def test_as_of_and_plans(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "SinglePartition" not in plan
 
 
+def slow_epochs(rows):
+    """The rule packet by packet: a pending count serves all packets of a stream until one of them is an advance."""
+    state, out = {}, []
+    for ssrc, arrival, seq, roc in sorted(rows, key=lambda r: r[1]):
+        own = state.setdefault(ssrc, {"high": 0, "pending": 0})
+        own["pending"] = own["pending"] if roc is None else roc
+        kind, high = "ok", own["high"]
+        if own["pending"]:
+            i = own["pending"] * 65536 + seq
+            kind = "pkt_idx_adv" if i - high > 32768 else "pkt_idx_old" if high - i > 32768 else "ok"
+        elif high <= 32768:
+            i = seq
+        else:  # the index nearest to the highest one
+            i = min((e * 65536 + seq for e in (high // 65536 - 1, high // 65536, high // 65536 + 1)), key=lambda x: abs(x - high))
+        if kind == "pkt_idx_adv":
+            own["pending"] = 0
+        if kind != "pkt_idx_old":
+            own["high"] = max(high, i)
+        out.append((ssrc, arrival, i, kind))
+    return sorted(out)
+
+
 def test_signalled_epochs(spark):
-    """A signal far ahead is admitted and becomes the highest index, one far behind is rejected and changes nothing."""
-    rows = [(1, 0, 100, None), (1, 1, 200, 0), (1, 2, 50, 3), (1, 3, 51, None), (1, 4, 60, 1), (1, 5, 52, None)]
-    got = P.resync_epoch(spark.createDataFrame(rows, "ssrc long, arrival long, seq int, roc long")).orderBy("arrival").collect()
-    assert [(r["index"], r.epoch_status) for r in got] == [
-        (100, "ok"), (200, "ok"), (3 << 16 | 50, "pkt_idx_adv"), (3 << 16 | 51, "ok"), (1 << 16 | 60, "pkt_idx_old"), (3 << 16 | 52, "ok"),
-    ]
+    """A first packet far ahead is an advance; a count stays pending until then; 0 takes it back; hot streams are scanned in small batches."""
+    rows = [(1, 0, 100, 3), (1, 1, 200, None), (1, 2, 50, 4), (1, 3, 51, None), (1, 4, 60, 1), (1, 5, 52, None), (1, 6, 53, 0), (1, 7, 54, None)]
+    df = spark.createDataFrame(rows, "ssrc long, arrival long, seq int, roc long")
+    got = [(r.ssrc, r.arrival, r["index"], r.epoch_status) for r in P.resync_epoch(df).collect()]
+    assert sorted(got) == slow_epochs(rows)
+    assert [k for *_, k in sorted(got)] == ["pkt_idx_adv", "ok", "pkt_idx_adv", "ok", "pkt_idx_old", "pkt_idx_old", "ok", "ok"]
+    import random
+
+    rng = random.Random(4)
+    rows, at = [], 0
+    for i in range(3000):
+        at += rng.choice([1, 1, 1, 700, -300])
+        rows.append((rng.choice([1, 1, 1, 2]), i, at % 65536, rng.choice([None] * 60 + [0, 1, max(0, at // 65536), at // 65536 + 2])))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = [(r.ssrc, r.arrival, r["index"], r.epoch_status) for r in P.resync_epoch(spark.createDataFrame(rows, "ssrc long, arrival long, seq int, roc long")).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == slow_epochs(rows)
+
+
+def test_zones_keep_equal_notes(spark):
+    notes = spark.createDataFrame([("a", 60, 10), ("a", 60, 10), ("a", 61, 127), ("a", 62, 1)], "file_id string, note int, velocity int")
+    zones = spark.createDataFrame([(60, 2, "late", 0, 127), (60, 1, "first", 0, 64), (61, 1, "top", 100, 127)], "note int, zone_ord int, name string, vel_min int, vel_max int")
+    got = sorted((r.note, r.zone) for r in N.match_zone(notes, zones).collect())
+    assert got == [(60, "first"), (60, "first"), (61, "top"), (62, "NOT_FOUND")]
+
+
+def test_gain_ramp_is_interrupted(spark):
+    """A new target starts from where the gain is: 2 dB up by sample 8, then down."""
+    df = spark.range(24).select(F.lit("s").alias("stream_id"), F.lit(0).alias("ch"), F.col("id").alias("n"), F.lit(1.0).alias("x"))
+    targets = spark.createDataFrame([("s", 0, 10.0), ("s", 8, -10.0)], "stream_id string, n long, gain_db double")
+    got = [r.gain_db for r in G.gain_ramp(df, targets, 4).orderBy("n").collect()]
+    assert got == [0.0] * 4 + [1.0] * 4 + [2.0] * 4 + [1.0] * 4 + [0.0] * 4 + [-1.0] * 4
+
+
+def test_downmix_tables():
+    from streamworks.functions import signal as M
+
+    for b in M.MIXES:
+        assert set(M.MIXES[b]) == set(M.LAYOUTS)
+        for a in M.MIXES[b]:
+            rows = M.downmix_matrix(a, b)
+            assert len(rows) == len(M.LAYOUTS[b]) and {len(r) for r in rows} == {len(M.LAYOUTS[a])}
+        assert M.downmix_matrix(b, b) == [[float(i == j) for j in range(len(M.LAYOUTS[b]))] for i in range(len(M.LAYOUTS[b]))]
+    assert M.downmix_matrix("mono", "stereo") == [[0.707], [0.707]] and M.downmix_matrix("stereo", "mono") == [[0.707, 0.707]]
+
+
+def test_compressor_by_hand_and_its_knee(spark):
+    """Sample by sample; a knee rounds the corner and changes nothing far from it."""
+    import math
+
+    points = [(0.0, -20.0), (-40.0, -40.0), (-100.0, -100.0)]
+    xs = [0.5, 0.9, 0.9, 0.001, 0.001, 0.001, 0.8, 0.0, 0.3]
+    df = spark.createDataFrame([("s", 0, i, x) for i, x in enumerate(xs)], "stream_id string, ch int, n long, x double")
+    gain, held, want = 0.0, 0, []
+    for x in xs:
+        level = 20 * math.log10(max(x, 1e-10))
+        goal = (-40 + (level + 40) / 2 if level > -40 else max(level, -100)) - max(level, -100)
+        if goal < gain:
+            a = math.exp(-1 / 2)
+            gain, held = a * gain + (1 - a) * goal, 1
+        elif held:
+            held -= 1
+        else:
+            r = math.exp(-1 / 5)
+            gain = r * gain + (1 - r) * goal
+        want.append(x * 10 ** (gain / 20))
+    got = [r.x for r in G.compress(df, points, 2, 5, 1).orderBy("n").collect()]
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-12
+    at = lambda x, knee: G.compress(spark.createDataFrame([("s", 0, 0, x)], "stream_id string, ch int, n long, x double"), points, 1e-9, 1, knee=knee).first().x
+    assert abs(at(0.5, 6.0) - at(0.5, 0.0)) < 1e-9 and at(0.01, 6.0) < at(0.01, 0.0)
 
 
 def test_bilinear():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,14 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary one is made. A lost executor costs no more than reading the files again.
+    A lost executor costs no more than reading the files again.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        set_dir = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

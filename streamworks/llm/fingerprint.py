@@ -11,7 +11,8 @@ a's distinct chunks that b has too, over the length of all of a's distinct chunk
 
 Neighbours in order of id come from one range partitioning of the texts: bounds are taken from the ids' quantiles, each
 range is sorted, and each range also gets the first row of the next one (the last range: the first row of all).
-No task holds more than a batch, and no row but those first ones is copied.
+There are three ranges for each shuffle partition, whatever that number is. No task holds more than a batch, and no row but those first ones is copied. Rows
+of one id are one range, read one after the other.
 
 Defined results: null text is empty; an empty text has an empty fingerprint, contained wholly in any other
 empty one (1.0) and not at all (0.0) in another; equal ids follow each other in order of their text; null ids come first;
@@ -23,12 +24,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, slices, with_field
@@ -128,28 +131,32 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A constant array; as text it stays small in the plan, and Spark folds it once."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def in_ranges(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
     """(range, id, text), and in each range the first row of the next one under ahead = true."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = docs.select(F.col(id_col).cast("long").alias("id")).agg(
-        F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts") if ranges > 1 else F.array().cast("array<long>").alias("cuts")
+        F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("cuts") if ranges > 1 else F.array().cast("array<long>").alias("cuts")
     ).first()["cuts"] or []
     cuts = sorted(set(cuts))
-    # how many cuts are below the id: a search in a short sorted list, as one expression
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    number = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("id"))), F.lit(0)) if cuts else F.lit(0)
+    # how many cuts are below the id: a search in every n-th of them, then in the n behind
+    n = max(1, math.isqrt(len(cuts)))
+    coarse = F.size(F.filter(_longs(cuts[n - 1 :: n]), lambda c: c < F.col("id")))
+    fine = F.size(F.filter(F.slice(_longs(cuts), coarse * n + 1, n), lambda c: c < F.col("id")))
+    number = F.when(F.col("id").isNull(), F.lit(0)).otherwise(coarse * n + fine) if cuts else F.lit(0)
     numbered = rows.withColumn("range", number)
     firsts = numbered.select("range", "id").groupBy("range").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("nulls")).collect()
     firsts = sorted((r["range"], None if r["nulls"] else r["id"]) for r in firsts)  # a row for each range
-    before = {}  # id of a first row -> the range that looks ahead to it
-    for i, (_, first) in enumerate(firsts):
-        before[first] = firsts[i - 1][0]
-    ids = [x for x in before if x is not None]
-    target = F.lit(None).cast("int")
-    if ids:
-        target = F.element_at(F.create_map(*[F.lit(v).cast(t) for x in ids for v, t in ((x, "long"), (before[x], "int"))]), F.col("id"))
-    if None in before:
-        target = F.when(F.col("id").isNull(), F.lit(before[None])).otherwise(target)
+    # by range: its first id, and the range that looks ahead to it
+    first_id, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for i, (r, first) in enumerate(firsts):
+        first_id[r], before[r] = first, firsts[i - 1][0]
+    is_first = F.col("id").eqNullSafe(F.get(_longs(first_id), F.col("range")))
+    target = F.when(is_first, F.get(_longs(before), F.col("range")).cast("int"))
     places = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead")), F.struct(target.alias("range"), F.lit(True).alias("ahead")))
     return numbered.withColumn("p", F.explode(F.filter(places, lambda p: p["range"].isNotNull()))).select("p.range", "p.ahead", "id", "text")
 
@@ -158,7 +165,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each text."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(1024, 3 * tasks))  # several for each task, so that hashing deals them evenly
+    ranges = 3 * tasks  # several for each task, so that hashing deals them evenly
     placed = in_ranges(docs, id_col, text_col, ranges)
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -166,6 +166,14 @@ def test_fingerprints_of_neighbours(spark, sf):
     assert np.mean([got[i].near_edited for i in long]) > 0.6
 
 
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    """A third of the rows has one id, another part none; each row's next is the one behind it in order of id, then text."""
+    rows = [(7 if i % 3 == 0 else None if i % 7 == 0 else i, f"text {i * 7919 % 400} of some words {i % 5}") for i in range(400)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for (_, t), (_, n) in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_fingerprints_awkward(spark, docs, empty):
     got = fingerprint.with_next(docs).collect()
     assert len(got) == len(DOCS)

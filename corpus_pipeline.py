@@ -6,15 +6,13 @@ Parquet to the shared folder and read again as the next stage's documents, so a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamworks.llm import linededup, nearcopies, packing, pii, quality, simhash
 from streamworks.llm.common import free_name, table
 from streamworks.llm.queries import tokenizer_path
+from streamworks.shared import new_folder
 
 #: The columns of documents; stages but the last return them (and any others that came along).
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -74,14 +72,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or tempfile.mkdtemp(prefix='spark-pipeline-')).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         place = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(place)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..adapters import MEDIA_SQL, TRACE_SQL, media_frames, packets, table, trace_events, with_sql
 from ..operators import packets as P
 from ..operators import quality as V
+from ..shared import new_folder
 from ..sources import files, tags, trace_log
 from ..streaming import streams as R
 from .packet_queries import AUTH, PACKET_SQL, status_sql
@@ -30,9 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def folder(spark) -> str:
-    """A new folder below the session's shared checkpoint folder; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def feed(spark, df, order=None, batches=4):

@@ -226,7 +226,17 @@ def i2b(spark, d):
     return I.rotate_frames(I.to_frames(pixels(spark, d)).filter("width = 16 AND height = 16"), 90).select("frame_id", "width", "height", F.md5(F.hex("data").cast("binary")).alias("data"))
 
 
-@query("i4_scale_bilinear")
+AXIS = "least(greatest((m + 0.5::DOUBLE) * {n} / 8 - 0.5, 0), {n} - 1)"
+I4_SQL = with_sql(PIXEL_SQL) + f""", size AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixel GROUP BY 1 HAVING count(*) = (max(x) + 1) * (max(y) + 1)),
+ax AS (SELECT frame_id, m AS tx, CAST(floor({AXIS.format(n='w')}) AS INTEGER) AS x0, least(CAST(floor({AXIS.format(n='w')}) AS INTEGER) + 1, w - 1) AS x1, {AXIS.format(n='w')} - floor({AXIS.format(n='w')}) AS fx FROM size, range(8) r(m)),
+ay AS (SELECT frame_id, m AS ty, CAST(floor({AXIS.format(n='h')}) AS INTEGER) AS y0, least(CAST(floor({AXIS.format(n='h')}) AS INTEGER) + 1, h - 1) AS y1, {AXIS.format(n='h')} - floor({AXIS.format(n='h')}) AS fy FROM size, range(8) r(m)),
+t AS (SELECT frame_id, tx, ty, """ + ", ".join(f"CAST(round_even((a.{c} * (1 - fx) + b.{c} * fx) * (1 - fy) + (e.{c} * (1 - fx) + f.{c} * fx) * fy, 0) AS INTEGER) AS {c}" for c in "rgb") + """
+  FROM ax JOIN ay USING (frame_id) JOIN pixel a USING (frame_id) JOIN pixel b USING (frame_id) JOIN pixel e USING (frame_id) JOIN pixel f USING (frame_id)
+  WHERE a.x = x0 AND a.y = y0 AND b.x = x1 AND b.y = y0 AND e.x = x0 AND e.y = y1 AND f.x = x1 AND f.y = y1)
+SELECT frame_id, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, md5(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY ty, tx)) AS data FROM t GROUP BY 1"""
+
+
+@query("i4_scale_bilinear", I4_SQL)
 def i4(spark, d):
     return I.scale_bilinear(I.to_frames(pixels(spark, d)), 8, 8).select("frame_id", "width", "height", F.md5(F.hex("data").cast("binary")).alias("data"))
 

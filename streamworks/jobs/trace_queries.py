@@ -70,6 +70,13 @@ SITES = """site AS (
     FROM (SELECT DISTINCT stack, unnest([1, 2]) AS pos FROM trace) s LEFT JOIN symbol y ON y.addr = s.stack[s.pos]) GROUP BY stack)""".replace("\\\\", "\\")
 
 
+@query("j4_call_site_after", with_sql(TRACE_SQL, SYMBOL_SQL) + """SELECT array_to_string(t.stack, ',') AS stack, y.path, y.line, y.path IS NULL AS error
+FROM (SELECT DISTINCT stack FROM trace) t LEFT JOIN symbol y ON t.stack[1] = 3 AND y.addr = t.stack[2]""")
+def j4b(spark, d):
+    found = T.resolve_call_site(trace_events(spark, d), symbols(spark, d), WRAPPERS, after=3)
+    return found.withColumn("stack", F.array_join("stack", ","))
+
+
 @query("j4_resolve_call_site", with_sql(TRACE_SQL, SYMBOL_SQL, SITES) + "SELECT array_to_string(stack, ',') AS stack, path, line, path IS NULL AS error FROM site")
 def j4(spark, d):
     found = T.resolve_call_site(trace_events(spark, d), symbols(spark, d), WRAPPERS)

@@ -91,14 +91,19 @@ def last_owner(df: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def resolve_call_site(stacks: DataFrame, symbols: DataFrame, wrappers: list[str]) -> DataFrame:
+def resolve_call_site(stacks: DataFrame, symbols: DataFrame, wrappers: list[str], after: int | None = None) -> DataFrame:
     """For each distinct ``stack`` the first frame that resolves outside wrapper files, else the last frame if it resolves.
 
+    With ``after`` only frames behind the first one at that address count; a stack without it doesn't resolve.
+
     Distinct stacks are resolved once; Spark broadcasts the symbols only below its size limit. ``error``: nothing resolved.
     """
     distinct = stacks.select("stack").distinct()
     frame = distinct.select("stack", F.posexplode("stack").alias("pos", "addr"))
     known = frame.join(symbols, "addr", "left").withColumn("wrapper", is_wrapper_file(F.col("path"), wrappers))
+    if after is not None:
+        behind = (F.array_position("stack", F.lit(after).cast("long")) > 0) & (F.col("pos") >= F.array_position("stack", F.lit(after).cast("long"))) & (F.col("addr") != after)
+        known = known.withColumn("path", F.when(behind, F.col("path"))).withColumn("line", F.when(behind, F.col("line")))
     last = F.size("stack") - 1
     site = F.struct("path", "line")
     found = known.groupBy("stack").agg(

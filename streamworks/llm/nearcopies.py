@@ -41,13 +41,13 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def band_values(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit value for each band; none for a text without words."""
+    """A signed 64-bit value for each band, unlike those of other bands; none for a text without words."""
     if not len(hashes):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 2048):
         np.minimum(least, ((hashes[i : i + 2048, None] ^ MASKS) * FACTORS).min(axis=0), out=least)
-    made = b"".join(xxhash.xxh64_digest(row.tobytes(), SEED) for row in least.reshape(BANDS, ROWS))
+    made = b"".join(xxhash.xxh64_digest(row.tobytes(), SEED + band) for band, row in enumerate(least.reshape(BANDS, ROWS)))
     return np.frombuffer(made, "<i8").tolist()
 
 
@@ -104,28 +104,34 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
         shared = F.size(F.array_intersect("hp", "hq"))
         return cut_lineage(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
 
-    open_ = node.select("node", "n", "c", F.posexplode("bands").alias("band", "value"))
     new, named = cut_lineage(edges), numbers.select("c", F.col("c").alias("r"))
+    place, rows = node.select("node", "n", "c", "bands"), None
     for bands, salt in (*ROUNDS, (BANDS, None)):
         # who is where by now; the edges of each round are between the components of the one before
         if not new.isEmpty():
             roots = cut_lineage(components(new).select(F.col("node").alias("c"), F.col("root").alias("r")))
-            open_ = open_.join(roots, "c", "left").select("band", "value", "node", "n", F.coalesce("r", "c").alias("c"))
+            now = lambda df: df.join(roots, "c", "left").withColumn("c", F.coalesce("r", "c")).drop("r")  # noqa: B023, E731
+            place = now(place)
+            rows = None if rows is None else now(rows)
             named = cut_lineage(named.join(roots.select(F.col("c").alias("r"), F.col("r").alias("to")), "r", "left").select("c", F.coalesce("to", "r").alias("r")))
-        # band values that hold more than one component, and the member that the others are compared with
-        met = open_.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt or 0))).alias("x"))
-        rows = cut_lineage(open_.join(met.filter("low != high").select("band", "value", "x"), ["band", "value"]))
-        if rows.isEmpty():
-            break
+        # rows of band values that hold more than one component; once all bands are in, later rounds only look at what is left
+        each = place.select("node", "n", "c", F.explode(F.slice("bands", 1, bands)).alias("value")) if rows is None else rows.select("node", "n", "c", "value")
+        mixed = each.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value")
+        found_rows = cut_lineage(each.join(cut_lineage(mixed), "value"))
+        if bands == BANDS:
+            rows = found_rows
+            if rows.isEmpty():
+                break
         if salt is None:
             l, r = rows.alias("l"), rows.alias("r")
-            on = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c"))
+            on = (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c"))
             pairs = l.join(r, on & fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.c").alias("a"), F.col("r.c").alias("b"))
         else:
-            pairs = rows.filter((F.col("band") < bands) & (F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
+            # the member that the others are compared with
+            met = cut_lineage(found_rows.groupBy("value").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt))).alias("x")))
+            pairs = found_rows.join(met, "value").filter((F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
             pairs = pairs.select(F.col("x.node").alias("p"), F.col("node").alias("q"), F.col("x.c").alias("a"), F.col("c").alias("b"))
         new = checked(pairs)
-        open_ = rows.drop("x")
     else:
         roots = components(new).select(F.col("node").alias("r"), F.col("root").alias("to"))
         named = named.join(roots, "r", "left").select("c", F.coalesce("to", "r").alias("r"))

@@ -223,7 +223,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # u > v in each edge; upward edges go from the lesser node. No filter stands above a union: Spark 4.1's optimizer fails on some
         upward = now.select(F.col("v").alias("u"), F.col("u").alias("w"))
         least = now.select("u", F.col("v").alias("w")).unionByName(upward).groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = upward.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        large = upward.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(least, "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = cut_lineage(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

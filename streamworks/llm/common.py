@@ -27,6 +27,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_gather(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``cut_lineage``, read back in one task for so many rows: what follows a small result then shuffles few files, and a large one stays spread."""
+    kept = cut_lineage(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

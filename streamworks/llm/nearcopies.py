@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_and_gather, cut_lineage, slices
 from .simhash import LOWER, SEED, WORD, components
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
@@ -93,8 +93,8 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
 
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b): the components of the pairs (p, q, a, b) of nodes whose sets are near."""
-        pairs = cut_lineage(pairs.distinct())
-        wanted = cut_lineage(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct().join(node.select("node", "key"), "node"))
+        pairs = cut_and_gather(pairs.distinct())
+        wanted = cut_and_gather(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct().join(node.select("node", "key"), "node"))
         # counted, so that the texts are not shuffled for few pairs; more than the bound are joined by a shuffle
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
@@ -102,14 +102,14 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
         sets = cut_lineage(_sets(texts).dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select(F.col("node").alias("q"), F.col("hashes").alias("hq")), "q")
         shared = F.size(F.array_intersect("hp", "hq"))
-        return cut_lineage(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
+        return cut_and_gather(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
 
     new, named = cut_lineage(edges), numbers.select("c", F.col("c").alias("r"))
     place, rows = node.select("node", "n", "c", "bands"), None
     for bands, salt in (*ROUNDS, (BANDS, None)):
         # who is where by now; the edges of each round are between the components of the one before
         if not new.isEmpty():
-            roots = cut_lineage(components(new).select(F.col("node").alias("c"), F.col("root").alias("r")))
+            roots = cut_and_gather(components(new).select(F.col("node").alias("c"), F.col("root").alias("r")))
             now = lambda df: df.join(roots, "c", "left").withColumn("c", F.coalesce("r", "c")).drop("r")  # noqa: B023, E731
             place = now(place)
             rows = None if rows is None else now(rows)
@@ -117,7 +117,7 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
         # rows of band values that hold more than one component; once all bands are in, later rounds only look at what is left
         each = place.select("node", "n", "c", F.explode(F.slice("bands", 1, bands)).alias("value")) if rows is None else rows.select("node", "n", "c", "value")
         mixed = each.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value")
-        found_rows = cut_lineage(each.join(cut_lineage(mixed), "value"))
+        found_rows = cut_and_gather(each.join(cut_and_gather(mixed), "value"))
         if bands == BANDS:
             rows = found_rows
             if rows.isEmpty():
@@ -128,7 +128,7 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
             pairs = l.join(r, on & fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.c").alias("a"), F.col("r.c").alias("b"))
         else:
             # the member that the others are compared with
-            met = cut_lineage(found_rows.groupBy("value").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt))).alias("x")))
+            met = cut_and_gather(found_rows.groupBy("value").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt))).alias("x")))
             pairs = found_rows.join(met, "value").filter((F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
             pairs = pairs.select(F.col("x.node").alias("p"), F.col("node").alias("q"), F.col("x.c").alias("a"), F.col("c").alias("b"))
         new = checked(pairs)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_and_gather, cut_lineage, slices
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -216,7 +216,7 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each component that has an edge. ``edges``: columns a, b."""
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    now = cut_and_gather(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     for _ in range(rounds):
         if _are_stars(now):
             break
@@ -226,7 +226,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = upward.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(least, "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = cut_lineage(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut_and_gather(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

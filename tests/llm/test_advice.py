@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from streamworks.llm import nearcopies, packing
-from streamworks.llm.common import cut_lineage
+from streamworks.llm.common import cut_and_gather
 
 from .test_operators import brute_simhash
 
@@ -82,8 +82,8 @@ def test_a_large_group_of_near_copies_costs_few_comparisons(spark, monkeypatch):
     rows += [(1000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.struct("doc_id"))
     seen = []
-    monkeypatch.setattr(nearcopies, "cut_lineage", lambda df: (seen.append(df.count()) if set(df.columns) == {"p", "q", "a", "b"} else None, nearcopies.__dict__["_cut"](df))[1])
-    monkeypatch.setattr(nearcopies, "_cut", cut_lineage, raising=False)
+    monkeypatch.setattr(nearcopies, "cut_and_gather", lambda df: (seen.append(df.count()) if set(df.columns) == {"p", "q", "a", "b"} else None, nearcopies.__dict__["_cut"](df))[1])
+    monkeypatch.setattr(nearcopies, "_cut", cut_and_gather, raising=False)
     got = {r.key.doc_id: r.component_id.doc_id for r in nearcopies.merged(docs, docs.select("key", F.col("key").alias("component_id")), "key").collect()}
     texts = dict(rows)
     want = brute_classes(texts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, license, linededup, packing, pii, quality, simhash, topk
+from . import bpe, chat, fingerprint, license, linededup, packing, pii, quality, simhash, topk, whitening
 from .common import table
 
 
@@ -70,6 +70,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened_components(vectors, whitening.fit(vectors))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_topk, op2_quality, op3_fingerprints, op4_line_dedup, op5_bpe, op6_chat, op7_license, op8_pii, op9_packing, op10_simhash, pipeline)
+    own = (op1_exact_topk, op2_quality, op3_fingerprints, op4_line_dedup, op5_bpe, op6_chat, op7_license, op8_pii, op9_packing, op10_simhash, op11_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, license, linededup, packing, pii, quality, simhash, topk, whitening
+from . import bpe, chat, fingerprint, license, linededup, merkle, packing, pii, quality, simhash, topk, whitening
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(vectors, whitening.fit(vectors))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_topk, op2_quality, op3_fingerprints, op4_line_dedup, op5_bpe, op6_chat, op7_license, op8_pii, op9_packing, op10_simhash, op11_whitening, pipeline)
+    own = (op1_exact_topk, op2_quality, op3_fingerprints, op4_line_dedup, op5_bpe, op6_chat, op7_license, op8_pii, op9_packing, op10_simhash, op11_whitening, op12_merkle, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -181,5 +185,43 @@ SELECT doc_id, template, CAST(start_word AS INTEGER) AS start_word, CAST(end_wor
 """
 
 
+
+def _op12_sql() -> str:
+    """The definition level by level: nodes of every level, siblings of each by windows, and each leaf folded along them, first in its source, then above."""
+    quoted = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    own = lambda text: "sha256(" + " || ".join(map(quoted, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    step = "list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(c, x))"
+    crc = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, x: {step}, 4294967295), 4294967295)"
+
+    def tree(first: str, nodes: str, own_siblings: str) -> str:
+        run = "(PARTITION BY lvl, tree, pos // 3 ORDER BY pos ROWS BETWEEN {} AND {})"
+        before, after = run.format("2 PRECEDING", "1 PRECEDING"), run.format("1 FOLLOWING", "2 FOLLOWING")
+        return f"""{nodes} AS (
+  SELECT CAST(0 AS BIGINT) AS lvl, tree, CAST(pos AS BIGINT) AS pos, CAST(cnt AS BIGINT) AS cnt, node FROM {first}
+  UNION ALL SELECT lvl + 1, tree, pos // 3, (min(cnt) + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM {nodes} WHERE cnt > 1 GROUP BY lvl + 1, tree, pos // 3
+), {own_siblings} AS (
+  SELECT lvl, tree, pos, coalesce(string_agg(node, '') OVER {before}, '') AS b, coalesce(string_agg(node, '') OVER {after}, '') AS a FROM {nodes} WHERE cnt > 1
+)"""
+
+    def fold(first: str, own_siblings: str, folded: str) -> str:
+        return f"""{folded} AS (
+  SELECT CAST(0 AS BIGINT) AS lvl, rid, tree, CAST(pos AS BIGINT) AS pos, node, proof FROM {first}
+  UNION ALL SELECT lvl + 1, rid, tree, pos // 3, sha256(b || node || a), proof || b || a FROM {folded} JOIN {own_siblings} USING (lvl, tree, pos)
+)"""
+
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, coalesce('s' || source, '') AS tree, doc_id, {own("text")} AS node,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {own("replace(text, chr(10), '')")} ELSE {own("text")} END AS claimed FROM documents
+), l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS cnt FROM d),
+{tree("l", "u", "us")}, k AS (SELECT rid, tree, pos, claimed AS node, '' AS proof FROM l), {fold("k", "us", "f")},
+s AS (SELECT '' AS tree, tree AS own, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS cnt FROM u WHERE cnt = 1),
+{tree("s", "v", "vs")}, top AS (SELECT node AS root FROM v WHERE cnt = 1),
+h AS (SELECT f.rid, s.tree, s.pos, f.node, f.proof, s.own, s.node AS subroot FROM f JOIN u ON f.tree = u.tree AND f.lvl = u.lvl AND f.pos = u.pos AND u.cnt = 1 JOIN s ON s.own = f.tree),
+{fold("h", "vs", "g")}, e AS (SELECT g.rid, g.node, g.proof FROM g JOIN v ON g.tree = v.tree AND g.lvl = v.lvl AND g.pos = v.pos AND v.cnt = 1)
+SELECT doc_id, l.node AS leaf, subroot, root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = root AS verified FROM l JOIN h USING (rid) JOIN e USING (rid), top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_chat": OP6_SQL, "op7_license": _op7_sql()}
+    return {"op1_exact_topk": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_chat": OP6_SQL, "op7_license": _op7_sql(), "op12_merkle": _op12_sql()}

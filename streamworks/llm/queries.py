@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, license, linededup, merkle, packing, pii, quality, simhash, topk, whitening
+from . import bpe, bytebpe, chat, fingerprint, license, linededup, merkle, packing, pii, quality, simhash, topk, whitening
 from .common import table
 
 
@@ -79,6 +79,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.round_trips(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_topk, op2_quality, op3_fingerprints, op4_line_dedup, op5_bpe, op6_chat, op7_license, op8_pii, op9_packing, op10_simhash, op11_whitening, op12_merkle, pipeline)
+    own = (op1_exact_topk, op2_quality, op3_fingerprints, op4_line_dedup, op5_bpe, op6_chat, op7_license, op8_pii, op9_packing, op10_simhash, op11_whitening, op12_merkle, op13_byte_bpe, pipeline)
     return {f.__name__: f for f in own}
 
 

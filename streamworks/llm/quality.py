@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, free_name, slices, with_field
+from .common import cut_lineage, free_name, slices, tree_sum, with_field
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "exclamation", "symbol", "bar", "punctuation", "space", "newline",
@@ -125,27 +125,6 @@ def _sums(width: int, expand):
     return run
 
 
-def _tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray | None:
-    """Adds rows of doubles in a tree; one row reaches the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for raw in batch.column("sums"):
-                x = np.frombuffer(raw.as_py())
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    n = parts.rdd.getNumPartitions()
-    while n > 1:
-        n = -(-n // fan_in)
-        parts = parts.coalesce(n) if n > 1 else parts.repartition(1)
-        parts = parts.mapInArrow(add, "sums binary")
-    got = parts.collect()
-    return np.frombuffer(got[0]["sums"]) if got else None
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators on points in order of x: the middle of each pool and its mean."""
     pools: list[list[float]] = []
@@ -169,7 +148,7 @@ def fit(
     kept = cut_lineage(kept.withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(2)).cast("int")))
     k = len(FEATURES)
 
-    moments = _tree_sum(kept.mapInArrow(_sums(2 * k + 1, lambda x: np.concatenate([x, x * x, np.ones((len(x), 1))], axis=1)), "sums binary"))
+    moments = tree_sum(kept.mapInArrow(_sums(2 * k + 1, lambda x: np.concatenate([x, x * x, np.ones((len(x), 1))], axis=1)), "sums binary"))
     if moments is None:
         return Model(None, None, np.zeros(1), np.full(1, 0.5))
     gram = moments[: 2 * (2 * k + 1) ** 2].reshape(2, 2 * k + 1, 2 * k + 1).sum(axis=0)
@@ -182,7 +161,7 @@ def fit(
     rng = np.random.Generator(np.random.PCG64(seed))
     fourier = Fourier(mean, scale, rng.normal(0, 1 / sigma, (k, dims)), rng.uniform(0, 2 * np.pi, dims))
 
-    flat = _tree_sum(kept.mapInArrow(_sums(dims + 1, fourier), "sums binary"))
+    flat = tree_sum(kept.mapInArrow(_sums(dims + 1, fourier), "sums binary"))
     d = dims + 1
     grams, moment = flat[: 2 * d * d].reshape(2, d, d), flat[2 * d * d :].reshape(2, d)
 

@@ -32,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, free_name
+from .common import cut_and_gather, free_name, tree_sum
 
 TOLERANCE = 1e-14
+#: Rows of the fit list that a task has at least, where they are few: each step is a pass, and a pass of many small tasks is mostly waiting.
+TASK_ROWS = 4096
 
 
 @dataclass
@@ -78,7 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str, d: int) -> Iterator[
 
 
 def _totals(rows: DataFrame, d: int, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Adds up ``of_block`` over the fit list: in each task, then by place; the driver gets one number for each place."""
+    """Adds up ``of_block`` over the fit list: in each task, then in a tree; the driver gets one row of sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -86,11 +88,9 @@ def _totals(rows: DataFrame, d: int, of_block: Callable[[np.ndarray], np.ndarray
             part = of_block(x)
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
 
-    parts = rows.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v"))
-    got = dict(parts.groupBy("at").agg(F.sum("v")).collect())
-    return np.array([got[i] for i in range(len(got))])
+    return tree_sum(rows.mapInArrow(run, "sums binary"))
 
 
 def _exact_sums(rows: DataFrame, d: int) -> list[int]:
@@ -163,7 +163,7 @@ def bidiagonalize(product: Callable[[np.ndarray], np.ndarray], d: int, mass: flo
 
 def fit(df: DataFrame, vec_col: str = "embedding", components: int = 4, scale: float = 256.0, tolerance: float = TOLERANCE) -> Model | None:
     """Learns from all vectors of ``df``; None where no component has variance."""
-    rows = cut_lineage(df.select(integer_vector(vec_col, scale).alias("x")).filter(F.col("x").isNotNull()).distinct())
+    rows = cut_and_gather(df.select(integer_vector(vec_col, scale).alias("x")).filter(F.col("x").isNotNull()).distinct(), TASK_ROWS)
     sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).head(1)
     if not sizes:
         return None

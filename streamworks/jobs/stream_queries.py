@@ -10,7 +10,7 @@ from ..operators import quality as V
 from ..shared import new_folder
 from ..sources import files, tags, trace_log
 from ..streaming import streams as R
-from .packet_queries import AUTH, PACKET_SQL, status_sql
+from .packet_queries import AUTH, INDEXED, PACKET_SQL, status_sql
 from .signal_queries import R as ROUND
 from .signal_queries import GRID, RATES, measured, rounded
 
@@ -31,15 +31,15 @@ def folder(spark) -> str:
     return new_folder(spark, "stream")
 
 
-def feed(spark, df, order=None, batches=4):
-    """A table as a file stream. With an ``order`` the files come in so many batches, by ranges of it, each by all tasks; else in one."""
+def feed(spark, df, order=None, batches=4, cuts=None):
+    """A table as a file stream. With an ``order`` the files come in so many batches, by ranges of it or at ``cuts``, each by all tasks; else in one."""
     place = f"{folder(spark)}/in"
     df = df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
     stream = spark.readStream.schema(df.schema)
     if order is None:
         df.write.parquet(place)
         return stream.parquet(place)
-    cuts = df.agg(F.percentile_approx(order, [i / batches for i in range(1, batches)])).first()[0] or []
+    cuts = cuts or df.agg(F.percentile_approx(order, [i / batches for i in range(1, batches)])).first()[0] or []
     bounds = [None, *cuts, None]
     for a, b in zip(bounds, bounds[1:], strict=False):
         part = df if a is None else df.filter(F.col(order) > a)
@@ -58,8 +58,20 @@ def plain(df):
 
 @query("r1_stream_admit", with_sql(PACKET_SQL, AUTH, status_sql(128)) + "SELECT ssrc, arrival, seq, CAST(index AS BIGINT) AS index, status FROM judged")
 def r1(spark, d):
-    p = packets(spark, d).filter("auth_ok").select("ssrc", "arrival", "seq")
-    return R.run_available(R.stream_admit(feed(spark, p, "arrival")), folder(spark))
+    own = R.stateful_session(spark)
+    p = packets(own, d).filter("auth_ok").select("ssrc", "arrival", "seq")
+    return R.run_available(R.stream_admit(feed(own, p, "arrival")), folder(own))
+
+
+@query("r1_stream_admit_approx", with_sql(PACKET_SQL, AUTH, status_sql(128)) + """SELECT ssrc, CAST(count(DISTINCT seq) AS BIGINT) AS passed, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS admitted,
+  CAST(count(DISTINCT seq) - count(DISTINCT CASE WHEN status = 'ok' THEN seq END) AS BIGINT) AS wrongly_passed FROM judged GROUP BY ssrc""")
+def r1b(spark, d):
+    """The approximate form beside the exact one: what passes, what the window admits, and numbers that pass although the window admits none of them."""
+    p = packets(spark, d).filter("auth_ok").select("ssrc", "arrival", "seq", "ts")
+    passed = R.run_available(R.stream_admit_approx(feed(spark, p), "90 days").drop("ts"), folder(spark)).select("ssrc", "seq", F.lit(1).alias("passed"))
+    exact = P.admit(packets(spark, d)).groupBy("ssrc", "seq").agg(F.count_if(F.col("status") == "ok").alias("ok"))
+    both = passed.join(exact, ["ssrc", "seq"])
+    return both.groupBy("ssrc").agg(F.sum("passed").alias("passed"), F.sum("ok").alias("admitted"), F.count_if(F.col("ok") == 0).alias("wrongly_passed"))
 
 
 LEVEL_SQL = """WITH e AS (SELECT ts, 's' || (user_id % 4) AS stream_id, value / 500 AS x FROM events), w AS ({w})
@@ -166,6 +178,29 @@ def r9(spark, d):
     return R.late_data_report(r1(spark, d))
 
 
+#: Six batches by arrival; packets that come 400 places later carry a time 12 days before their first copy's.
+LATE = 6
+LATE_SQL = f"""late0 AS (SELECT ssrc, arrival, seq, CASE WHEN arrival % 10 = 1 AND (arrival - 4001) % 700 = 0 THEN ts - INTERVAL 12 DAY ELSE ts END AS ts FROM packet WHERE auth_ok),
+late1 AS (SELECT *, (arrival - min(arrival) OVER ()) * {LATE} // (max(arrival) OVER () - min(arrival) OVER () + 1) AS batch FROM late0),
+marks AS (SELECT batch + 2 AS batch, max(epoch_ms(max(ts))) OVER (ORDER BY batch) - 3600000 AS mark FROM late1 GROUP BY batch),
+late2 AS (SELECT late1.*, mark IS NOT NULL AND epoch_us(ts) <= mark * 1000 AS late FROM late1 LEFT JOIN marks USING (batch))"""
+
+
+@query("r9_stream_late_data", with_sql(PACKET_SQL, LATE_SQL, INDEXED.format(source="(SELECT * FROM late2 WHERE NOT late)"), status_sql(128)) + """SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT status AS reason, count(*) AS n FROM judged GROUP BY 1 UNION ALL SELECT 'late', count(*) FROM late2 WHERE late) GROUP BY 1 HAVING sum(n) > 0""")
+def r9b(spark, d):
+    """Late, old and repeated packets of one stream, told by its own progress."""
+    own = R.stateful_session(spark)
+    a = F.col("arrival")
+    late = (a % 10 == 1) & ((a - 4001) % 700 == 0)
+    p = packets(own, d).filter("auth_ok").select("ssrc", "arrival", "seq", F.when(late, F.col("ts") - F.expr("INTERVAL 12 DAYS")).otherwise(F.col("ts")).alias("ts"))
+    low, high = p.agg(F.min("arrival"), F.max("arrival")).first()
+    cuts = [low + -(-(high - low + 1) * i // LATE) - 1 for i in range(1, LATE)]
+    admitted = R.stream_admit(feed(own, p, "arrival", LATE, cuts), delay="1 hour")
+    _, listener = R.run_observed(R.observed(admitted), folder(own), f"late_{new_folder(own, 'q').rpartition('-')[2]}")
+    return listener.report(own).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 @query("s1_read_trace_log", with_sql(TRACE_SQL) + """SELECT 'log_' || device_id AS path, CAST(row_number() OVER (PARTITION BY device_id ORDER BY seq) - 1 AS BIGINT) AS seq, act, CAST(CASE WHEN act = '+' THEN flag ELSE -1 END AS INTEGER) AS flag, addr,
   CAST(CASE WHEN act = '+' THEN size ELSE -1 END AS BIGINT) AS size, CASE WHEN act = '+' THEN array_to_string(stack, ',') ELSE '' END AS stack FROM trace""")
 def s1(spark, d):

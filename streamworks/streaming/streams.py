@@ -2,42 +2,87 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.signal import level_agg
 from ..operators.packets import AdmissionState
 
 
-def stream_admit(packets: DataFrame, window: int = 128, idle_ms: int | None = None) -> DataFrame:
-    """Live sequence extension and replay rejection by ssrc; (ssrc, arrival, seq, index, status).
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    State is the highest index and a window of bits; a stream without packets for ``idle_ms`` is forgotten, if that is given (such a query
-    doesn't end by itself). Packets of one batch are taken in order of arrival.
-    """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        high, bits = state.get if state.exists else (None, b"")
-        own = AdmissionState(high, int.from_bytes(bits, "big"), window)
-        rows = pd.concat(list(parts)).sort_values("arrival")
-        found = own.rows(rows["seq"].tolist())
-        state.update((own.high, own.bits.to_bytes((own.window + 7) // 8, "big")))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"ssrc": key[0], "arrival": rows["arrival"], "seq": rows["seq"], "index": [i for i, _ in found], "status": [s for _, s in found]})
-
-    return packets.groupBy("ssrc").applyInPandasWithState(
-        run, "ssrc long, arrival long, seq int, index long, status string", "high long, bits binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB, as state variables with a time to live need it."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
+class Admission(StatefulProcessor):
+    """R1 for one ssrc: a value state of the highest index and the window's bits. An idle stream is forgotten after ``idle_ms``, if given: by
+    the state's own time to live, or with event time by a timer."""
+
+    def __init__(self, window: int, idle_ms: int | None, event_time: bool):
+        self.window, self.idle_ms, self.event_time = window, idle_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("admission", "high long, bits binary, seen long", None if self.event_time else self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        high, bits, seen = self.state.get() if self.state.exists() else (None, b"", 0)
+        own = AdmissionState(high, int.from_bytes(bits, "big"), self.window)
+        part = pd.concat(list(rows)).sort_values("arrival")
+        found = own.rows(part["seq"].tolist())
+        if self.event_time and self.idle_ms:
+            newest = max(seen, int(part["ts"].max().timestamp() * 1000))
+            if seen:
+                self.handle.deleteTimer(seen + self.idle_ms)
+            self.handle.registerTimer(newest + self.idle_ms)
+            seen = newest
+        self.state.update((own.high, own.bits.to_bytes((own.window + 7) // 8, "big"), seen))
+        yield pd.DataFrame({"ssrc": key[0], "arrival": part["arrival"], "seq": part["seq"], "index": [i for i, _ in found], "status": [s for _, s in found]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admit(packets: DataFrame, window: int = 128, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """Live sequence extension and replay rejection by ssrc; (ssrc, arrival, seq, index, status). Its session is a ``stateful_session``.
+
+    State is the highest index and a window of bits; a stream without packets for ``idle_ms`` is forgotten, if that is given (by the clock, so that
+    such a query doesn't end by itself, unless there is a ``delay``). Packets of one batch are taken in order of arrival. With ``delay``, packets (with an event time ``ts``) behind the watermark are dropped before they
+    reach the window, and idling is measured in event time; the query's progress counts them (``LateDataListener``).
+    """
+    timed = packets.withWatermark("ts", delay) if delay else packets
+    mode = "EventTime" if delay else "ProcessingTime" if idle_ms else "None"
+    return timed.groupBy("ssrc").transformWithStateInPandas(
+        Admission(window, idle_ms, bool(delay)), "ssrc long, arrival long, seq int, index long, status string", "append", mode
     )
 
 
+def stream_admit_approx(packets: DataFrame, delay: str) -> DataFrame:
+    """R1 without Python state: the first packet of each (ssrc, seq) within the watermark's delay passes, later ones and late ones go.
+
+    Approximate: nothing is rejected for lying a window below the highest index, a number that returns after a wrap within ``delay`` is taken for a
+    repeat, and a repeat after ``delay`` passes. ``delay`` should be shorter than 65536 packets take. State is a key and a time for each packet of the delay.
+    """
+    return packets.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ssrc", "seq"])
+
+
 def stream_levels(df: DataFrame, size: str = "1 second", hop: str | None = None, delay: str = "10 seconds") -> DataFrame:
     """R2 (tumbling) and R3 (sliding with ``hop``): levels of (ts, stream_id, x) in event-time windows."""
     own = F.window("ts", size, hop) if hop else F.window("ts", size)
@@ -166,9 +211,67 @@ def late_data_report(admitted: DataFrame) -> DataFrame:
     return admitted.filter("status <> 'ok'").groupBy("ssrc", F.col("status").alias("reason")).agg(F.count("*").alias("n"))
 
 
-def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+OBSERVED = "admission"
+
+
+def observed(admitted: DataFrame) -> DataFrame:
+    """R9 on a live stream: R1's result, with counts by reason that travel in each batch's progress instead of a second query."""
+    status = F.col("status")
+    counts = {"ok": status == "ok", "replay_old": status == "replay_old", "replay_fail": status == "replay_fail"}
+    return admitted.observe(OBSERVED, *[F.count_if(c).alias(name) for name, c in counts.items()])
+
+
+class LateDataListener(StreamingQueryListener):
+    """Collects from the progress of an ``observed`` stream what was admitted, rejected and dropped behind the watermark, by batch.
+
+    Only a few numbers of each batch reach the driver. ``name`` is the query's; others are not looked at. A batch told twice counts once.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.ended = name, threading.Event()
+        self.batches: dict[int, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.name != self.name:
+            return
+        told = progress.observedMetrics.get(OBSERVED)
+        own = self.batches.setdefault(progress.batchId, {})
+        own |= told.asDict() if told is not None else {}
+        own["late"] = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(batch, reason, n): "late" is behind the watermark, "replay_old" below the window, "replay_fail" a repeat, "ok" admitted."""
+        rows = [(batch, reason, n) for batch, counts in sorted(self.batches.items()) for reason, n in counts.items() if n]
+        return spark.createDataFrame(rows, "batch long, reason string, n long")
+
+
+def run_observed(df: DataFrame, folder: str, name: str) -> tuple[DataFrame, LateDataListener]:
+    """``run_available`` of an ``observed`` stream under a listener: what it wrote, and the listener with all batches."""
+    spark: SparkSession = df.sparkSession
+    listener = LateDataListener(name)
+    spark.streams.addListener(listener)
+    try:
+        found = run_available(df, folder, name=name)
+        listener.ended.wait(60)  # events come in order, the end last
+    finally:
+        spark.streams.removeListener(listener)
+    return found, listener
+
+
+def run_available(df: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
     """Runs a stream over what its source holds now, into Parquet below a shared folder, and reads that."""
     spark: SparkSession = df.sparkSession
-    query = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    writer = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    query = (writer.queryName(name) if name else writer).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")

@@ -163,11 +163,12 @@ def rgb565_unpack(value: Column, big_endian: bool = False) -> Column:
     return F.struct(wide5(r).alias("r"), (F.shiftleft(g, 2) + F.shiftright(g, 4)).alias("g"), wide5(b).alias("b"))
 
 
-def yuv_to_rgb(y: Column, u: Column, v: Column) -> Column:
-    """struct(r, g, b) by fixed-point coefficients, clamped."""
-    c, d, e = 298 * (y - 16), u - 128, v - 128
+def yuv_to_rgb(y: Column, u: Column, v: Column, weights: tuple[int, int, int, int, int] = (298, 409, 100, 208, 516)) -> Column:
+    """struct(r, g, b) by fixed-point weights (of 256: luma, v in r, u in g, v in g, u in b), clamped."""
+    wy, rv, gu, gv, bu = weights
+    c, d, e = wy * (y - 16), u - 128, v - 128
     clamp = lambda x: F.least(F.greatest(F.shiftright(x + 128, 8), F.lit(0)), F.lit(255))
-    return F.struct(clamp(c + 409 * e).alias("r"), clamp(c - 100 * d - 208 * e).alias("g"), clamp(c + 516 * d).alias("b"))
+    return F.struct(clamp(c + rv * e).alias("r"), clamp(c - gu * d - gv * e).alias("g"), clamp(c + bu * d).alias("b"))
 
 
 def big_endian_int(data: Column, start: int, size: int) -> Column:

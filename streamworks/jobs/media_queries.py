@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import MEDIA_SQL, MIDI_SQL, PIXEL_SQL, ZONE_SQL, media_frames, midi_events, pixels, table, with_sql, zones
 from ..functions import text as X
 from ..functions.signal import rgb565_unpack, yuv_to_rgb
 from ..operators import catalog as C
+from ..operators import frame_formats as B
 from ..operators import images as I
 from ..operators import midi as N
 from .signal_queries import R, rounded
@@ -267,3 +271,88 @@ def m12(spark, d):
 def a15(spark, d):
     p = pixels(spark, d)
     return I.max_channel_error(p, I.from_rgb565(I.to_rgb565(p)))
+
+
+WHOLE = "whole AS (SELECT * FROM pixel JOIN (SELECT frame_id FROM pixel GROUP BY 1 HAVING count(*) = 256) USING (frame_id))"
+
+
+def whole_frames(spark, d):
+    return I.to_frames(pixels(spark, d)).filter("width = 16 AND height = 16")
+
+
+def digests(df):
+    return df.select("frame_id", "fmt", "status", F.md5(F.hex("data").cast("binary")).alias("data"))
+
+
+def in_formats(spark, d, formats, standard="bt601"):
+    """The frames in each of some formats, in one pass over them each."""
+    frames = whole_frames(spark, d)
+    return reduce(DataFrame.unionByName, [digests(B.convert_frames(frames, f, standard)) for f in formats])
+
+
+def listed(fmt: str, pixel: str, order: str = "y, x", source: str = "whole", each: str = "") -> str:
+    """SQL of the digest of a frame whose bytes are ``pixel`` (hexadecimal text) in an order, and any ``each`` planes after them."""
+    return f"SELECT frame_id, '{fmt}' AS fmt, 'ok' AS status, md5(string_agg({pixel}, '' ORDER BY {order}){each}) AS data FROM {source} GROUP BY frame_id"
+
+
+WORD = "CAST(({a} >> 3) * 2048 + (g >> 2) * 32 + ({b} >> 3) AS INTEGER)"
+LE, BE = "printf('%02X%02X', {v} & 255, {v} >> 8)", "printf('%02X%02X', {v} >> 8, {v} & 255)"
+
+
+@query("i5_convert_frames_rgb", with_sql(PIXEL_SQL, WHOLE) + " UNION ALL ".join([
+    listed("rgb888", "printf('%02X%02X%02X', r, g, b)"), listed("bgr888", "printf('%02X%02X%02X', b, g, r)"), listed("argb888", "printf('%02X%02X%02XFF', r, g, b)"), listed("abgr888", "printf('%02X%02X%02XFF', b, g, r)"),
+    *(listed(f"{name}565_{order}", text.format(v=WORD.format(a=a, b=b))) for name, a, b in (("rgb", "r", "b"), ("bgr", "b", "r")) for order, text in (("le", LE), ("be", BE))),
+]))
+def i5_rgb(spark, d):
+    return in_formats(spark, d, [*B.BYTES, *B.WORDS])
+
+
+def yuv_sql(standard: str) -> str:
+    """Each pixel's y, u, v, and the chroma of blocks of two (c2) and four (c4) pixels."""
+    kr, kb = I.STANDARDS[standard]
+    part = lambda c, k: f"CAST(least(greatest(floor(128 + ({c} - l) / (1 - {k}::DOUBLE) / 2 * 224 / 255 + 0.5), 0), 255) AS INTEGER)"
+    mean = lambda c, k: f"CAST(floor(avg({c}) OVER (PARTITION BY frame_id, x // 2, y // {k}) + 0.5) AS INTEGER)"
+    return f"""luma AS (SELECT *, {kr}::DOUBLE * r + (1 - {kr}::DOUBLE - {kb}::DOUBLE) * g + {kb}::DOUBLE * b AS l FROM whole),
+yuv0 AS (SELECT frame_id, x, y, CAST(least(greatest(floor(16 + l * 219 / 255 + 0.5), 0), 255) AS INTEGER) AS yy, {part("b", kb)} AS u, {part("r", kr)} AS v FROM luma),
+yuv AS (SELECT *, {", ".join(f"{mean(c, k)} AS {c}{2 * k}" for c in "uv" for k in (1, 2))} FROM yuv0)"""
+
+
+PACKED = "CASE WHEN x % 2 = 0 THEN printf('{0}', {1}, {2}) ELSE printf('{0}', {3}, {4}) END"
+PLANE = " || string_agg(printf('%02X', {c}), '' ORDER BY y, x)"
+CORNER = " FILTER (x % 2 = 0 AND y % 2 = 0)"
+
+
+@query("i5_convert_frames_yuv", with_sql(PIXEL_SQL, WHOLE, yuv_sql("bt709")) + " UNION ALL ".join([
+    listed("y", "printf('%02X', yy)", source="yuv"), listed("yuv_packet", "printf('%02X%02X%02X', yy, u, v)", source="yuv"),
+    listed("yuv_planar", "printf('%02X', yy)", source="yuv", each=PLANE.format(c="u") + PLANE.format(c="v")),
+    listed("yuyv", PACKED.format("%02X%02X", "yy", "u2", "yy", "v2"), source="yuv"), listed("uyvy", PACKED.format("%02X%02X", "u2", "yy", "v2", "yy"), source="yuv"),
+    listed("i420", "printf('%02X', yy)", source="yuv", each=PLANE.format(c="u4") + CORNER + PLANE.format(c="v4") + CORNER),
+    listed("o_uyy_e_vyy", "CASE WHEN x % 2 = 0 THEN printf('%02X', CASE WHEN y % 2 = 0 THEN u4 ELSE v4 END) ELSE '' END || printf('%02X', yy)", source="yuv"),
+]))
+def i5_yuv(spark, d):
+    return in_formats(spark, d, B.SHARED, "bt709")
+
+
+BACK = "least(greatest(({} + 128) >> 8, 0), 255)"
+WY, RV, GU, GV, BU = I.back_weights("bt2020")
+
+
+@query("i5_convert_frames_back", with_sql(PIXEL_SQL, WHOLE, yuv_sql("bt2020")) + f""", back AS (SELECT frame_id, x, y, CAST({BACK.format(f"{WY} * (yy - 16) + {RV} * (v4 - 128)")} AS INTEGER) AS r,
+  CAST({BACK.format(f"{WY} * (yy - 16) - {GU} * (u4 - 128) - {GV} * (v4 - 128)")} AS INTEGER) AS g, CAST({BACK.format(f"{WY} * (yy - 16) + {BU} * (u4 - 128)")} AS INTEGER) AS b FROM yuv) """
+  + listed("rgb888", "printf('%02X%02X%02X', r, g, b)", source="back"))
+def i5_back(spark, d):
+    """To planar YUV with shared chroma, between packed forms, and back."""
+    there = B.convert_frames(whole_frames(spark, d), "i420", "bt2020")
+    return digests(B.convert_frames(B.convert_frames(there, "o_uyy_e_vyy"), "rgb888", "bt2020"))
+
+
+@query("i3_scale_down_frames", with_sql(PIXEL_SQL, WHOLE) + ", k AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS k), s AS (SELECT frame_id, a.k AS x, c.k AS y, r, g, b FROM whole JOIN k a ON x = a.k * 16 // 5 JOIN k c ON y = c.k * 16 // 5) " + listed("bgr888", "printf('%02X%02X%02X', b, g, r)", source="s"))
+def i3_frames(spark, d):
+    return digests(B.scale_down_frames(B.convert_frames(whole_frames(spark, d), "bgr888"), 5, 5))
+
+
+@query("i4_scale_bilinear_pixels", I4_SQL.rpartition("SELECT frame_id, CAST(8")[0] + "SELECT frame_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, r, g, b FROM t WHERE frame_id IN (SELECT frame_id FROM size WHERE w = 16 AND h = 16)")
+def i4_pixels(spark, d):
+    p = pixels(spark, d)
+    whole = whole_frames(spark, d).select("frame_id")
+    return B.scale_bilinear(p.join(whole, "frame_id", "left_semi"), 16, 16, 8, 8)

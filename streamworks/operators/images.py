@@ -61,9 +61,16 @@ def to_yuv(df: DataFrame, standard: str = "bt601") -> DataFrame:
     })
 
 
-def from_yuv(df: DataFrame) -> DataFrame:
+def back_weights(standard: str) -> tuple[int, int, int, int, int]:
+    """Fixed-point weights (of 256) of luma, v in r, u in g, v in g, u in b, from the standard's luma weights."""
+    kr, kb = STANDARDS[standard]
+    kg, chroma = 1 - kr - kb, 256 * 255 / 224
+    return round(256 * 255 / 219), round(2 * (1 - kr) * chroma), round(2 * (1 - kb) * kb / kg * chroma), round(2 * (1 - kr) * kr / kg * chroma), round(2 * (1 - kb) * chroma)
+
+
+def from_yuv(df: DataFrame, standard: str = "bt601") -> DataFrame:
     """M12 on a table with yy, u, v."""
-    c = yuv_to_rgb(F.col("yy"), F.col("u"), F.col("v"))
+    c = yuv_to_rgb(F.col("yy"), F.col("u"), F.col("v"), back_weights(standard))
     return df.withColumn("_c", c).withColumns({k: F.col(f"_c.{k}").cast("int") for k in "rgb"}).drop("_c")
 
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import ordered_scan
+from .scans import FULL, HALF, EpochScan, SequenceScan, carried_scan, next_index
 
-HALF, FULL = 1 << 15, 1 << 16
 #: Packets left below which a key's use is soft-limited, and the least limit.
 SOFT_LIMIT = 65536
 
@@ -61,33 +59,9 @@ def select_key(packets: DataFrame, keys: DataFrame) -> DataFrame:
     return found.withColumn("key_no", number).withColumn("key_status", F.when(number.isNull(), "bad_mki").otherwise("ok")).drop("_no", "has_ids")
 
 
-def next_index(high: int | None, seq: int) -> int:
-    """The 48-bit index of a 16-bit number, given the highest index so far."""
-    high = high or 0
-    if high <= HALF:
-        return seq
-    epoch, low = high >> 16, high & 0xFFFF
-    if low < HALF:
-        if seq - low > HALF:
-            epoch -= 1
-    elif low - HALF > seq:
-        epoch += 1
-    return ((epoch & 0xFFFFFFFF) << 16) | seq
-
-
 def extend_sequence(df: DataFrame, order: str = "arrival") -> DataFrame:
-    """Adds ``index`` by an exact scan of each ssrc in order of arrival. The scan follows the highest index of all packets."""
-
-    def step(state: dict, part: pa.RecordBatch) -> list:
-        out, high = [], state["high"]
-        for seq in part.column("seq").to_pylist():
-            i = next_index(high, seq)
-            out.append(i)
-            high = i if high is None else max(high, i)
-        state["high"] = high
-        return [out]
-
-    return ordered_scan(df, ["ssrc"], order, "index long", lambda: {"high": None}, step)
+    """Adds ``index``, exactly, in order of arrival. It follows the highest index of all packets; one ssrc spreads over all tasks (``carried_scan``)."""
+    return carried_scan(df, ["ssrc"], order, SequenceScan())
 
 
 def extend_sequence_by_wraps(df: DataFrame, order: str = "arrival") -> DataFrame:
@@ -166,30 +140,10 @@ def resync_epoch(df: DataFrame, order: str = "arrival") -> DataFrame:
     """Like W2 where a row may carry a signalled rollover count ``roc``, which serves from that packet on: indexes are roc << 16 | seq.
 
     An index more than 32768 ahead of the highest one (0 before any packet) is "pkt_idx_adv": admitted, the window restarts there, and the count is used
-    up. One more than 32768 behind is "pkt_idx_old" (rejected: the highest index stays). A count of 0 takes back what is pending.
+    up. One more than 32768 behind is "pkt_idx_old" (rejected: the highest index stays). A count of 0 takes back what is pending. One ssrc
+    spreads over all tasks; what remains in order is a step for each signal.
     """
-
-    def step(state: dict, part: pa.RecordBatch) -> list:
-        out, said = [], []
-        for seq, roc in zip(part.column("seq").to_pylist(), part.column("roc").to_pylist(), strict=True):
-            if roc is not None:
-                state["pending"] = int(roc)
-            high, kind = state["high"], "ok"
-            if state["pending"]:
-                i = state["pending"] << 16 | seq
-                if i - high > HALF:
-                    kind, state["pending"] = "pkt_idx_adv", 0
-                elif high - i > HALF:
-                    kind = "pkt_idx_old"
-            else:
-                i = next_index(high, seq)
-            out.append(i)
-            said.append(kind)
-            if kind != "pkt_idx_old":
-                state["high"] = max(high, i)
-        return [out, said]
-
-    return ordered_scan(df, ["ssrc"], order, "index long, epoch_status string", lambda: {"high": 0, "pending": 0}, step)
+    return carried_scan(df, ["ssrc"], order, EpochScan())
 
 
 def admit(df: DataFrame, window: int = 128) -> DataFrame:

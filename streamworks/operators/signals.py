@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signal import curve_db, level_agg
+from .scans import FilterScan, carried_scan
 from .windows import as_of, ordered_scan
 
 BY_CHANNEL = ["stream_id", "ch"]
@@ -163,39 +164,9 @@ def biquad(kind: str, fc: float, q: float, gain: float, rate: int) -> np.ndarray
 
 
 def eq_filter(df: DataFrame, bank: list[dict], rate: int, block: int = 64) -> DataFrame:
-    """Q13: a cascade of enabled biquads over each stream and channel, in order of n.
-
-    A section is a linear system with two numbers of state, so a block of samples is two matrix products: one with the block's input, one with the state before it.
-    The states of all sections go on from batch to batch.
-    """
-    sections = [blocked(biquad(b["kind"], b["fc"], b.get("q", 0.707), b.get("gain", 0.0), rate), block) for b in bank if b.get("enabled", True)]
-
-    def step(state: list[np.ndarray], part: pa.RecordBatch) -> list:
-        y = part.column("x").to_numpy(zero_copy_only=False).astype(float)
-        for s, (a, c, carry, drive) in enumerate(sections):
-            out, now = np.empty(len(y)), state[s]
-            for i in range(0, len(y), block):
-                x = y[i : i + block]
-                n = len(x)
-                out[i : i + n] = a[:n, :n] @ x + c[:n] @ now
-                now = carry[n] @ now + drive[:, block - n :] @ x
-            state[s], y = now, out
-        return [y]
-
-    return ordered_scan(df, list(BY_CHANNEL), "n", "x double", lambda: [np.zeros(2) for _ in sections], step).select(*df.columns)
-
-
-def blocked(section: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """The matrices of a block: output from input and from state, the state's own powers, and the state from input (of the last samples)."""
-    b0, b1, b2, a1, a2 = section
-    move, into = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
-    powers = [np.eye(2)]
-    for _ in range(block):
-        powers.append(move @ powers[-1])
-    impulse = np.array([b0, *((powers[k] @ into)[0] for k in range(block - 1))])
-    a = np.array([[impulse[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
-    drive = np.stack([powers[block - 1 - j] @ into for j in range(block)], axis=1)
-    return a, np.stack([p[0] for p in powers[:block]]), powers, drive
+    """Q13: a cascade of enabled biquads over each stream and channel, in order of n. One long stream spreads over all tasks (``FilterScan``)."""
+    sections = [biquad(b["kind"], b["fc"], b.get("q", 0.707), b.get("gain", 0.0), rate) for b in bank if b.get("enabled", True)]
+    return carried_scan(df, list(BY_CHANNEL), "n", FilterScan(sections, block)).select(*df.columns)
 
 
 def static_curve(df: DataFrame, points: list[tuple[float, float]], makeup: float = 0.0) -> DataFrame:

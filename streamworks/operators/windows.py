@@ -48,6 +48,19 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, take:
     return found.select(*left.columns, *[F.col(f"_state.{c}").alias(f"found_{c}") for c in take])
 
 
+#: Arrow's types of the columns that scans add.
+KINDS = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of each run of equal keys."""
+    own, at = zip(*(batch.column(k).to_pylist() for k in keys), strict=True), 0
+    for key, rows in groupby(own):
+        n = sum(1 for _ in rows)
+        yield key, batch.slice(at, n)
+        at += n
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: str, added: str, begin: Callable[[], object], step: Callable[[object, pa.RecordBatch], list]) -> DataFrame:
     """Adds (or, by the same name, replaces) columns by a scan of each key's rows in order, with a state that is carried from batch to batch.
 
@@ -57,18 +70,13 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, added: str, begin:
     from pyspark.sql import types as T
 
     new = T.StructType.fromDDL(added)
-    kinds = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()] for f in new]
+    kinds = [KINDS[f.dataType.simpleString()] for f in new]
     schema = T.StructType([*[f for f in df.schema if f.name not in new.names], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
         for batch in batches:
-            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            at = 0
-            for key, rows in groupby(own):
-                n = sum(1 for _ in rows)
-                part = batch.slice(at, n)
-                at += n
+            for key, part in runs(batch, keys):
                 if state is None or key != last:
                     last, state = key, begin()
                 found = [pa.array(x, kind) for x, kind in zip(step(state, part), kinds, strict=True)]

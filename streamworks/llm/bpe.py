@@ -186,7 +186,7 @@ class Encoder:
         return b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.cut_special is None or "<|" not in text:
+        if self.cut_special is None or not self.cut_special.search(text):
             return np.frombuffer(self.plain(text), "<u4")
         parts = self.cut_special.split(text)
         return np.frombuffer(
@@ -195,7 +195,7 @@ class Encoder:
 
 
 #: Bytes of one word that are merged at once at first.
-WINDOW = 64
+WINDOW = 16
 
 
 class WordStream:
@@ -235,6 +235,7 @@ class Transducer:
     def __init__(self, encoder: Encoder, block: int = 1 << 16):
         self.encoder, self.block, self.pending = encoder, block, ""
         self.running = False  # within a run without white space
+        self.seen = 0  # characters of the run that have been searched for it
         self.words = ""  # its end, normalised, not yet cut into words for good
         self.open: tuple[WordStream, regex.Pattern] | None = None  # a word longer than a block, and what continues it
 
@@ -244,16 +245,18 @@ class Transducer:
         while len(self.pending) > self.block:
             head = self.pending[: self.block]
             if self.running:
-                space = SPACE.search(head)
+                space = SPACE.search(self.pending, self.seen)
                 if space:
-                    out += self._run(head[: space.start()]) + self._end_run()
+                    out += self._run(self.pending[: space.start()]) + self._end_run()
                     self.pending = self.pending[space.start() :]
                 else:
                     cut = self._safe_cut()
                     if not cut:
+                        self.seen = len(self.pending)
                         break  # wait for more
-                    out += self._run(head[:cut])
+                    out += self._run(self.pending[:cut])
                     self.pending = self.pending[cut:]
+                self.seen = 0
                 continue
             cut = last_space(head)
             if cut > 0:
@@ -277,9 +280,9 @@ class Transducer:
         return out
 
     def _safe_cut(self) -> int:
-        """A place near the end that no special token and no normalisation reaches across; 0 if there is none."""
+        """A place near the end, within the newest block, that no special token and no normalisation reaches across; 0 if there is none."""
         head, k = self.pending, self.KEPT
-        for cut in range(min(len(head), self.block) - k, k, -1):
+        for cut in range(len(head) - k, max(k, len(head) - self.block), -1):
             a, b = head[cut - k : cut], head[cut : cut + k]
             if not any(x in a[1 - len(x) :] + b[: len(x) - 1] for x in self.encoder.special):
                 if unicodedata.normalize("NFC", a) + unicodedata.normalize("NFC", b) == unicodedata.normalize("NFC", a + b):
@@ -290,7 +293,7 @@ class Transducer:
         """Part of a run: its words but those that what follows may change."""
         encoder, special = self.encoder, self.encoder.cut_special
         out = b""
-        for i, part in enumerate(special.split(text) if special and "<|" in text else [text]):
+        for i, part in enumerate(special.split(text) if special else [text]):
             if i % 2:
                 out += self._flush() + np.array([encoder.special[part]], "<u4").tobytes()
                 continue
@@ -344,7 +347,8 @@ class Transducer:
         return self._flush()
 
 
-SPACE = regex.compile(rf"[\s{OTHER_SPACE}]")
+#: What ends words: the vocabulary's white space, which is less than Python's.
+SPACE = regex.compile(r"\s")
 #: What a long word of the vocabulary's pattern is made of: letters, or neither letters, digits nor white space (digits are words alone).
 CLASSES = (regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+"), regex.compile(r"\p{N}+"))
 
@@ -352,7 +356,7 @@ CLASSES = (regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+"), regex.c
 def last_space(text: str) -> int:
     """The place of the last white space, or -1."""
     for i in range(len(text) - 1, -1, -1):
-        if text[i].isspace():
+        if text[i].isspace() and text[i] not in OTHER_SPACE:
             return i
     return -1
 

@@ -519,7 +519,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans", mask
         for batch in slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found = find([t or "" for t in texts], field)
-            spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": (k, a, b) in set(base)} for k, a, b in both] for base, both in found]
+            spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": (k, a, b) in own} for k, a, b in both] for own, both in ((set(base), both) for base, both in found)]
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
             cols[out] = pa.array(spans, kind)
             if masked:

@@ -6,7 +6,10 @@ that a pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 > 0.9999. E
 
 Members of a band value are compared in rounds (``ROUNDS``), each time with one of them, another in each round, and only if they are still in different
 components; the first rounds look at few bands, which join most of a dense group. So such a group costs a few comparisons for each member. What is
-still apart after the rounds is compared pair by pair: unlike texts that meet in a band by chance. Sets are made only for texts that are in a pair.
+still apart after the rounds are unlike texts that meet in a band: by chance, or because they share a template. Band values that hold ``CROWD`` of
+them or fewer are compared pair by pair, which is in proportion to their members. The members of larger ones meet by their rarest shingles instead: sets of n shingles can only have the
+similarity if they share one of the n - ceil(0.8 n) + 1 that are rarest among those texts, so pages of one template, whose rare shingles are
+their own, don't meet at all, and no near pair is lost. Sets are made only for texts that are in a pair or in such a value.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut_and_gather, cut_lineage, slices
 from .simhash import LOWER, SEED, WORD, components
@@ -25,6 +29,8 @@ from .simhash import LOWER, SEED, WORD, components
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
 #: (bands, salt): how many bands a round looks at, and what picks the member that the others are compared with.
 ROUNDS = ((4, 0), (BANDS, 1), (BANDS, 2))
+#: Members of a band value, still apart after the rounds, that are compared pair by pair at most; more meet by rare shingles.
+CROWD = 32
 #: Texts in pairs that are broadcast at most, about 50 bytes each (node and key).
 BROADCAST_ROWS = 100_000
 _RANDOM = np.random.default_rng(SEED)
@@ -76,6 +82,22 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, hashes array<bigint>")
 
 
+def met_by(rows: DataFrame, value: str, fits) -> DataFrame:
+    """Pairs (p, q, a, b) of rows (node, n, c) that share a value, are of different components and fit in size."""
+    l, r = rows.alias("l"), rows.alias("r")
+    on = (F.col(f"l.{value}") == F.col(f"r.{value}")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c"))
+    return l.join(r, on & fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.c").alias("a"), F.col("r.c").alias("b"))
+
+
+def rare_shingles(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, h): of each set (node, hashes) the shingles, rarest first, of which two sets with a similarity of ``least`` share one; those of one set only are left out."""
+    each = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("held")), "h")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "h"))
+    prefix = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+    return cut_lineage(counted.withColumn("place", place).filter((F.col("place") <= prefix) & (F.col("held") > 1)).select("node", "h"))
+
+
 def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``found`` (key, component_id: the least key of a component so far) with components joined where texts are near copies."""
     found = cut_lineage(found.select(F.col(key).alias("key"), "component_id").distinct())
@@ -91,15 +113,19 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
 
     fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """(a, b): the components of the pairs (p, q, a, b) of nodes whose sets are near."""
-        pairs = cut_and_gather(pairs.distinct())
-        wanted = cut_and_gather(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct().join(node.select("node", "key"), "node"))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, hashes) of some nodes."""
+        wanted = cut_and_gather(nodes.distinct().join(node.select("node", "key"), "node"))
         # counted, so that the texts are not shuffled for few pairs; more than the bound are joined by a shuffle
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "key").select("node", "text")
-        sets = cut_lineage(_sets(texts).dropDuplicates(["node"]))
+        return cut_lineage(_sets(texts).dropDuplicates(["node"]))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """(a, b): the components of the pairs (p, q, a, b) of nodes whose sets are near."""
+        pairs = cut_and_gather(pairs.distinct())
+        sets = sets_of(pairs.select(F.col("p").alias("node")).union(pairs.select("q")))
         both = pairs.join(sets.select(F.col("node").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select(F.col("node").alias("q"), F.col("hashes").alias("hq")), "q")
         shared = F.size(F.array_intersect("hp", "hq"))
         return cut_and_gather(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
@@ -123,9 +149,12 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
             if rows.isEmpty():
                 break
         if salt is None:
-            l, r = rows.alias("l"), rows.alias("r")
-            on = (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.c") != F.col("r.c"))
-            pairs = l.join(r, on & fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("p"), F.col("r.node").alias("q"), F.col("l.c").alias("a"), F.col("r.c").alias("b"))
+            sizes = cut_and_gather(rows.groupBy("value").agg(F.count("*").alias("members")))
+            few = rows.join(sizes.filter(F.col("members") <= CROWD), "value")
+            pairs = met_by(few, "value", fits)
+            crowded = cut_and_gather(rows.join(sizes.filter(F.col("members") > CROWD), "value").select("node", "n", "c").distinct())
+            if not crowded.isEmpty():
+                pairs = pairs.union(met_by(rare_shingles(sets_of(crowded.select("node")), least).join(crowded, "node"), "h", fits))
         else:
             # the member that the others are compared with
             met = cut_and_gather(found_rows.groupBy("value").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt))).alias("x")))

@@ -69,3 +69,19 @@ def test_scores_depend_on_texts_alone(spark, sf):
     held = quality.held_out()
     swapped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))  # of rows that are held out
     assert np.allclose(quality.fit_on_labels(quality.measured(docs), swapped).coef, model.coef)
+
+
+def test_sums_keep_the_tasks_of_the_lowest_level(spark):
+    """Each task adds one to the sum, so the sum tells how many there were."""
+    import pyarrow as pa
+
+    from streamworks.llm.common import tree_sum
+
+    def one(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([np.array([1.0, 2.0]).tobytes()], pa.binary())], ["sums"])
+
+    for n in (1, 3, 70):
+        assert tree_sum(spark.range(0, 1000, numPartitions=n).mapInArrow(one, "sums binary"), fan_in=4).tolist() == [n, 2.0 * n]
+    assert tree_sum(spark.range(0).mapInArrow(lambda batches: iter(()), "sums binary")) is None

@@ -8,7 +8,7 @@ from ..adapters import MEDIA_SQL, TRACE_SQL, media_frames, packets, table, trace
 from ..operators import packets as P
 from ..operators import quality as V
 from ..shared import new_folder
-from ..sources import files, tags, trace_log
+from ..sources import containers, files, tags, trace_log
 from ..streaming import streams as R
 from .packet_queries import AUTH, INDEXED, PACKET_SQL, status_sql
 from .signal_queries import R as ROUND
@@ -274,3 +274,29 @@ def s6(spark, d):
     files.write_matrix(V.metric_matrix(long, RATES), place)
     schema = "src_rate int, " + ", ".join(f"r{r} string" for r in RATES) + ", bits int, metric string"
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(place).na.fill("")
+
+
+LINES_SQL = with_sql(MEDIA_SQL) + "SELECT file_id, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(pts AS BIGINT) AS pts, size, key_frame, false AS bad FROM media"
+
+
+def frame_lines(spark, d):
+    """Media frames written as files of a user's container."""
+    place = f"{folder(spark)}/lines"
+    m = media_frames(spark, d)
+    m.select(F.concat_ws(";", "file_id", "frame_idx", "pts", "size", F.col("key_frame").cast("int")).alias("value")).write.text(place)
+    containers.register_container(spark, containers.LineFrames())
+    return place
+
+
+@query("x2_container_source", LINES_SQL)
+def x2(spark, d):
+    """Read in ranges of 64 kB, so that most ranges begin within a line."""
+    found = spark.read.format("line_frames").option("splitBytes", 65536).load(frame_lines(spark, d))
+    return found.select("file_id", "frame_idx", "pts", "size", "key_frame", "bad")
+
+
+@query("x2_container_stream", with_sql(MEDIA_SQL) + "SELECT key_frame, CAST(count(*) AS BIGINT) AS frames, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(pts) AS BIGINT) AS pts FROM media GROUP BY 1")
+def x2b(spark, d):
+    stream = spark.readStream.format("line_frames").option("splitBytes", 1 << 20).load(frame_lines(spark, d))
+    found = R.run_available(stream.select("size", "pts", "key_frame"), folder(spark))
+    return found.groupBy("key_frame").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.sum("pts").alias("pts"))

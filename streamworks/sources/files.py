@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import container_type, extension
 from ..operators.catalog import slice_index
 from ..operators.packets import decode_rtp_header
+from ..operators.windows import runs
 
 #: One block of a metric report; what stands between the parts is skipped lazily, over lines.
 BLOCK = r"(?s)====[^\n(]*\((\d+) -> (\d+), bits: (\d+)\)\s*====.*?thd_db:\s*(-?[\d.]+).*?snr_db:\s*(-?[\d.]+).*?magnitude_response_diff:\s*(-?[\d.]+)"
@@ -56,47 +59,52 @@ def read_packets(spark: SparkSession, path: str, payload: str | None = None) ->
 
 
 Parser = Callable[[bytes], tuple[int, int, dict]]
+#: Bytes that a parser is shown at first; more where it asks for more.
+SHOWN = 4096
 
 
-def with_frame_parser(df: DataFrame, fn: Parser, schema: str, key: str = "path", order: str = "idx", data: str = "data") -> DataFrame:
-    """(key, order, data) chunks through a user's parser, which gets the bytes at hand and says (skipped, frame_size, info).
-
-    A frame_size of 0 asks for more data: the rest waits for the next chunk of its key. Chunks of a key meet in one task, in order.
-    """
-    names = [p.split()[0] for p in schema.split(",")]
-
-    def run(_key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, at = b"", 0
-        for part in parts:
-            rows = []
-            for chunk in part[data]:
-                rest += bytes(chunk)
-                while rest:
-                    skipped, size, info = fn(rest)
-                    if size <= 0 or skipped + size > len(rest):
-                        break
-                    rows.append({**info, "pos": at + skipped, "size": size, key: _key[0]})
-                    rest, at = rest[skipped + size :], at + skipped + size
-            yield pd.DataFrame(rows, columns=[key, "pos", "size", *names])
+class Frames:
+    """The bytes of one key that aren't parsed yet, and their place in its stream."""
 
-    def grouped(key_values: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(run(key_values, iter([part.sort_values(order)]))))
+    def __init__(self):
+        self.rest, self.at = b"", 0
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandas(grouped, f"{key} {kind}, pos long, size long, {schema}")
+    def feed(self, data: bytes, fn: Parser) -> Iterator[tuple[int, int, dict]]:
+        """(pos, size, info) of the frames that are whole by now. A parser sees ``SHOWN`` bytes, doubled as often as it asks for more, so each byte is copied a few times."""
+        whole, done, shown = self.rest + data if self.rest else data, 0, SHOWN
+        while done < len(whole):
+            seen = whole[done : done + shown]
+            skipped, size, info = fn(seen)
+            if size <= 0 or skipped + size > len(seen):
+                if done + shown >= len(whole):
+                    break
+                shown *= 2
+                continue
+            yield self.at + done + skipped, size, info
+            done, shown = done + skipped + size, SHOWN
+        self.rest, self.at = whole[done:], self.at + done
 
 
-CONTAINER_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def register_container(name: str, fn: Callable[[SparkSession, str], DataFrame]) -> None:
-    """A user's reader for a container type."""
-    CONTAINER_READERS[name.lower().lstrip(".")] = fn
+def with_frame_parser(df: DataFrame, fn: Parser, schema: str, key: str = "path", order: str = "idx", data: str = "data") -> DataFrame:
+    """(key, order, data) chunks through a user's parser, which gets the bytes at hand and says (skipped, frame_size, info).
 
+    A frame_size of 0 asks for more data: the rest waits for the next chunk of its key. Chunks of a key meet in one task, in order, a batch of them at a
+    time; what waits is the part of a frame that hasn't ended. Null chunks hold nothing.
+    """
+    found = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(f"pos long, size long, {schema}")])
+    arrow = to_arrow_schema(found)
+    names = found.names[3:]
 
-def read_container(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """Reads by a registered reader, found by name or by the path's extension."""
-    kind = (name or path.rpartition(".")[2]).lower()
-    if kind not in CONTAINER_READERS:
-        raise ValueError(f"no reader is registered for {kind!r}")
-    return CONTAINER_READERS[kind](spark, path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, frames = None, None
+        for batch in batches:
+            rows = []
+            for own, part in runs(batch, [key]):
+                if frames is None or own != last:
+                    last, frames = own, Frames()
+                for chunk in part.column(data):
+                    rows += [(own[0], pos, size, *map(info.get, names)) for pos, size, info in frames.feed(chunk.as_py() or b"", fn)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.types[i]) for i in range(len(arrow))], arrow.names)
+
+    dealt = df.select(key, order, data).repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(run, found)

@@ -15,6 +15,7 @@ from ..functions.signal import level_agg
 from ..operators.packets import AdmissionState
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,7 +24,7 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     own = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set(PROVIDER, ROCKSDB)
     return own
 
 
@@ -61,12 +62,15 @@ class Admission(StatefulProcessor):
 
 
 def stream_admit(packets: DataFrame, window: int = 128, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
-    """Live sequence extension and replay rejection by ssrc; (ssrc, arrival, seq, index, status). Its session is a ``stateful_session``.
+    """Live sequence extension and replay rejection by ssrc; (ssrc, arrival, seq, index, status).
+
+    State variables need RocksDB, so the stream's session keeps state there from now on (``stateful_session`` keeps other streams apart from that).
 
     State is the highest index and a window of bits; a stream without packets for ``idle_ms`` is forgotten, if that is given (by the clock, so that
     such a query doesn't end by itself, unless there is a ``delay``). Packets of one batch are taken in order of arrival. With ``delay``, packets (with an event time ``ts``) behind the watermark are dropped before they
     reach the window, and idling is measured in event time; the query's progress counts them (``LateDataListener``).
     """
+    packets.sparkSession.conf.set(PROVIDER, ROCKSDB)
     timed = packets.withWatermark("ts", delay) if delay else packets
     mode = "EventTime" if delay else "ProcessingTime" if idle_ms else "None"
     return timed.groupBy("ssrc").transformWithStateInPandas(

@@ -53,10 +53,6 @@ def test_packets_and_containers(spark, tmp_path):
     spark.createDataFrame([(bytes.fromhex("80600001000000020000000A"),), (b"\x80",)], "payload binary").write.parquet(str(tmp_path / "p"))
     got = files.read_packets(spark, str(tmp_path / "p"), "payload")
     assert {(r.status, r.ssrc, r.pt) for r in got.collect()} == {("ok", 10, 96), ("bad_param", None, None)}
-    files.register_container(".P", lambda s, path: s.read.parquet(path))
-    assert files.read_container(spark, str(tmp_path / "p"), "p").count() == 2
-    with pytest.raises(ValueError):
-        files.read_container(spark, "x.unknown")
 
 
 def test_tag_files(spark, tmp_path):

@@ -220,6 +220,13 @@ def q15(spark, d):
     return rounded(G.resample(samples(spark, d), 8000, 12000))
 
 
+@query("q15_resample_sinc", with_sql(SAMPLE_SQL) + ", taps(p, k, w) AS (VALUES " + ", ".join(f"({p}, {k}, {w!r}::DOUBLE)" for p, k, w in G.sinc_taps(12000, 8000, 1)) + f"""),
+g AS (SELECT stream_id, ch, unnest(range(CAST(ceil((max(n) + 1) * 2 / 3.0) AS BIGINT))) AS m FROM sample GROUP BY 1, 2)
+SELECT g.stream_id, g.ch, m AS n, {R("sum(x * w)")} AS x FROM g JOIN taps ON p = m * 3 % 2 JOIN sample s ON s.stream_id = g.stream_id AND s.ch = g.ch AND s.n = m * 3 // 2 + k GROUP BY 1, 2, 3""")
+def q15b(spark, d):
+    return rounded(G.resample_sinc(samples(spark, d), 12000, 8000, 1))
+
+
 @query("u2_same_output", with_sql(SAMPLE_SQL) + f"SELECT stream_id, ch, n, {R('x')} AS x, 'a' AS side FROM sample WHERE n % 100 = 0 UNION ALL SELECT stream_id, ch, n, {R('x + 1')}, 'b' FROM sample WHERE n % 100 = 0")
 def u2(spark, d):
     s = samples(spark, d)
@@ -264,7 +271,21 @@ def q13(spark, d):
     return rounded(G.eq_filter(samples(spark, d), bank, 16000))
 
 
-@query("q14_compress")
+def q14_sql(attack: int, release: int, hold: int) -> str:
+    """The envelope sample by sample: the curve's gain below the level, smoothed with the attack where it falls, after the hold with the release where it rises."""
+    import math
+
+    a, r = math.exp(-1 / attack), math.exp(-1 / release)
+    return with_sql(SAMPLE_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f""", l AS (SELECT *, 20 * log10(greatest(abs(x), 1e-10::DOUBLE)) AS db FROM sample),
+w AS (SELECT *, CASE WHEN db >= 0 THEN -20 WHEN db >= -40 THEN -40 + (db + 40) * 0.5::DOUBLE WHEN db >= -100 THEN db ELSE -100 END - greatest(db, -100) AS want FROM l),
+r AS (
+  SELECT DISTINCT stream_id, ch, CAST(-1 AS BIGINT) AS n, 0.0::DOUBLE AS gain, CAST(0 AS BIGINT) AS held, 0.0::DOUBLE AS x FROM sample
+  UNION ALL SELECT w.stream_id, w.ch, w.n, CASE WHEN want < gain THEN {a!r}::DOUBLE * gain + (1 - {a!r}::DOUBLE) * want WHEN held > 0 THEN gain ELSE {r!r}::DOUBLE * gain + (1 - {r!r}::DOUBLE) * want END,
+    CASE WHEN want < gain THEN {hold} WHEN held > 0 THEN held - 1 ELSE 0 END, w.x FROM r JOIN w ON w.stream_id = r.stream_id AND w.ch = r.ch AND w.n = r.n + 1
+) SELECT stream_id, ch, n, {R("x * pow(10.0::DOUBLE, gain / 20)")} AS x FROM r WHERE n >= 0"""
+
+
+@query("q14_compress", q14_sql(8, 80, 4))
 def q14(spark, d):
     return rounded(G.compress(samples(spark, d), CURVES["down"], 8, 80, 4))
 

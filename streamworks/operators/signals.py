@@ -108,22 +108,38 @@ def mixer_transition(df: DataFrame, modes: DataFrame, transit: int) -> DataFrame
     return found.select(*df.columns, F.coalesce(F.col("found_w_from") + (F.col("found_w_to") - F.col("found_w_from")) * t, F.lit(1.0)).alias("weight"))
 
 
-def echo_taps(feedback: float) -> int:
-    """After so many echoes less than a millionth is left."""
-    return 1 if feedback <= 0 else min(270, math.ceil(math.log(1e-6) / math.log(feedback)))
+#: The greatest feedback; above it an echo would outlast any stream.
+MOST_FEEDBACK = 0.95
+
+
+def echo_taps(feedback: float, left: float = 1e-12) -> int:
+    """After so many echoes less than ``left`` of a sample remains."""
+    return 1 if feedback <= 0 else max(1, math.ceil(math.log(left) / math.log(feedback)))
 
 
 def echo(df: DataFrame, delay: int, feedback: float, mix: float) -> DataFrame:
-    """Dry cos + wet sin of an equal-power mix **[choice]**; the k-th echo is feedback^(k-1) times the sample k delays before. 0 is a bypass."""
+    """Dry cos + wet sin of an equal-power mix **[choice]**; the k-th echo is feedback^(k-1) times the sample k delays before. 0 is a bypass.
+
+    Samples a whole number of delays apart are a recurrence wet(k) = x(k - 1) + feedback wet(k - 1), so a weighted sum of all that come before. It is taken in
+    buckets of as many steps as a millionth remains after: within a bucket as one running sum, and from the totals of the three buckets before, beyond which nothing counts.
+    The plan is the same for any feedback, and one long stream is cut by delay and bucket. Numbers ``n`` are a channel's own; one that is missing counts as silence.
+    """
     if delay <= 0:
         return df
-    own = Window.partitionBy(*BY_CHANNEL).orderBy("n")
-    taps, wet = echo_taps(feedback), None
-    for k in range(1, taps + 1):
-        term = F.coalesce(F.lag("x", k * delay).over(own), F.lit(0.0)) * F.lit(feedback ** (k - 1))
-        wet = term if wet is None else wet + term
+    if not 0 <= feedback <= MOST_FEEDBACK:
+        raise ValueError(f"feedback is between 0 and {MOST_FEEDBACK}")
+    size, fb = echo_taps(feedback, 1e-6), F.lit(float(feedback))
+    step, own = F.floor(F.col("n") / delay), [*BY_CHANNEL, "_lane", "_bucket"]
+    placed = df.withColumns({"_lane": F.pmod("n", F.lit(delay)), "_bucket": F.floor(step / size), "_at": F.pmod(step, F.lit(size))})
+    before = F.sum(F.col("x") * F.pow(fb, -F.col("_at"))).over(Window.partitionBy(*own).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("_near", F.when(F.col("_at") == 0, 0.0).otherwise(F.coalesce(before, F.lit(0.0)) * F.pow(fb, F.col("_at") - 1)))
+    totals = placed.groupBy(*own).agg(F.sum(F.col("x") * F.pow(fb, size - 1 - F.col("_at"))).alias("_total"))
+    later = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(feedback ** (size * (k - 1)))).alias("w")) for k in (1, 2, 3)]))
+    far = totals.select("*", later.alias("_l")).groupBy(*BY_CHANNEL, "_lane", (F.col("_bucket") + F.col("_l.k")).alias("_bucket")).agg(F.sum(F.col("_total") * F.col("_l.w")).alias("_far"))
+    wet = F.col("_near") + F.coalesce("_far", F.lit(0.0)) * F.pow(fb, F.col("_at"))
     angle = mix * math.pi / 2
-    return df.withColumn("x", F.col("x") * math.cos(angle) + wet * math.sin(angle))
+    found = placed.join(far, own, "left").withColumn("x", F.col("x") * math.cos(angle) + wet * math.sin(angle))
+    return found.select(*df.columns)
 
 
 def local_peaks(df: DataFrame, value: str = "energy", order: str = "frame_idx", share: float = 0.1) -> DataFrame:
@@ -146,6 +162,47 @@ def resample(df: DataFrame, src: int, dst: int) -> DataFrame:
     return rows.select(*BY_CHANNEL, F.col("m").alias("n"), (F.col("x") + F.coalesce(F.col("_next") - F.col("x"), F.lit(0.0)) * t).alias("x"))
 
 
+#: Taps on each side of a target, in samples of the lower rate, by complexity **[choice]**.
+HALF_TAPS = {1: 8, 2: 16, 3: 32}
+
+
+def sinc_taps(src: int, dst: int, complexity: int = 2) -> list[tuple[int, int, float]]:
+    """(phase, k, weight): a target between two samples takes the k-th sample after the one at or before it with the weight of its phase, of dst / gcd.
+
+    A sinc up to nine tenths of the lower rate's half, below a Blackman window; each phase's weights add up to 1 **[choice]**.
+    """
+    phases = dst // math.gcd(src, dst)
+    low = min(1.0, dst / src)
+    reach = math.ceil(HALF_TAPS[complexity] / low)
+    out = []
+    for phase in range(phases):
+        k = np.arange(1 - reach, reach + 1)
+        t = k - phase / phases
+        window = np.where(np.abs(t) < reach, 0.42 + 0.5 * np.cos(np.pi * t / reach) + 0.08 * np.cos(2 * np.pi * t / reach), 0.0)
+        weight = np.sinc(0.9 * low * t) * window
+        out += [(phase, int(i), float(w)) for i, w in zip(k, weight / weight.sum(), strict=True)]
+    return out
+
+
+def resample_sinc(df: DataFrame, src: int, dst: int, complexity: int = 2) -> DataFrame:
+    """Q15 at high quality: a windowed sinc by phases. Rates are multiples of 4000 or 11025, complexity is 1 to 3.
+
+    Every sample goes to the targets that it is a tap of and meets its weight by (phase, tap) in a table of a row for each; targets add up their taps, before
+    the shuffle as well. Samples beyond a stream's ends are silence; targets lie between its samples.
+    """
+    if any(r % 4000 and r % 11025 for r in (src, dst)):
+        raise ValueError("rates are multiples of 4000 or 11025")
+    taps, g = sinc_taps(src, dst, complexity), math.gcd(src, dst)
+    up, down, reach = dst // g, src // g, max(k for _, k, _ in taps)
+    table = df.sparkSession.createDataFrame(taps, "_phase long, _k long, _w double")
+    first = lambda base: F.ceil(base * up / F.lit(down)).cast("long")  # noqa: E731  the first target at or after a sample
+    targets = F.sequence(F.greatest(first(F.col("n") - reach), F.lit(0).cast("long")), first(F.col("n") + reach) - 1)
+    met = df.select(*BY_CHANNEL, "n", "x", F.explode(targets).alias("m"))
+    met = met.withColumns({"_phase": F.col("m") * down % up, "_k": F.col("n") - F.floor(F.col("m") * down / F.lit(up)).cast("long")})
+    summed = met.join(table, ["_phase", "_k"]).groupBy(*BY_CHANNEL, "m").agg(F.sum(F.col("x") * F.col("_w")).alias("x"), F.max(F.col("_k") == 0).alias("_inside"))
+    return summed.filter("_inside").select(*BY_CHANNEL, F.col("m").alias("n"), "x")
+
+
 def biquad(kind: str, fc: float, q: float, gain: float, rate: int) -> np.ndarray:
     """Second-order section (b0, b1, b2, a1, a2) by the public audio equalizer cookbook **[choice]**."""
     w, amp = 2 * math.pi * fc / rate, 10 ** (gain / 40)

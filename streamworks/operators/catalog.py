@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import as_of
+from .windows import as_of, carry
 
 STREAM_BITS = {"audio": 1, "video": 2}
 
@@ -49,9 +49,7 @@ def frame_summary(df: DataFrame) -> DataFrame:
 
 def gop_report(df: DataFrame, frame_type: str | None = None) -> DataFrame:
     """Frames, bytes and the pts range of each group of pictures, or of each type of frame in it; group 0 is what comes before the first key frame."""
-    own = Window.partitionBy("file_id").orderBy("frame_idx")
-    gop = F.sum(F.col("key_frame").cast("int")).over(own)
-    return df.withColumn("gop", gop).groupBy("file_id", "gop", *([frame_type] if frame_type else [])).agg(
+    return carry(df, ["file_id"], "frame_idx", {"gop": ("sum", F.col("key_frame").cast("int"))}).groupBy("file_id", "gop", *([frame_type] if frame_type else [])).agg(
         F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.min("pts").alias("first_pts"), F.max("pts").alias("last_pts"), F.count_if("key_frame").alias("key_frames")
     )
 
@@ -70,19 +68,20 @@ def resume_points(df: DataFrame) -> DataFrame:
 
 def slice_index(df: DataFrame, slice_ms: int, at_key: bool = False) -> DataFrame:
     """Slice number by pts since the file's first; ``at_key``: a slice begins at its first key frame, frames before stay in the slice before **[choice]**."""
-    start = F.min("pts").over(Window.partitionBy("file_id"))
-    cut = df.withColumn("slice_idx", F.floor((F.col("pts") - start) / slice_ms))
+    first = carry(df, ["file_id"], ["pts", "frame_idx"], {"_first": ("min", F.col("pts"))})
+    cut = first.withColumn("slice_idx", F.floor((F.col("pts") - F.col("_first")) / slice_ms)).drop("_first")
     if not at_key:
         return cut
-    own = Window.partitionBy("file_id").orderBy("pts", "frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("slice_idx", F.coalesce(F.max(F.when(F.col("key_frame"), F.col("slice_idx"))).over(own), F.lit(0)).cast("long"))
+    # slices rise with pts, so the greatest one begun is that of the last key frame
+    begun = carry(cut, ["file_id"], ["pts", "frame_idx"], {"_begun": ("last", F.when(F.col("key_frame"), F.col("slice_idx")))})
+    return begun.withColumn("slice_idx", F.coalesce("_begun", F.lit(0)).cast("long")).drop("_begun")
 
 
 def mux_order(df: DataFrame) -> DataFrame:
     """T4: each file's packets in one timeline by dts, or pts where dts is 0 **[choice]**; ties by stream type, stream and index. ``place`` counts from 0."""
     at = F.when(F.col("dts") == 0, F.col("pts")).otherwise(F.col("dts"))
-    own = Window.partitionBy("file_id").orderBy("at", "stream_type", "stream_id", "frame_idx")
-    return df.withColumn("at", at).withColumn("place", (F.row_number().over(own) - 1).cast("long"))
+    placed = carry(df.withColumn("at", at), ["file_id"], ["at", "stream_type", "stream_id", "frame_idx"], {"place": ("count", F.lit(1))})
+    return placed.withColumn("place", (F.col("place") - 1).cast("long"))
 
 
 def tag_facets(df: DataFrame) -> DataFrame:

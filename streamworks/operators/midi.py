@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import carry
+
 NOTE_ON, NOTE_OFF, PROGRAM, TEMPO = 1, 2, 3, 4
 DEFAULT_TEMPO = 500_000  # microseconds for each quarter note
 
@@ -22,19 +24,15 @@ def match_zone(notes: DataFrame, zones: DataFrame) -> DataFrame:
 
 def state_as_of(events: DataFrame, columns: tuple[str, ...] = ("program",)) -> DataFrame:
     """What is in force at each note-on of a channel (null before the first event of its kind): program, bank, pitch, pressure or other columns."""
-    own = Window.partitionBy("file_id", "channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = {("in_force" if columns == ("program",) else f"{c}_in_force"): F.last(c, ignorenulls=True).over(own) for c in columns}
-    return events.withColumns(found).filter(F.col("type") == NOTE_ON)
+    found = {("in_force" if columns == ("program",) else f"{c}_in_force"): ("last", F.col(c)) for c in columns}
+    return carry(events, ["file_id", "channel"], "seq", found).filter(F.col("type") == NOTE_ON)
 
 
 def ticks_to_ms(events: DataFrame, division: int) -> DataFrame:
     """Absolute ticks and milliseconds under a tempo that changes with each tempo event (which counts from its own tick on)."""
-    own = Window.partitionBy("file_id").orderBy("seq")
-    before = F.last("tempo_us", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    rows = events.withColumn("_tempo", F.coalesce(before, F.lit(DEFAULT_TEMPO)))
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    us = F.sum(F.col("delta_ticks") * F.col("_tempo")).over(upto)
-    return rows.withColumn("tick", F.sum("delta_ticks").over(upto)).withColumn("ms", us / division / 1000).drop("_tempo")
+    rows = carry(events, ["file_id"], "seq", {"_tempo": ("last_before", F.col("tempo_us"))}).withColumn("_tempo", F.coalesce("_tempo", F.lit(DEFAULT_TEMPO)))
+    summed = carry(rows, ["file_id"], "seq", {"tick": ("sum", F.col("delta_ticks")), "_us": ("sum", F.col("delta_ticks") * F.col("_tempo"))})
+    return summed.withColumn("ms", F.col("_us") / division / 1000).drop("_tempo", "_us")
 
 
 def note_durations(events: DataFrame, tick: str = "tick") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scans import FULL, HALF, EpochScan, SequenceScan, carried_scan, next_index
+from .windows import carry
 
 #: Packets left below which a key's use is soft-limited, and the least limit.
 SOFT_LIMIT = 65536
@@ -80,28 +81,26 @@ def replay_status(df: DataFrame, window: int = 128, allow_repeat: bool = False,
     of all packets before is the highest admitted; and an index is admitted at its first arrival or never.
     """
     size = -(-window // 32) * 32
-    before = Window.partitionBy("ssrc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     again = F.row_number().over(Window.partitionBy("ssrc", "index").orderBy(order)) > 1
     old = F.col("_high") - F.col("index") > size - 1
     repeat = F.lit(allow_repeat)
-    return df.withColumn("_high", F.max("index").over(before)).withColumn("status", F.when(F.coalesce(old, F.lit(False)), "replay_old").when(again & ~repeat, "replay_fail").otherwise("ok")).drop("_high")
+    return carry(df, ["ssrc"], order, {"_high": ("max_before", F.col("index"))}).withColumn("status", F.when(F.coalesce(old, F.lit(False)), "replay_old").when(again & ~repeat, "replay_fail").otherwise("ok")).drop("_high")
 
 
 def control_replay_status(df: DataFrame, order: str = "arrival", window: int = 128) -> DataFrame:
     """The same for an explicit index; the window starts at 0 and then ends at the highest index."""
-    before = Window.partitionBy("ssrc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     again = F.row_number().over(Window.partitionBy("ssrc", "index").orderBy(order)) > 1
-    start = F.greatest(F.lit(0), F.coalesce(F.max("index").over(before), F.lit(0)) - (window - 1))
-    return df.withColumn("_start", start).withColumn("status", F.when(F.col("index") < F.col("_start"), "replay_old").when(again, "replay_fail").otherwise("ok")).drop("_start")
+    start = F.greatest(F.lit(0), F.coalesce("_high", F.lit(0)) - (window - 1))
+    return carry(df, ["ssrc"], order, {"_high": ("max_before", F.col("index"))}).withColumn("_start", start).drop("_high").withColumn("status", F.when(F.col("index") < F.col("_start"), "replay_old").when(again, "replay_fail").otherwise("ok")).drop("_start")
 
 
 def loss_report(df: DataFrame, order: str = "arrival") -> DataFrame:
     """Packets, distinct indexes, lost ones, gaps, and arrivals below an index seen before, by ssrc."""
-    before = Window.partitionBy("ssrc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    late = df.withColumn("_late", F.coalesce(F.max("index").over(before) > F.col("index"), F.lit(False)))
-    heard = late.groupBy("ssrc", "index").agg(F.count("*").alias("n"), F.sum(F.col("_late").cast("long")).alias("late"))
-    step = F.col("index") - F.lag("index").over(Window.partitionBy("ssrc").orderBy("index"))
-    return heard.withColumn("step", step).groupBy("ssrc").agg(
+    late = F.coalesce(F.col("_high") > F.col("index"), F.lit(False)).cast("long")
+    seen = carry(df, ["ssrc"], order, {"_high": ("max_before", F.col("index"))})
+    heard = seen.groupBy("ssrc", "index").agg(F.count("*").alias("n"), F.sum(late).alias("late"))
+    near = carry(heard, ["ssrc"], "index", {"_before": ("max_before", F.col("index"))})
+    return near.withColumn("step", F.col("index") - F.col("_before")).groupBy("ssrc").agg(
         F.sum("n").alias("packets"), F.count("*").alias("distinct_packets"), (F.max("index") - F.min("index") + 1 - F.count("*")).alias("lost"),
         F.count_if(F.col("step") > 1).alias("gaps"), F.sum("late").alias("late"),
     )
@@ -111,15 +110,15 @@ def key_budget(df: DataFrame, limit: int, key: str = "ssrc", order: str = "arriv
     """Admitted packets of each key count down from the limit: "ok", "soft" below 65536 left, "hard" at 0, then "key_expired"."""
     if limit < SOFT_LIMIT:
         raise ValueError(f"a key's limit is at least {SOFT_LIMIT}")
-    left = limit - F.row_number().over(Window.partitionBy(key).orderBy(order))
+    left = limit - F.col("_used")
     state = F.when(left < 0, "key_expired").when(left < 1, "hard").when(left < SOFT_LIMIT, "soft").otherwise("ok")
-    return df.withColumn("packets_left", F.greatest(F.lit(0), left)).withColumn("key_state", state)
+    used = carry(df, [key], order, {"_used": ("count", F.lit(1))})
+    return used.withColumn("packets_left", F.greatest(F.lit(0), left)).withColumn("key_state", state).drop("_used")
 
 
 def ssrc_collision(df: DataFrame, order: str = "arrival") -> DataFrame:
     """Packets whose direction isn't that of their stream's first packet."""
-    first = F.first("direction").over(Window.partitionBy("ssrc").orderBy(order))
-    return df.withColumn("first_direction", first).filter("direction <> first_direction")
+    return carry(df, ["ssrc"], order, {"first_direction": ("first", F.col("direction"))}).filter("direction <> first_direction")
 
 
 STATUSES = ["ok", "replay_fail", "replay_old", "no_ctx", "bad_param", "key_expired"]

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,14 +38,46 @@ def running_balance(df: DataFrame, keys: list[str], order: str, delta: str, buck
     return joined.withColumn("balance", balance).withColumn("peak", peak).select(*[c for c in df.columns if c != "_bucket"], "balance", "peak")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, take: list[str]) -> DataFrame:
-    """For each left row the last right row of its keys at or before it (nulls without one), by one sort and no join."""
+def carry(df: DataFrame, keys: list[str], order: str | list[str], adds: dict[str, tuple[str, Column]], bucket: int = BUCKET) -> DataFrame:
+    """Adds running values in order of ``order`` within the keys, for keys of any number of rows. ``adds``: name -> (kind, column).
+
+    Kinds: "sum" and "count" (up to the row), "max_before" (of the rows before), "last" and "last_before" (the last that isn't null, up to the row or before it),
+    "first" (of the key's first row), "min" (of all rows of the key). Rows without an order come first. Rows are windowed within buckets of so many steps of the first order column, a number; what a bucket
+    hands on (a total, a maximum, a last value) is aggregated from the rows before they are shuffled, carried over the key's buckets and joined back, so no
+    task holds more than a bucket of a key, or one row for each of its buckets. Null keys are a key.
+    """
+    order = [order] if isinstance(order, str) else order
+    rows = df.withColumns({"_key": F.struct(*keys), "_bucket": F.coalesce(F.floor(F.col(order[0]) / bucket), F.lit(-(1 << 62))), **{f"_in_{n}": c for n, (_, c) in adds.items()}})
+    at = F.struct(*[F.col(c) for c in order])
+    within = Window.partitionBy("_key", "_bucket").orderBy(*order)
+    upto, before = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside, totals, starts, out = {}, [], {}, {}
+    for name, (kind, _) in adds.items():
+        c, own, start = F.col(f"_in_{name}"), F.col(f"_own_{name}"), F.col(f"_start_{name}")
+        last = F.max_by(c, F.when(c.isNotNull(), at))
+        inside[f"_own_{name}"], total, carried, out[name] = {
+            "sum": (F.sum(c).over(upto), F.sum(c), F.sum, F.coalesce(start + own, own, start)),
+            "count": (F.count("*").over(upto), F.count("*"), F.sum, F.coalesce(start, F.lit(0)) + own),
+            "max_before": (F.max(c).over(before), F.max(c), F.max, F.greatest(start, own)),
+            "last": (F.last(c, ignorenulls=True).over(upto), last, lambda x: F.last(x, ignorenulls=True), F.coalesce(own, start)),
+            "last_before": (F.last(c, ignorenulls=True).over(before), last, lambda x: F.last(x, ignorenulls=True), F.coalesce(own, start)),
+            "min": (F.lit(None), F.min(c), F.min, start),
+            "first": (F.first(F.struct(c.alias("v"))).over(upto), F.min_by(F.struct(c.alias("v")), at), F.first, F.coalesce(start, own)["v"]),
+        }[kind]
+        totals.append(total.alias(f"_start_{name}"))
+        starts[f"_start_{name}"] = carried(F.col(f"_start_{name}")).over(Window.partitionBy("_key") if kind == "min" else earlier)
+    told = rows.groupBy("_key", "_bucket").agg(*totals).withColumns(starts)
+    return rows.withColumns(inside).join(told, ["_key", "_bucket"]).withColumns(out).select(*[c for c in df.columns if c not in adds], *adds)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, take: list[str], bucket: int = BUCKET) -> DataFrame:
+    """For each left row the last right row of its keys at or before it (nulls without one), by one sort and no join of the two sides (``carry``)."""
     state = F.struct(F.lit(True).alias("hit"), *take)
     both = left.withColumn("_side", F.lit(1)).withColumn("_state", F.lit(None).cast("struct<hit:boolean," + ",".join(f"{c}:{right.schema[c].dataType.simpleString()}" for c in take) + ">"))
     other = right.select(*keys, order, F.lit(0).alias("_side"), state.alias("_state"))
-    row = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.unionByName(other, allowMissingColumns=True).withColumn("_state", F.last("_state", ignorenulls=True).over(row)).filter("_side = 1")
-    return found.select(*left.columns, *[F.col(f"_state.{c}").alias(f"found_{c}") for c in take])
+    found = carry(both.unionByName(other, allowMissingColumns=True), keys, [order, "_side"], {"_found": ("last", F.col("_state"))}, bucket).filter("_side = 1")
+    return found.select(*left.columns, *[F.col(f"_found.{c}").alias(f"found_{c}") for c in take])
 
 
 #: Arrow's types of the columns that scans add.

@@ -1,10 +1,12 @@
 """Chat formatting: records of any known layout become turns, and turns one reversible training text.
 
 Layouts are recognised by their schema, not by trial: the paths of a record's nested fields (those of a JSON text, or the fields of
-a struct) are listed, to ``DEPTH`` levels and over all members of lists; fields that are null are absent. Of them those count that any mapping names, so ids,
-sources, tools and other fields don't matter; their hash picks a declarative ``Mapping`` from a registry: which field is the
-list of turns or, without one, which fields are single turns of which role. Texts may be lists of parts, whose texts are joined. A record of an unknown fingerprint gives no
-turns and says so (``layout`` null). Spark's JSON functions read texts of up to 20 million characters; structs have no such limit.
+a struct) are listed, to ``DEPTH`` levels and over all members of lists, with the kind (text, list, object) of those that a mapping reads as a text or a list; fields that
+are null are absent. Of them those count that any mapping names, so ids, sources, tools and other fields don't matter; their hash picks a declarative ``Mapping`` from a
+registry: which field is the list of turns or, without one, which fields are turns of which role, lists of messages or lists of earlier exchanges. A record whose hash
+no mapping has may still have that of a list of turns beside fields of other layouts. Texts may be lists of parts, whose texts are joined. A record of an unknown
+fingerprint gives no turns and says so (``layout`` null), and ``unread`` names the fields of any record that no turn was made of.
+Spark's JSON functions read texts of up to 20 million characters; structs have no such limit.
 
 The template marks a turn ``[INST]...[/INST]`` for the user, ``[SYS]...[/SYS]`` for the system, ``<s>...</s>`` for
 the assistant and ``[ROLE]name[TEXT]...[/ROLE]`` for any other role. Control strings inside texts and role names get a backslash
@@ -44,18 +46,24 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, r"$1$4$2$5$3$6")
 
 
+#: In place of a role: a list of messages, and a list of earlier exchanges (what the user and what the assistant said).
+MESSAGES, EXCHANGES = "*", "**"
+
+
 @dataclass(frozen=True)
 class Mapping:
-    """``turns``: path of the list of turns, ``role`` and ``text`` the fields in it; or ``single``: (role, path) in order.
+    """``turns``: path of the list of turns, ``role`` and ``text`` the fields in it; ``single``: (role, path) in order, before the list if there is one.
 
-    ``paths`` must all be there, those of ``optional`` may be. With ``parts`` a turn's text is a list of parts with a text each."""
+    A path in ``single`` may be several, whose texts are one turn, an empty line between them; the role may be ``MESSAGES`` or ``EXCHANGES``. Empty system texts
+    are left out. ``paths`` must all be there, those of ``optional`` may be (some that come together stand in one text). With ``parts`` a turn's text is a
+    list of parts with a text each."""
 
     name: str
     paths: tuple[str, ...]
     turns: str | None = None
     role: str = "role"
     text: str = "text"
-    single: tuple[tuple[str, str], ...] = ()
+    single: tuple[tuple[str, str | tuple[str, ...]], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
     parts: bool = False
@@ -63,40 +71,90 @@ class Mapping:
     @property
     def fingerprints(self) -> list[Column]:
         """One for each choice of optional paths."""
-        chosen = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
+        chosen = [" ".join(c).split() for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
         return [F.xxhash64(F.lit("\n".join(sorted({*self.paths, *c})))) for c in chosen]
 
+    @property
+    def read(self) -> list[str]:
+        """The paths that turns are made of, without the list of turns."""
+        return [p for _, paths in self.single for p in ([paths] if isinstance(paths, str) else paths)]
+
+    @property
+    def fields(self) -> set[str]:
+        """The outermost fields that turns are made of."""
+        return {p.partition(".")[0] for p in (*self.read, *([self.turns] if self.turns else []))}
+
+
+def listed(path: str) -> tuple[str, ...]:
+    """The paths of a list of messages."""
+    return path, f"{path}[]", f"{path}[].content", f"{path}[].role"
+
 
 SAME_ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 CONTENT = ("messages", "messages[].content", "messages[].role")
-#: Field paths are those of objects; [] stands for the members of a list.
+SYSTEM, HISTORY = ("system", "system"), (EXCHANGES, "history")
+BEFORE = ("system", "history history[]")
+
+
+def _exchange(name: str, asked: str | tuple[str, ...], said: str, paths: tuple[str, ...], optional: tuple[str, ...] = BEFORE) -> Mapping:
+    return Mapping(name, paths, single=(SYSTEM, HISTORY, ("user", asked), ("assistant", said)), optional=optional)
+
+
+#: Field paths are those of objects; [] stands for the members of a list, and at the end for a list itself, {} for an object.
 FLAT = (
-    Mapping("prompt", ("completion", "prompt"), single=(("user", "prompt"), ("assistant", "completion"))),
-    Mapping("answer", ("prompt", "response"), single=(("user", "prompt"), ("assistant", "response"))),
-    Mapping("instruction", ("instruction", "output"), single=(("user", "instruction"), ("assistant", "output"))),
-    Mapping("instruction with input", ("input", "instruction", "output"), single=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Mapping("instruction with system", ("instruction", "output", "system"), single=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    _exchange("prompt", "prompt", "completion", ("completion", "prompt")),
+    _exchange("answer", "prompt", "response", ("prompt", "response")),
+    _exchange("instruction", "instruction", "output", ("instruction", "output"), BEFORE[1:]),
+    _exchange("instruction with input", ("instruction", "input"), "output", ("input", "instruction", "output")),
+    _exchange("instruction with system", "instruction", "output", ("instruction", "output", "system"), BEFORE[1:]),
+    _exchange("question", "question", "answer", ("answer", "question")),
+    _exchange("query", "query", "response", ("query", "response")),
+    _exchange("preferred", "prompt", "chosen", ("chosen", "prompt", "rejected")),
 )
 MAPPINGS = (
     Mapping("turns", ("conversation", "conversation[].role", "conversation[].text"), turns="conversation"),
-    Mapping("messages", CONTENT, turns="messages", text="content", optional=("prompt",)),
-    Mapping("messages of parts", (*CONTENT, "messages[].content[].text"), turns="messages", text="content", parts=True, optional=("prompt",)),
-    Mapping("shared", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=SAME_ROLES, optional=("system",)),
+    Mapping("messages", CONTENT, turns="messages", text="content", single=(SYSTEM,), optional=("prompt", "system")),
+    Mapping("messages of parts", (*CONTENT, "messages[].content[].text"), turns="messages", text="content", parts=True, single=(SYSTEM,), optional=("prompt", "system")),
+    Mapping("shared", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", single=(SYSTEM,), roles=SAME_ROLES, optional=("system",)),
+    Mapping("prompt of messages", (*listed("completion"), *listed("prompt")), single=(SYSTEM, (MESSAGES, "prompt"), (MESSAGES, "completion")), optional=("system",)),
+    Mapping("completion of messages", ("completion", *listed("prompt")), single=(SYSTEM, (MESSAGES, "prompt"), ("assistant", "completion")), optional=("system",)),
+    Mapping("answer to messages", (*listed("prompt"), "response"), single=(SYSTEM, (MESSAGES, "prompt"), ("assistant", "response")), optional=("system",)),
+    Mapping("preferred messages", (*listed("chosen"), *listed("rejected")), single=(SYSTEM, (MESSAGES, "chosen")), optional=("prompt", "system")),
     *FLAT,
     # the same fields, one level further down
-    *(Mapping(f"nested {m.name}", ("data", *(f"data.{p}" for p in m.paths)), single=tuple((r, f"data.{p}") for r, p in m.single)) for m in FLAT),
-)
+    *(
+        Mapping(
+            f"nested {m.name}", ("data", *(f"data.{p}" for p in m.paths)), optional=tuple(" ".join(f"data.{p}" for p in o.split()) for o in m.optional),
+            single=tuple((r, f"data.{p}" if isinstance(p, str) else tuple(f"data.{q}" for q in p)) for r, p in m.single),
+        )
+        for m in FLAT
+    ),
+)
 #: How deep fields are listed; no mapping names deeper ones.
 DEPTH = 4
 
 
+def _single_paths(mappings: tuple[Mapping, ...]) -> list[str]:
+    """The paths whose kind counts: those that are read whole, and those that a mapping wants as a list."""
+    lists = {p[:-2] for m in mappings for p in (*m.paths, *" ".join(m.optional).split()) if p.endswith("[]")}
+    return sorted(lists | {p for m in mappings for p in m.read})
+
+
 def _named(mappings: tuple[Mapping, ...]) -> Column:
-    return F.array(*[F.lit(p) for p in sorted({p for m in mappings for p in (*m.paths, *m.optional)})])
+    named = {p for m in mappings for p in (*m.paths, *" ".join(m.optional).split())}
+    return F.array(*[F.lit(p) for p in sorted(named | {p + kind for p in _single_paths(mappings) for kind in ("[]", "{}")})])
 
 
-def field_paths(record: Column, depth: int = DEPTH) -> Column:
-    """The paths of a JSON text's fields that aren't null, each once: of nested objects, and of all members of lists of objects."""
-    none = F.array().cast("array<string>")
+def field_paths(record: Column, depth: int = DEPTH, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The paths of a JSON text's fields that aren't null, each once: of nested objects, and of all members of lists of objects. Fields that a mapping reads
+    whole have their kind as well: a list has its path with [], an object with {}."""
+    none, whole = F.array().cast("array<string>"), _single_paths(mappings)
+
+    def kind(value: Column, name: Column, path: Column) -> Column:
+        own = F.call_function("try_variant_get", F.call_function("try_parse_json", value), F.concat(F.lit("$['"), name, F.lit("']")), F.lit("variant"))
+        said = F.call_function("schema_of_variant", own)
+        mark = F.when(said.startswith("ARRAY"), F.array(F.concat(path, F.lit("[]")))).when(said.startswith("OBJECT"), F.array(F.concat(path, F.lit("{}")))).otherwise(none)
+        return F.when(path.isin(whole), mark).otherwise(none)
 
     def below(value: Column, prefix: Column, left: int) -> Column:
         """Paths under one JSON value: an object's fields, or those of a list's members."""
@@ -105,7 +163,7 @@ def field_paths(record: Column, depth: int = DEPTH) -> Column:
         def field(name: Column) -> Column:
             inner = F.call_function("get_json_object", value, F.concat(F.lit("$['"), name, F.lit("']")))
             path = F.concat(prefix, name)
-            return F.when(inner.isNull(), none).otherwise(F.concat(F.array(path), of_value(inner, path, left - 1)) if left > 1 else F.array(path))
+            return F.when(inner.isNull(), none).otherwise(F.concat(F.array(path), kind(value, name, path), of_value(inner, path, left - 1)) if left > 1 else F.array(path))
 
         return F.flatten(F.transform(keys, field))
 
@@ -117,12 +175,16 @@ def field_paths(record: Column, depth: int = DEPTH) -> Column:
     return F.array_distinct(below(record, F.lit(""), depth))
 
 
-def struct_paths(record: Column, schema: T.StructType, depth: int = DEPTH) -> Column:
+def struct_paths(record: Column, schema: T.StructType, depth: int = DEPTH, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """The same for a struct."""
-    none = F.array().cast("array<string>")
+    none, whole = F.array().cast("array<string>"), _single_paths(mappings)
+
+    def marked(path: str, kind: T.DataType) -> Column:
+        mark = "[]" if isinstance(kind, T.ArrayType) else "{}" if isinstance(kind, T.StructType) else ""
+        return F.array(F.lit(path), F.lit(path + mark)) if mark and path in whole else F.array(F.lit(path))
 
     def below(value: Column, kind: T.StructType, prefix: str, left: int) -> Column:
-        each = [F.when(value[f.name].isNull(), none).otherwise(F.concat(F.array(F.lit(prefix + f.name)), of_value(value[f.name], f.dataType, prefix + f.name, left - 1))) for f in kind]
+        each = [F.when(value[f.name].isNull(), none).otherwise(F.concat(marked(prefix + f.name, f.dataType), of_value(value[f.name], f.dataType, prefix + f.name, left - 1))) for f in kind]
         return F.concat(none, *each)
 
     def of_value(value: Column, kind: T.DataType, path: str, left: int) -> Column:
@@ -137,10 +199,10 @@ def struct_paths(record: Column, schema: T.StructType, depth: int = DEPTH) -> Co
     return F.array_distinct(below(record, schema, "", depth))
 
 
-def schema_fingerprint(record: Column, schema: T.StructType | None = None, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+def schema_fingerprint(record: Column, schema: T.StructType | None = None, mappings: tuple[Mapping, ...] = MAPPINGS, paths: Column | None = None) -> Column:
     """The hash of the record's paths that mappings name, in order."""
-    paths = struct_paths(record, schema) if schema else field_paths(record)
-    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, _named(mappings))), "\n"))
+    own = paths if paths is not None else struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings)
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(own, _named(mappings))), "\n"))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -185,8 +247,47 @@ def _has(schema: T.StructType, path: str) -> T.DataType | None:
 
 def _mapped(record: Column, m: Mapping, schema: T.StructType | None) -> Column | None:
     """The turns by one mapping; None if a struct's schema can't have them."""
-    if schema and any(_has(schema, p) is None for p in m.paths):
+    if schema and any(_has(schema, p) is None for p in m.paths if p[-2:] not in ("[]", "{}")):
+        return None
+    first = _singles(record, m, schema)
+    if first is None:
         return None
+    if m.turns:
+        listed = _of_list(record, m, schema)
+        return None if listed is None else F.concat(first, listed) if m.single else listed
+    return first
+
+
+def _singles(record: Column, m: Mapping, schema: T.StructType | None) -> Column | None:
+    """The turns of single fields and of lists of messages or exchanges; None if a struct has other kinds there."""
+    none, groups = F.array().cast(TURNS), []
+    for role, paths in m.single:
+        paths = [paths] if isinstance(paths, str) else paths
+        kinds = [_has(schema, p) if schema else T.StringType() for p in paths]
+        if None in kinds:
+            continue  # an optional field that the struct hasn't
+        value = [_at(record, p) if schema else F.call_function("get_json_object", record, F.lit("$." + p)) for p in paths]
+        if role in (MESSAGES, EXCHANGES):
+            of = "array<struct<role:string,content:string>>" if role == MESSAGES else "array<array<string>>"
+            if schema and (not isinstance(kinds[0], T.ArrayType) or (role == MESSAGES) != isinstance(kinds[0].elementType, T.StructType)):
+                if role == MESSAGES:
+                    return None
+                continue
+            items = F.filter(value[0] if schema else F.from_json(value[0], of), lambda t: t.isNotNull())
+            if role == MESSAGES:
+                groups.append(F.transform(items, lambda t: _turn(t["role"], t["content"])))
+            else:
+                groups.append(F.flatten(F.transform(items, lambda e: F.array(_turn(F.lit("user"), F.get(e, F.lit(0))), _turn(F.lit("assistant"), F.get(e, F.lit(1)))))))
+            continue
+        if any(isinstance(k, (T.ArrayType, T.StructType)) for k in kinds):
+            return None
+        texts = [v.cast("string") for v in value]
+        text = texts[0] if len(texts) == 1 else F.array_join(F.filter(F.array(*texts), lambda t: F.coalesce(t, F.lit("")) != ""), "\n\n")
+        groups.append(F.filter(F.array(_turn(F.lit(role), text)), lambda t: (t["role"] != "system") | (t["text"] != "")))
+    return F.concat(none, *[F.coalesce(g, none) for g in groups])
+
+
+def _of_list(record: Column, m: Mapping, schema: T.StructType | None) -> Column | None:
     if m.turns:
         if schema:
             if m.parts:
@@ -196,27 +297,36 @@ def _mapped(record: Column, m: Mapping, schema: T.StructType | None) -> Column |
             return _listed_turns(record[m.turns], m, lambda t: t[m.text])
         kind = f"struct<`{m.turns}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
         return _listed_turns(F.from_json(record, kind)[m.turns], m, lambda t: _texts_of_parts(t[m.text]) if m.parts else t[m.text])
-
-    def single(path: str) -> Column:
-        return _at(record, path).cast("string") if schema else F.call_function("get_json_object", record, F.lit("$." + path))
-
-    return F.filter(F.array(*[_turn(F.lit(r), single(p)) for r, p in m.single]), lambda t: (t["role"] != "system") | (t["text"] != ""))
+    return None
 
 
 def canonical_turns(
-    record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None, fingerprint: Column | None = None
+    record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None, paths: Column | None = None
 ) -> tuple[Column, Column]:
     """(layout, turns) of a record: the mapping's name, and array<struct<role, text>>. With a ``schema`` the record is a struct, else JSON text."""
-    own = schema_fingerprint(record, schema, mappings) if fingerprint is None else fingerprint
+    if paths is None:
+        paths = struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in reversed(mappings):
-        found = _mapped(record, m, schema)
-        if found is not None:
-            layout = F.when(own.isin(*m.fingerprints), F.lit(m.name)).otherwise(layout)
-            turns = F.when(own.isin(*m.fingerprints), found).otherwise(turns)
+    # all names count first; then, for lists of turns beside fields of other layouts, only those that such lists name
+    for kept in (tuple(m for m in mappings if m.turns), mappings):
+        own = schema_fingerprint(record, schema, kept, paths)
+        for m in reversed(kept):
+            found = _mapped(record, m, schema)
+            if found is not None:
+                layout = F.when(own.isin(*m.fingerprints), F.lit(m.name)).otherwise(layout)
+                turns = F.when(own.isin(*m.fingerprints), found).otherwise(turns)
     return layout, turns
 
 
+def unread_fields(paths: Column, layout: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The names of a record's outermost fields that no turn was made of, in order."""
+    used = F.array().cast("array<string>")
+    for m in mappings:
+        used = F.when(layout == m.name, F.array(*[F.lit(f) for f in sorted(m.fields)])).otherwise(used)
+    outer = F.filter(paths, lambda p: ~p.contains(".") & ~p.endswith("[]") & ~p.endswith("{}"))
+    return F.array_sort(F.array_except(outer, used))
+
+
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, record): a table with a row for each turn as records of the layout "turns"."""
     turn = F.struct(
@@ -267,12 +377,13 @@ def loss_text(formatted: Column) -> Column:
 
 
 def format_conversations(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``records`` with ``layout`` and ``formatted`` (null for an unknown layout)."""
-    kind, own = records.schema[record_col].dataType, free_name(records, "fingerprint")
-    schema = kind if isinstance(kind, T.StructType) else None
-    layout, turns = canonical_turns(F.col(record_col), mappings, schema, F.col(own))
-    found = records.withColumn(own, schema_fingerprint(F.col(record_col), schema, mappings))
-    return found.withColumn("layout", layout).withColumn("formatted", format_turns(turns)).drop(own)
+    """``records`` with ``layout``, ``formatted`` (null for an unknown layout) and ``unread``."""
+    kind, own = records.schema[record_col].dataType, free_name(records, "paths")
+    schema, record = kind if isinstance(kind, T.StructType) else None, F.col(record_col)
+    layout, turns = canonical_turns(record, mappings, schema, F.col(own))
+    found = records.withColumn(own, struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings))
+    found = found.withColumn("layout", layout).withColumn("formatted", format_turns(turns))
+    return found.withColumn("unread", unread_fields(F.col(own), F.col("layout"), mappings)).drop(own)
 
 
 def turn_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -150,11 +150,12 @@ def f10b(spark, d):
     return X.bad_names(names, "name")
 
 
-@query("m14_trim_nul", "SELECT doc_id, left(text, 20) AS title FROM documents WHERE left(text, 20) = trim(left(text, 20))")
+@query("m14_trim_nul", "SELECT doc_id, md5(text) AS title FROM documents WHERE text = trim(text, ' ')")
 def m14(spark, d):
-    t = F.substring("text", 1, 20)
-    padded = F.concat(F.lit("\x00 "), F.substring(t, 1, 5), F.lit("\x00"), F.substring(t, 6, 15), F.lit(" \x00\x00"))
-    return table(spark, d, "documents").filter(t == F.trim(t)).select("doc_id", X.trim_nul(padded).alias("title"))
+    """Whole texts with NULs and spaces at both ends and a NUL inside."""
+    t = F.col("text")
+    padded = F.concat(F.lit("\x00 "), F.substring(t, 1, 5), F.lit("\x00"), F.substr(t, F.lit(6), F.length(t)), F.lit(" \x00\x00"))
+    return table(spark, d, "documents").filter(t == F.trim(t)).select("doc_id", F.md5(X.trim_nul(padded).cast("binary")).alias("title"))
 
 
 @query("j6_match_zone", with_sql(MIDI_SQL, ZONE_SQL) + """SELECT m.file_id, m.seq, m.note, m.velocity, coalesce((SELECT arg_min(z.name, z.zone_ord) FROM zone z WHERE z.note = m.note AND m.velocity >= z.vel_min AND m.velocity < CASE WHEN z.vel_max = 127 THEN 128 ELSE z.vel_max END), 'NOT_FOUND') AS zone

@@ -53,11 +53,16 @@ def m2(spark, d):
     )
 
 
-@query("m3_convert_channels", f"SELECT vec_id, {R('least(greatest(embedding[1]::DOUBLE + embedding[3]::DOUBLE * 0.707, -0.3), 0.3)')} AS l, {R('least(greatest(embedding[2]::DOUBLE + embedding[4]::DOUBLE * 0.707, -0.3), 0.3)')} AS r FROM embeddings")
+QUAD = "embedding[4 * k + {}]::DOUBLE"
+
+
+@query("m3_convert_channels", f"SELECT vec_id, CAST(k AS INTEGER) AS k, {R(f'least(greatest({QUAD.format(1)} + {QUAD.format(3)} * 0.707, -0.3), 0.3)')} AS l, {R(f'least(greatest({QUAD.format(2)} + {QUAD.format(4)} * 0.707, -0.3), 0.3)')} AS r FROM (SELECT *, unnest(range(len(embedding) // 4)) AS k FROM embeddings)")
 def m3(spark, d):
-    f = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
-    both = M.convert_channels(f, M.downmix_matrix("quad", "stereo"), 4, 2, clip=0.3)
-    return rounded(table(spark, d, "embeddings").select("vec_id", F.get(both, F.lit(0)).alias("l"), F.get(both, F.lit(1)).alias("r")))
+    """Every vector as samples of four channels."""
+    f = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda k: F.slice(F.col("embedding").cast("array<double>"), 4 * k + 1, F.lit(4)))
+    each = table(spark, d, "embeddings").select("vec_id", F.posexplode(f).alias("k", "f"))
+    both = M.convert_channels(F.col("f"), M.downmix_matrix("quad", "stereo"), 4, 2, clip=0.3)
+    return rounded(each.select("vec_id", "k", F.get(both, F.lit(0)).alias("l"), F.get(both, F.lit(1)).alias("r")))
 
 
 def mix_values() -> str:
@@ -364,12 +369,12 @@ def q8(spark, d):
     return rounded(V.spectral_similarity(a, a.withColumn("p", F.col("p") * F.col("p") + F.col("bin"))))
 
 
-ENERGY = "energy AS (SELECT stream_id, frame_idx, sum(x * x) AS energy FROM (SELECT stream_id, frame_idx, unnest(samples[1:8]) AS x FROM frame) GROUP BY 1, 2)"
+ENERGY = "energy AS (SELECT stream_id, frame_idx, sum(x * x) AS energy FROM (SELECT stream_id, frame_idx, unnest(samples) AS x FROM frame) GROUP BY 1, 2)"
 PEAKS = "peak AS (SELECT * FROM (SELECT *, energy > lag(energy) OVER w AND energy > lead(energy) OVER w AND energy >= 0.1 * max(energy) OVER (PARTITION BY stream_id) AS k FROM energy WINDOW w AS (PARTITION BY stream_id ORDER BY frame_idx)) WHERE k)"
 
 
 def energies(spark, d):
-    total = F.aggregate(F.slice("samples", 1, 8), F.lit(0.0), lambda a, x: a + x * x)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x)
     return frames(spark, d).select("stream_id", "frame_idx", total.alias("energy"))
 
 

@@ -229,11 +229,13 @@ def _tag_bytes(title, author):
     return F.concat(F.lit("494433030000"), seven(3), seven(2), seven(1), seven(0), body)
 
 
-@query("s4_read_tags", "SELECT 'd' || doc_id AS path, '2.3' AS version, trim(left(text, 40), ' ') AS title, source AS author FROM documents WHERE doc_id % 10 <> 3 AND trim(left(text, 40), ' ') <> ''")
+@query("s4_read_tags", "SELECT 'd' || doc_id AS path, '2.3' AS version, md5(trim(text, ' ')) AS title, source AS author FROM documents WHERE doc_id % 10 <> 3 AND trim(text, ' ') <> ''")
 def s4(spark, d):
-    docs = table(spark, d, "documents").filter(F.trim(F.substring("text", 1, 40)) != "")
-    raw = F.unhex(F.when(F.col("doc_id") % 10 == 3, F.lit("49443309000000000000")).otherwise(_tag_bytes(F.substring("text", 1, 40), F.col("source"))))
-    return tags.decode_tags(docs.select(F.concat(F.lit("d"), "doc_id").alias("path"), raw.alias("content"))).select("path", "version", "title", "author")
+    """Whole texts as titles."""
+    docs = table(spark, d, "documents").filter(F.trim("text") != "")
+    raw = F.unhex(F.when(F.col("doc_id") % 10 == 3, F.lit("49443309000000000000")).otherwise(_tag_bytes(F.col("text"), F.col("source"))))
+    found = tags.decode_tags(docs.select(F.concat(F.lit("d"), "doc_id").alias("path"), raw.alias("content")))
+    return found.select("path", "version", F.md5(F.col("title").cast("binary")).alias("title"), "author")
 
 
 @query("x1_with_frame_parser", with_sql(TRACE_SQL) + ", p AS (SELECT device_id, seq, CASE WHEN act = '+' THEN 20 ELSE 6 END AS size FROM trace) SELECT 'log_' || device_id AS path, CAST(sum(size) OVER (PARTITION BY device_id ORDER BY seq) - size AS BIGINT) AS pos, CAST(size AS BIGINT) AS size, CASE WHEN size = 20 THEN 'alloc' ELSE 'free' END AS kind FROM p")

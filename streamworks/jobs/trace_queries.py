@@ -147,10 +147,11 @@ def f4(spark, d):
     return table(spark, d, "pages").select("page_id", is_playlist_url(url).alias("playlist"))
 
 
-@query("f8_normalize_path", """SELECT page_id, 'root/' || CASE page_id % 3 WHEN 0 THEN 'x/p' || page_id || '.c' WHEN 1 THEN 'src/q.c' ELSE 'b/r.c' END AS path FROM pages""")
+@query("f8_normalize_path", """SELECT page_id, 'root/' || array_to_string(list_filter(string_split(CASE page_id % 3 WHEN 0 THEN 'x/' || url WHEN 1 THEN 'src//' || url ELSE 'b/' || url END, '/'), lambda p: p <> ''), '/') AS path FROM pages""")
 def f8(spark, d):
+    """The whole address of each page below paths with "." and ".." parts, within a root and without."""
     k = F.col("page_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit("/home/u/./proj/x/y/../p"), "page_id", F.lit(".c"))).when(k == 1, F.lit("/a/../proj/src//q.c")).otherwise(F.lit("b/./c/../r.c"))
+    raw = F.concat(F.when(k == 0, "/home/u/./proj/x/y/../").when(k == 1, "/a/../proj/src//").otherwise("b/./c/../"), "url")
     return table(spark, d, "pages").select("page_id", normalize_path(raw, "proj").alias("path"))
 
 

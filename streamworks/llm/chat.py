@@ -300,21 +300,33 @@ def _of_list(record: Column, m: Mapping, schema: T.StructType | None) -> Column
     return None
 
 
+def _lists(mappings: tuple[Mapping, ...]) -> tuple[Mapping, ...]:
+    return tuple(m for m in mappings if m.turns)
+
+
+def schema_fingerprints(paths: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[Column, Column]:
+    """By all names that mappings have, and, for lists of turns beside fields of other layouts, by those that such lists have."""
+    return schema_fingerprint(F.lit(None), None, mappings, paths), schema_fingerprint(F.lit(None), None, _lists(mappings), paths)
+
+
 def canonical_turns(
-    record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None, paths: Column | None = None
+    record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, schema: T.StructType | None = None, fingerprints: tuple[Column, Column] | None = None
 ) -> tuple[Column, Column]:
-    """(layout, turns) of a record: the mapping's name, and array<struct<role, text>>. With a ``schema`` the record is a struct, else JSON text."""
-    if paths is None:
-        paths = struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings)
+    """(layout, turns) of a record: the mapping's name, and array<struct<role, text>>. With a ``schema`` the record is a struct, else JSON text.
+
+    ``fingerprints`` are those of ``schema_fingerprints``, best as columns of their own, as each mapping looks at them.
+    """
+    if fingerprints is None:
+        fingerprints = schema_fingerprints(struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings), mappings)
+    whole, lists = fingerprints
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    # all names count first; then, for lists of turns beside fields of other layouts, only those that such lists name
-    for kept in (tuple(m for m in mappings if m.turns), mappings):
-        own = schema_fingerprint(record, schema, kept, paths)
-        for m in reversed(kept):
-            found = _mapped(record, m, schema)
-            if found is not None:
-                layout = F.when(own.isin(*m.fingerprints), F.lit(m.name)).otherwise(layout)
-                turns = F.when(own.isin(*m.fingerprints), found).otherwise(turns)
+    for m in reversed(mappings):
+        found = _mapped(record, m, schema)
+        if found is not None:
+            fits = whole.isin(*m.fingerprints)
+            if m.turns:
+                fits |= lists.isin(*m.fingerprints)
+            layout, turns = F.when(fits, F.lit(m.name)).otherwise(layout), F.when(fits, found).otherwise(turns)
     return layout, turns
 
 
@@ -378,12 +390,14 @@ def loss_text(formatted: Column) -> Column:
 
 def format_conversations(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout``, ``formatted`` (null for an unknown layout) and ``unread``."""
-    kind, own = records.schema[record_col].dataType, free_name(records, "paths")
+    kind, paths = records.schema[record_col].dataType, free_name(records, "paths")
+    whole, lists = free_name(records, "fingerprint"), free_name(records, "fingerprint_of_lists")
     schema, record = kind if isinstance(kind, T.StructType) else None, F.col(record_col)
-    layout, turns = canonical_turns(record, mappings, schema, F.col(own))
-    found = records.withColumn(own, struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings))
+    found = records.withColumn(paths, struct_paths(record, schema, mappings=mappings) if schema else field_paths(record, mappings=mappings))
+    found = found.withColumns(dict(zip((whole, lists), schema_fingerprints(F.col(paths), mappings), strict=True)))
+    layout, turns = canonical_turns(record, mappings, schema, (F.col(whole), F.col(lists)))
     found = found.withColumn("layout", layout).withColumn("formatted", format_turns(turns))
-    return found.withColumn("unread", unread_fields(F.col(own), F.col("layout"), mappings)).drop(own)
+    return found.withColumn("unread", unread_fields(F.col(paths), F.col("layout"), mappings)).drop(paths, whole, lists)
 
 
 def turn_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -136,9 +136,8 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
         # who is where by now; the edges of each round are between the components of the one before
         if not new.isEmpty():
             roots = cut_and_gather(components(new).select(F.col("node").alias("c"), F.col("root").alias("r")))
-            now = lambda df: df.join(roots, "c", "left").withColumn("c", F.coalesce("r", "c")).drop("r")  # noqa: B023, E731
-            place = now(place)
-            rows = None if rows is None else now(rows)
+            now = lambda df: cut_lineage(df.join(roots, "c", "left").withColumn("c", F.coalesce("r", "c")).drop("r"))  # noqa: B023, E731
+            place, rows = (now(place), None) if rows is None else (place, now(rows))  # later rounds look at rows only
             named = cut_lineage(named.join(roots.select(F.col("c").alias("r"), F.col("r").alias("to")), "r", "left").select("c", F.coalesce("to", "r").alias("r")))
         # rows of band values that hold more than one component; once all bands are in, later rounds only look at what is left
         each = place.select("node", "n", "c", F.explode(F.slice("bands", 1, bands)).alias("value")) if rows is None else rows.select("node", "n", "c", "value")

@@ -187,8 +187,8 @@ def sinc_taps(src: int, dst: int, complexity: int = 2) -> list[tuple[int, int, f
 def resample_sinc(df: DataFrame, src: int, dst: int, complexity: int = 2) -> DataFrame:
     """Q15 at high quality: a windowed sinc by phases. Rates are multiples of 4000 or 11025, complexity is 1 to 3.
 
-    Every sample goes to the targets that it is a tap of and meets its weight by (phase, tap) in a table of a row for each; targets add up their taps, before
-    the shuffle as well. Samples beyond a stream's ends are silence; targets lie between its samples.
+    Every sample goes to the targets that it is a tap of and meets its weight by (phase, tap) in a table of a row for each, which is broadcast by hint: its size is unknown
+    to Spark, which would rather send all samples to each task. Targets add up their taps, before the shuffle as well. Samples beyond a stream's ends are silence; targets lie between its samples.
     """
     if any(r % 4000 and r % 11025 for r in (src, dst)):
         raise ValueError("rates are multiples of 4000 or 11025")
@@ -199,7 +199,7 @@ def resample_sinc(df: DataFrame, src: int, dst: int, complexity: int = 2) -> Dat
     targets = F.sequence(F.greatest(first(F.col("n") - reach), F.lit(0).cast("long")), first(F.col("n") + reach) - 1)
     met = df.select(*BY_CHANNEL, "n", "x", F.explode(targets).alias("m"))
     met = met.withColumns({"_phase": F.col("m") * down % up, "_k": F.col("n") - F.floor(F.col("m") * down / F.lit(up)).cast("long")})
-    summed = met.join(table, ["_phase", "_k"]).groupBy(*BY_CHANNEL, "m").agg(F.sum(F.col("x") * F.col("_w")).alias("x"), F.max(F.col("_k") == 0).alias("_inside"))
+    summed = met.join(F.broadcast(table), ["_phase", "_k"]).groupBy(*BY_CHANNEL, "m").agg(F.sum(F.col("x") * F.col("_w")).alias("x"), F.max(F.col("_k") == 0).alias("_inside"))
     return summed.filter("_inside").select(*BY_CHANNEL, F.col("m").alias("n"), "x")
 
 

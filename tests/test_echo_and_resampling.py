@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streamworks.operators import signals as G
 
@@ -82,3 +83,10 @@ def test_resampling_edges(spark):
     assert len(line(G.resample_sinc(table(spark, [1.0]), 8000, 16_000))) == 2
     flat = line(G.resample_sinc(table(spark, [1.0] * 200), 8000, 12_000))
     assert np.abs(flat[60:-60] - 1).max() < 1e-12
+
+
+def test_the_taps_are_sent_to_the_samples(spark):
+    """Samples of a known, small size: Spark would send them, each as often as it has targets, to the table of taps."""
+    x = spark.range(1000).select(F.lit("s").alias("stream_id"), F.lit(0).alias("ch"), F.col("id").alias("n"), F.col("id").cast("double").alias("x"))
+    plan = G.resample_sinc(x, 12_000, 8000, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan

@@ -90,6 +90,14 @@ def downmix_weights() -> list[tuple[str, str, int, int, float]]:
     ]
 
 
+def downmix_rows() -> list[tuple[str, str, int, list[float | None]]]:
+    """The same by output channel: (layout_in, layout_out, out_ch, weights), null where a channel has no weight."""
+    rows: dict[tuple[str, str, int], list[float | None]] = {}
+    for a, b, c, d, w in downmix_weights():
+        rows.setdefault((a, b, d), [None] * len(LAYOUTS[a]))[c] = w
+    return [(*k, w) for k, w in rows.items()]
+
+
 def interleave(channels: Column) -> Column:
     """M5: array of equally long channels to one array L1, R1, L2, R2, ..."""
     n = F.size(F.get(channels, F.lit(0)))

@@ -74,13 +74,13 @@ sample AS (SELECT vec_id, label, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM e
 cut AS (SELECT label, layout_in, i % n_in AS ch, x FROM sample, layout WHERE i // n_in < 64 // n_in)
 SELECT label, layout_in, layout_out, CAST(out_ch AS INTEGER) AS out_ch, {R('sum(weight * x)')} AS total FROM cut JOIN mix USING (layout_in, ch) GROUP BY 1, 2, 3, 4""")
 def m4(spark, d):
-    layouts = spark.createDataFrame([(k, len(v)) for k, v in M.LAYOUTS.items()], "layout_in string, n_in int")
-    weights = spark.createDataFrame(M.downmix_weights(), "layout_in string, layout_out string, ch int, out_ch int, weight double")
-    sample = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    frame = F.floor(F.col("i") / F.col("n_in"))
-    cut = sample.join(F.broadcast(layouts), frame < F.floor(64 / F.col("n_in"))).select(F.col("vec_id").alias("stream_id"), "label", "layout_in", (F.col("i") % F.col("n_in")).alias("ch"), frame.alias("n"), "x")
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("stream_id"), "label")
-    mixed = G.convert_layout(cut.drop("label"), weights).join(labels, "stream_id")
+    weights = spark.createDataFrame(M.downmix_rows(), "layout_in string, layout_out string, out_ch int, weights array<double>")
+    # a small file becomes some thousand rows for each vector, so vectors are dealt to all tasks first
+    e, vectors = F.col("embedding").cast("array<double>"), table(spark, d, "embeddings").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    cut = lambda n: F.transform(F.sequence(F.lit(0), F.lit(64 // n - 1)), lambda i: F.slice(e, i * n + 1, F.lit(n)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("layout_in"), cut(len(v)).alias("frames")) for k, v in M.LAYOUTS.items()]))
+    frames = vectors.select("label", each.alias("l")).select("label", "l.layout_in", F.explode("l.frames").alias("frame"))
+    mixed = G.convert_frames(frames, weights)
     return rounded(mixed.groupBy("label", "layout_in", "layout_out", F.col("ch").cast("int").alias("out_ch")).agg(F.sum("x").alias("total")))
 
 

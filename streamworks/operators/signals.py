@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +65,19 @@ def mix_streams(df: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def convert_layout(df: DataFrame, layouts: DataFrame) -> DataFrame:
-    """M3 and M4 on samples: (stream_id, layout_in, ch, n, x) through a table of weights (layout_in, layout_out, ch, out_ch, weight), which Spark broadcasts."""
-    mixed = df.join(layouts, ["layout_in", "ch"]).groupBy("stream_id", "layout_in", "layout_out", F.col("out_ch").alias("ch"), "n")
+    """M3 and M4 on samples: (stream_id, layout_in, ch, n, x) through a table of weights (layout_in, layout_out, ch, out_ch, weight), which is broadcast."""
+    mixed = df.join(F.broadcast(layouts), ["layout_in", "ch"]).groupBy("stream_id", "layout_in", "layout_out", F.col("out_ch").alias("ch"), "n")
     return mixed.agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
 
 
+def convert_frames(df: DataFrame, layouts: DataFrame, channels: int = 8) -> DataFrame:
+    """``convert_layout`` on whole frames, which needs no shuffle: ``frame`` is an array of up to ``channels`` samples. A row for each output channel, with ``layout_out``,
+    ``ch`` and ``x`` instead of the frame and all other columns as they were; ``layouts`` (layout_in, layout_out, out_ch, weights) is broadcast. Null weights and samples count as silence."""
+    terms = [F.get("frame", F.lit(i)) * F.get("weights", F.lit(i)) for i in range(channels)]
+    x = F.when(F.coalesce(*terms).isNotNull(), reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in terms]))
+    return df.join(F.broadcast(layouts), "layout_in").select(*[c for c in df.columns if c != "frame"], "layout_out", F.col("out_ch").alias("ch"), x.alias("x"))
+
+
 def _ramp(t: Column, curve: str) -> Column:
     return {"line": t, "quad": t * t, "sqrt": F.sqrt(t)}[curve]
 

@@ -254,6 +254,20 @@ def test_gain_ramp_is_interrupted(spark):
     assert got == [0.0] * 4 + [1.0] * 4 + [2.0] * 4 + [1.0] * 4 + [0.0] * 4 + [-1.0] * 4
 
 
+def test_whole_frames_are_mixed_as_their_samples(spark):
+    """Null samples and those without a weight don't count, whatever they are; no shuffle is needed."""
+    x, nan = {"stereo": [1.0, None], "quad": [1.0, 2.0, None, 4.0], "5.1": [float("nan"), 1.0, 2.0, 3.0, 4.0, 5.0], "7.1": [0.5 * i for i in range(8)]}, float("nan")
+    frames = spark.createDataFrame([(k, v) for k, v in x.items()], "layout_in string, frame array<double>")
+    samples = frames.select(F.lit("s").alias("stream_id"), "layout_in", F.posexplode("frame").alias("ch", "x"), F.lit(0).alias("n"))
+    weights = spark.createDataFrame(M.downmix_weights(), "layout_in string, layout_out string, ch int, out_ch int, weight double")
+    mixed = G.convert_frames(frames, spark.createDataFrame(M.downmix_rows(), "layout_in string, layout_out string, out_ch int, weights array<double>"))
+    told = lambda df: sorted((r.layout_in, r.layout_out, r.ch, str(None if r.x is None else round(r.x, 9))) for r in df.collect())
+    by_samples = G.convert_layout(samples, weights)
+    assert told(mixed) == told(by_samples) and any(r[3] == str(nan) for r in told(mixed))
+    assert "Exchange hash" not in mixed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in by_samples._jdf.queryExecution().executedPlan().toString()
+
+
 def test_downmix_tables():
     from streamworks.functions import signal as M
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .operators.windows import carry
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,12 +87,11 @@ PACKET_SQL = """packet AS (
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen streams of two channels; n counts events of the stream and channel."""
+    """Sixteen streams of two channels; n counts events of the stream and channel, over buckets (``carry``), as these keys are few whatever the table's size."""
     e = table(spark, sf_dir, "events")
-    own = Window.partitionBy("stream_id", "ch").orderBy("event_id")
     e = e.select(F.concat(F.lit("s"), F.col("user_id") % 16).alias("stream_id"), (F.col("user_id") / 16).cast("int").alias("c"), "event_id", "value")
-    e = e.withColumn("ch", (F.col("c") % 2).cast("int"))
-    return e.select("stream_id", "ch", (F.row_number().over(own) - 1).cast("long").alias("n"), ((F.col("value") - 20) / 500).alias("x"))
+    e = e.select("stream_id", (F.col("c") % 2).cast("int").alias("ch"), "event_id", ((F.col("value") - 20) / 500).alias("x"))
+    return carry(e, ["stream_id", "ch"], "event_id", {"n": ("count", F.lit(1))}).select("stream_id", "ch", (F.col("n") - 1).alias("n"), "x")
 
 
 SAMPLE_SQL = """sample AS (

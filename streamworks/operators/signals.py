@@ -280,9 +280,18 @@ def compress(df: DataFrame, points: list[tuple[float, float]], attack: int, rele
     return ordered_scan(df, list(BY_CHANNEL), "n", "x double", lambda: {"gain": 0.0, "held": 0}, step).select(*df.columns)
 
 
+#: Copies of a row that are made from one array.
+REPEATS = 1 << 12
+
+
 def same_output(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that only one of two results has, with their side."""
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+    """Rows that one of two results has more often than the other, as often as that, with their side. Both are counted in one pass."""
+    both = a.withColumn("_more", F.lit(1)).unionByName(b.withColumn("_more", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_more").alias("_more")).filter("_more <> 0")
+    # repeated in two steps, so that no array holds more than so many places
+    left = left.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.abs("_more") - 1) / REPEATS))))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS).cast("long"), F.abs("_more") - F.col("_part") * REPEATS)))
+    return left.withColumn("_each", each).select(*a.columns, F.when(F.col("_more") > 0, "a").otherwise("b").alias("side"))
 
 
 def bands(frames: DataFrame, power: str, edges: tuple[float, float, float], rate: int, size: int, bypass: tuple[bool, ...] = (False,) * 4) -> DataFrame:

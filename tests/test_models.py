@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from streamworks import adapters
 from streamworks.functions import signal as M
 from streamworks.functions.text import is_playlist_url, normalize_path, parse_sample_name, trim_nul
 from streamworks.operators import midi as N
@@ -254,6 +255,27 @@ def test_gain_ramp_is_interrupted(spark):
     assert got == [0.0] * 4 + [1.0] * 4 + [2.0] * 4 + [1.0] * 4 + [0.0] * 4 + [-1.0] * 4
 
 
+def test_same_output_counts_rows(spark):
+    """Rows as often as one side has more of them, nulls as values, many copies of one row."""
+    a = spark.createDataFrame([("x", 1.0)] * 3 + [("y", None)] + [("z", 2.0)] * 9000, "k string, v double")
+    b = spark.createDataFrame([(1.0, "x"), (None, "y"), (5.0, None), (2.0, "z")], "v double, k string")
+    got = [tuple(r) for r in G.same_output(a, b).collect()]
+    assert sorted(got, key=repr) == sorted([("x", 1.0, "a")] * 2 + [("z", 2.0, "a")] * 8999 + [(None, 5.0, "b")], key=repr)
+
+
+def test_samples_are_numbered_over_buckets(spark, tmp_path):
+    """One stream's rows are not one window: no task gets more than a share of them."""
+    spark.range(200_000).selectExpr("id AS event_id", "0L AS user_id", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = adapters.samples(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+        assert max(sizes) < 200_000 and sum(sizes) == 200_000
+        assert got.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()[:] == (0, 199_999, 200_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_whole_frames_are_mixed_as_their_samples(spark):
     """Null samples and those without a weight don't count, whatever they are; no shuffle is needed."""
     x, nan = {"stereo": [1.0, None], "quad": [1.0, 2.0, None, 4.0], "5.1": [float("nan"), 1.0, 2.0, 3.0, 4.0, 5.0], "7.1": [0.5 * i for i in range(8)]}, float("nan")

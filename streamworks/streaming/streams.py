@@ -142,26 +142,36 @@ def state_durations(df: DataFrame) -> DataFrame:
     return df.withColumn("s", seconds).groupBy("device_id", "event").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("seconds"), F.count("*").alias("entered"))
 
 
-def stream_state_durations(df: DataFrame) -> DataFrame:
+#: Groups that devices are dealt to, each with one state.
+DEVICE_GROUPS = 256
+
+
+def stream_state_durations(df: DataFrame, groups: int = DEVICE_GROUPS) -> DataFrame:
     """R6 on a stream: (device_id, event, entered, seconds) as they become known; the sums by device and event are those of ``state_durations``.
 
-    State is a device's last event and its time. Events of one batch are taken in order of (ts, seq).
+    State is a device's last event and its time. Devices are dealt to ``groups`` by a hash and a group's state holds those of its devices, so that a batch
+    costs a call for each group and not for each device. Events of one batch are taken in order of (ts, seq). ``groups`` stays the same for as long as a checkpoint is used.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = tuple(state.get) if state.exists else None
+        last = {device: (event, micros) for device, event, micros in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
-        out = []
-        for event, micros in zip(rows["event"].tolist(), (rows["ts"].astype("int64") // 1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), strict=True):
-            if last:
-                out.append((key[0], last[0], 0, (micros - last[1]) / 1e6))
-            out.append((key[0], event, 1, 0.0))
-            last = (event, micros)
-        state.update(last)
-        yield pd.DataFrame(out, columns=["device_id", "event", "entered", "seconds"])
-
-    return df.groupBy("device_id").applyInPandasWithState(
-        run, "device_id long, event string, entered long, seconds double", "event string, micros long", "append", GroupStateTimeout.NoTimeout
+        devices, events, entered, seconds = [], [], [], []
+        for device, event, micros in zip(rows["device_id"].tolist(), rows["event"].tolist(), rows["ts"].astype("datetime64[us]").astype("int64").tolist(), strict=True):
+            before = last.get(device)
+            if before:
+                devices.append(device), events.append(before[0]), entered.append(0), seconds.append((micros - before[1]) / 1e6)
+            devices.append(device), events.append(event), entered.append(1), seconds.append(0.0)
+            last[device] = (event, micros)
+        state.update((list(last), [event for event, _ in last.values()], [micros for _, micros in last.values()]))
+        told = pd.array([None] * len(devices) if key[0] < 0 else devices, dtype="Int64")
+        yield pd.DataFrame({"device_id": told, "event": events, "entered": entered, "seconds": seconds})
+
+    # null is a device of its own group
+    group = F.when(F.col("device_id").isNull(), -1).otherwise(F.pmod(F.hash("device_id"), F.lit(groups)))
+    dealt = df.select(F.coalesce("device_id", F.lit(0)).alias("device_id"), "event", "ts", "seq", group.alias("group"))
+    return dealt.groupBy("group").applyInPandasWithState(
+        run, "device_id long, event string, entered long, seconds double", "device_id array<bigint>, event array<string>, micros array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -5,6 +5,7 @@ import tempfile
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from streamworks.streaming import streams as R
 
@@ -80,3 +81,19 @@ def test_approximate_form_passes_old_packets_and_repeats_after_the_delay(own):
     stream, place = batches(own, parts)
     got = R.run_available(R.stream_admit_approx(stream, "10 seconds"), place).collect()
     assert sorted(r.seq for r in got) == [5, 1000, 1000, 1001, 1002]  # exact: 5 is too old, the last 1000 a repeat
+
+
+def test_durations_of_many_devices_over_batches(spark):
+    """Devices of a group don't mix, states go on from batch to batch, and a batch costs no call for each device."""
+    rows = [(i % 300 if i % 7 else None if i % 11 == 0 else 7, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 3 // 2, microseconds=i), i, "abc"[i % 3]) for i in range(2000)]
+    place = tempfile.mkdtemp(prefix="spark-durations-")
+    df = spark.createDataFrame(rows, "device_id long, ts timestamp, seq long, event string")
+    for part in range(4):
+        df.filter(f"seq div 500 = {part}").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    told = R.run_available(R.stream_state_durations(feed, 16), f"{place}/run").groupBy("device_id", "event").agg(F.sum("seconds").alias("seconds"), F.sum("entered").alias("entered"))
+    show = lambda found: sorted((str(r.device_id), r.event, round(r.seconds, 6), r.entered) for r in found.collect())
+    assert show(told) == show(R.state_durations(df))
+    query = R.stream_state_durations(feed, 16).writeStream.format("noop").option("checkpointLocation", f"{place}/count").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= 17

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .operators.windows import carry
+from .operators.windows import carry, dealt, parts_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,7 @@ FRAME_SQL = """frame AS (
 def media_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each order and part (line numbers repeat within an order), audio and video by return flag."""
     line = table(spark, sf_dir, "lineitem")
+    line = dealt(line, parts_for(line), "l_orderkey")
     key = F.col("l_orderkey")
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
     kept = line.select("*", (n - 1).cast("long").alias("i"))

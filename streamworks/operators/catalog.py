@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import as_of, carry
+from .windows import as_of, carry, parts_for
 
 STREAM_BITS = {"audio": 1, "video": 2}
 
@@ -68,13 +68,13 @@ def resume_points(df: DataFrame) -> DataFrame:
 
 def slice_index(df: DataFrame, slice_ms: int, at_key: bool = False) -> DataFrame:
     """Slice number by pts since the file's first; ``at_key``: a slice begins at its first key frame, frames before stay in the slice before **[choice]**."""
-    first = carry(df, ["file_id"], ["pts", "frame_idx"], {"_first": ("min", F.col("pts"))})
-    cut = first.withColumn("slice_idx", F.floor((F.col("pts") - F.col("_first")) / slice_ms)).drop("_first")
-    if not at_key:
-        return cut
+    adds = {"_first": ("min", F.col("pts"))}
+    if at_key:
+        adds["_begun"] = ("last", F.when(F.col("key_frame"), F.col("pts")))
+    cut = carry(df, ["file_id"], ["pts", "frame_idx"], adds, parts=parts_for(df))
     # slices rise with pts, so the greatest one begun is that of the last key frame
-    begun = carry(cut, ["file_id"], ["pts", "frame_idx"], {"_begun": ("last", F.when(F.col("key_frame"), F.col("slice_idx")))})
-    return begun.withColumn("slice_idx", F.coalesce("_begun", F.lit(0)).cast("long")).drop("_begun")
+    slice_idx = F.floor((F.col("_begun" if at_key else "pts") - F.col("_first")) / slice_ms)
+    return cut.withColumn("slice_idx", F.coalesce(slice_idx, F.lit(0)).cast("long") if at_key else slice_idx).drop(*adds)
 
 
 def mux_order(df: DataFrame) -> DataFrame:

@@ -38,13 +38,29 @@ def running_balance(df: DataFrame, keys: list[str], order: str, delta: str, buck
     return joined.withColumn("balance", balance).withColumn("peak", peak).select(*[c for c in df.columns if c != "_bucket"], "balance", "peak")
 
 
-def carry(df: DataFrame, keys: list[str], order: str | list[str], adds: dict[str, tuple[str, Column]], bucket: int = BUCKET) -> DataFrame:
+#: Rows that a task should sort, where they are counted first.
+TASK_ROWS = 1 << 18
+
+
+def parts_for(*dfs: DataFrame) -> int | None:
+    """How many partitions the rows of large tables need, so that a task's memory doesn't grow with them; None if the session's number will do."""
+    conf = dfs[0].sparkSession.conf
+    needed = -(-sum(df.count() for df in dfs) // TASK_ROWS)
+    return needed if needed > int(conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Repartitioned by the keys, if ``parts`` is given (``parts_for``)."""
+    return df.repartition(parts, *keys) if parts else df
+
+
+def carry(df: DataFrame, keys: list[str], order: str | list[str], adds: dict[str, tuple[str, Column]], bucket: int = BUCKET, parts: int | None = None) -> DataFrame:
     """Adds running values in order of ``order`` within the keys, for keys of any number of rows. ``adds``: name -> (kind, column).
 
     Kinds: "sum" and "count" (up to the row), "max_before" (of the rows before), "last" and "last_before" (the last that isn't null, up to the row or before it),
     "first" (of the key's first row), "min" (of all rows of the key). Rows without an order come first. Rows are windowed within buckets of so many steps of the first order column, a number; what a bucket
     hands on (a total, a maximum, a last value) is aggregated from the rows before they are shuffled, carried over the key's buckets and joined back, so no
-    task holds more than a bucket of a key, or one row for each of its buckets. Null keys are a key.
+    task holds more than a bucket of a key, or one row for each of its buckets. Null keys are a key. ``parts``: how many partitions rows are dealt to, if not the session's number.
     """
     order = [order] if isinstance(order, str) else order
     rows = df.withColumns({"_key": F.struct(*keys), "_bucket": F.coalesce(F.floor(F.col(order[0]) / bucket), F.lit(-(1 << 62))), **{f"_in_{n}": c for n, (_, c) in adds.items()}})
@@ -62,21 +78,26 @@ def carry(df: DataFrame, keys: list[str], order: str | list[str], adds: dict[str
             "max_before": (F.max(c).over(before), F.max(c), F.max, F.greatest(start, own)),
             "last": (F.last(c, ignorenulls=True).over(upto), last, lambda x: F.last(x, ignorenulls=True), F.coalesce(own, start)),
             "last_before": (F.last(c, ignorenulls=True).over(before), last, lambda x: F.last(x, ignorenulls=True), F.coalesce(own, start)),
-            "min": (F.lit(None), F.min(c), F.min, start),
+            "min": (F.min(c).over(Window.partitionBy("_key", "_bucket")), F.min(c), F.min, F.least(start, own)),
             "first": (F.first(F.struct(c.alias("v"))).over(upto), F.min_by(F.struct(c.alias("v")), at), F.first, F.coalesce(start, own)["v"]),
         }[kind]
         totals.append(total.alias(f"_start_{name}"))
         starts[f"_start_{name}"] = carried(F.col(f"_start_{name}")).over(Window.partitionBy("_key") if kind == "min" else earlier)
-    told = rows.groupBy("_key", "_bucket").agg(*totals).withColumns(starts)
-    return rows.withColumns(inside).join(told, ["_key", "_bucket"]).withColumns(out).select(*[c for c in df.columns if c not in adds], *adds)
+    told = dealt(dealt(rows, parts, "_key", "_bucket").groupBy("_key", "_bucket").agg(*totals), parts, "_key")
+    told = told.withColumns({**starts, "_first": F.min("_bucket").over(Window.partitionBy("_key")), "_last": F.max("_bucket").over(Window.partitionBy("_key"))})
+    told = told.filter("_first < _last").drop("_first", "_last")
+    # keys that have one bucket only, mostly all of them, take nothing over; rows go without a second copy of their keys
+    kept = {c: F.col("_key")[c] if c in keys else F.col(c) for c in df.columns if c not in adds}
+    found = dealt(rows.drop(*keys), parts, "_key", "_bucket").withColumns(inside).join(told, ["_key", "_bucket"], "left").withColumns(out)
+    return found.select(*[c.alias(name) for name, c in kept.items()], *adds)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, take: list[str], bucket: int = BUCKET) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, take: list[str], bucket: int = BUCKET, parts: int | None = None) -> DataFrame:
     """For each left row the last right row of its keys at or before it (nulls without one), by one sort and no join of the two sides (``carry``)."""
     state = F.struct(F.lit(True).alias("hit"), *take)
     both = left.withColumn("_side", F.lit(1)).withColumn("_state", F.lit(None).cast("struct<hit:boolean," + ",".join(f"{c}:{right.schema[c].dataType.simpleString()}" for c in take) + ">"))
     other = right.select(*keys, order, F.lit(0).alias("_side"), state.alias("_state"))
-    found = carry(both.unionByName(other, allowMissingColumns=True), keys, [order, "_side"], {"_found": ("last", F.col("_state"))}, bucket).filter("_side = 1")
+    found = carry(both.unionByName(other, allowMissingColumns=True), keys, [order, "_side"], {"_found": ("last", F.col("_state"))}, bucket, parts).filter("_side = 1")
     return found.select(*left.columns, *[F.col(f"_found.{c}").alias(f"found_{c}") for c in take])
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from streamworks.operators import catalog as C
 from streamworks.operators import windows as W
 
 SCHEMA = "k string, c int, n long, tie int, v double, s string"
@@ -68,3 +69,21 @@ def test_a_hot_key_spreads_over_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) == 4 and sizes[-1] < 2 * sizes[len(sizes) // 2] and sum(sizes) == 40_000
     assert got.filter("k = 'hot'").agg(F.max("place")).first()[0] == 32_000
+
+
+def test_large_tables_get_more_partitions(spark, monkeypatch):
+    """Slices deal rows by their count: no task gets more than a few times TASK_ROWS, with the same results."""
+    frames = spark.range(40_000).selectExpr(
+        "concat('f', id % 5000) AS file_id", "id div 5000 AS frame_idx", "id div 5000 * 400 + id % 40 AS pts", "id % 3 = 0 AS key_frame", "id AS pos")
+    made = lambda: (C.slice_index(frames, 1000, at_key=True),)
+    usual = [sorted(map(tuple, df.collect()), key=repr) for df in made()]
+    monkeypatch.setattr(W, "TASK_ROWS", 1000)
+    for df, want in zip(made(), usual, strict=True):
+        assert sorted(map(tuple, df.collect()), key=repr) == want
+        spread = df.withColumn("part", F.spark_partition_id())
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            sizes = [r["count"] for r in spread.groupBy("part").count().collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert max(sizes) < 3000

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import as_of, carry, parts_for
+from .windows import as_of, carry, dealt, parts_for
 
 STREAM_BITS = {"audio": 1, "video": 2}
 
@@ -30,8 +30,9 @@ def enable_first_stream(df: DataFrame, overrides: DataFrame | None = None) -> Da
 def seek_as_of(targets: DataFrame, frames: DataFrame, accurate: bool = True) -> DataFrame:
     """For each (file_id, pts) the last frame at or before it; not accurate: the last key frame **[choice]**. No frame: nulls."""
     kept = frames if accurate else frames.filter("key_frame")
-    one = kept.groupBy("file_id", "pts").agg(F.max(F.struct("frame_idx", "pos")).alias("f")).select("file_id", "pts", F.col("f.frame_idx").alias("frame_idx"), F.col("f.pos").alias("pos"), F.col("pts").alias("at"))
-    return as_of(targets, one, ["file_id"], "pts", ["frame_idx", "pos", "at"])
+    parts = parts_for(targets, frames)
+    one = dealt(kept, parts, "file_id", "pts").groupBy("file_id", "pts").agg(F.max(F.struct("frame_idx", "pos")).alias("f")).select("file_id", "pts", F.col("f.frame_idx").alias("frame_idx"), F.col("f.pos").alias("pos"), F.col("pts").alias("at"))
+    return as_of(targets, one, ["file_id"], "pts", ["frame_idx", "pos", "at"], parts=parts)
 
 
 def pick_variant(df: DataFrame, prefer: int) -> DataFrame:

@@ -72,10 +72,11 @@ def test_a_hot_key_spreads_over_tasks(spark):
 
 
 def test_large_tables_get_more_partitions(spark, monkeypatch):
-    """Slices deal rows by their count: no task gets more than a few times TASK_ROWS, with the same results."""
+    """Slices and seeking deal rows by their count: no task gets more than a few times TASK_ROWS, with the same results."""
     frames = spark.range(40_000).selectExpr(
         "concat('f', id % 5000) AS file_id", "id div 5000 AS frame_idx", "id div 5000 * 400 + id % 40 AS pts", "id % 3 = 0 AS key_frame", "id AS pos")
-    made = lambda: (C.slice_index(frames, 1000, at_key=True),)
+    targets = spark.range(5000).selectExpr("concat('f', id) AS file_id", "id % 3000 AS pts")
+    made = lambda: (C.slice_index(frames, 1000, at_key=True), C.seek_as_of(targets, frames))
     usual = [sorted(map(tuple, df.collect()), key=repr) for df in made()]
     monkeypatch.setattr(W, "TASK_ROWS", 1000)
     for df, want in zip(made(), usual, strict=True):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_and_gather(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``cut_lineage``, read back in one task for so many rows: what follows a small result then shuffles few files, and a large one stays spread."""
-    kept = cut_lineage(df)
-    return kept.coalesce(max(1, -(-kept.count() // rows)))
+#: Rows that one task reads back at most of a small result.
+GATHERED = 100_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, which are observed as they are written: no job of its own counts them."""
+    seen = Observation()
+    return cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]
+
+
+def gathered(df: DataFrame, rows: int = GATHERED) -> tuple[DataFrame, int]:
+    """``counted``, read back in one task for so many rows."""
+    kept, n = counted(df)
+    return kept.coalesce(max(1, -(-n // rows))), n
+
+
+def cut_and_gather(df: DataFrame, rows: int = GATHERED) -> DataFrame:
+    """``gathered``: what follows a small result then shuffles few files, and a large one stays spread."""
+    return gathered(df, rows)[0]
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """A gathered result of ``n`` rows as the side of a join: broadcast if it is one task's, so that the other side isn't shuffled."""
+    return F.broadcast(df) if n <= GATHERED else df
 
 
 def tree_sum(parts: DataFrame, partitions: int | None = None, fan_in: int = 16) -> np.ndarray | None:

@@ -14,6 +14,7 @@ their own, don't meet at all, and no near pair is lost. Sets are made only for t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_and_gather, cut_lineage, slices
+from .common import cut_and_gather, cut_lineage, gathered, slices, small
 from .simhash import LOWER, SEED, WORD, components
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
@@ -31,8 +32,6 @@ WORDS, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
 ROUNDS = ((4, 0), (BANDS, 1), (BANDS, 2))
 #: Members of a band value, still apart after the rounds, that are compared pair by pair at most; more meet by rare shingles.
 CROWD = 32
-#: Texts in pairs that are broadcast at most, about 50 bytes each (node and key).
-BROADCAST_ROWS = 100_000
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -115,53 +114,55 @@ def merged(docs: DataFrame, found: DataFrame, key: str, text_col: str = "text",
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, hashes) of some nodes."""
-        wanted = cut_and_gather(nodes.distinct().join(node.select("node", "key"), "node"))
         # counted, so that the texts are not shuffled for few pairs; more than the bound are joined by a shuffle
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-        texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "key").select("node", "text")
+        wanted, n = gathered(node.select("node", "key").join(nodes, "node"))
+        texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(wanted, n), "key").select("node", "text")
         return cut_lineage(_sets(texts).dropDuplicates(["node"]))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """(a, b): the components of the pairs (p, q, a, b) of nodes whose sets are near."""
+    def checked(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """(a, b): the components of the pairs (p, q, a, b) of nodes whose sets are near, and their number."""
         pairs = cut_and_gather(pairs.distinct())
-        sets = sets_of(pairs.select(F.col("p").alias("node")).union(pairs.select("q")))
-        both = pairs.join(sets.select(F.col("node").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select(F.col("node").alias("q"), F.col("hashes").alias("hq")), "q")
+        few = F.broadcast if pairs.rdd.getNumPartitions() == 1 else lambda df: df
+        sets = sets_of(few(pairs.select(F.explode(F.array("p", "q")).alias("node")).distinct()))
+        both = sets.select(F.col("node").alias("p"), F.col("hashes").alias("hp")).join(few(pairs), "p").join(sets.select(F.col("node").alias("q"), F.col("hashes").alias("hq")), "q")
         shared = F.size(F.array_intersect("hp", "hq"))
-        return cut_and_gather(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
+        return gathered(both.filter(shared >= least * (F.size("hp") + F.size("hq") - shared) - 1e-9).select("a", "b").distinct())
 
-    new, named = cut_lineage(edges), numbers.select("c", F.col("c").alias("r"))
-    place, rows = node.select("node", "n", "c", "bands"), None
+    new, n = gathered(edges)
+    place, rows, joined = node.select("node", "n", "c", "bands"), None, []
     for bands, salt in (*ROUNDS, (BANDS, None)):
         # who is where by now; the edges of each round are between the components of the one before
-        if not new.isEmpty():
-            roots = cut_and_gather(components(new).select(F.col("node").alias("c"), F.col("root").alias("r")))
+        if n:
+            joined.append(new)
+            roots = small(components(new, n=n).select(F.col("node").alias("c"), F.col("root").alias("r")), n)
             now = lambda df: cut_lineage(df.join(roots, "c", "left").withColumn("c", F.coalesce("r", "c")).drop("r"))  # noqa: B023, E731
             place, rows = (now(place), None) if rows is None else (place, now(rows))  # later rounds look at rows only
-            named = cut_lineage(named.join(roots.select(F.col("c").alias("r"), F.col("r").alias("to")), "r", "left").select("c", F.coalesce("to", "r").alias("r")))
         # rows of band values that hold more than one component; once all bands are in, later rounds only look at what is left
         each = place.select("node", "n", "c", F.explode(F.slice("bands", 1, bands)).alias("value")) if rows is None else rows.select("node", "n", "c", "value")
-        mixed = each.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("value")
-        found_rows = cut_and_gather(each.join(cut_and_gather(mixed), "value"))
+        # x: the member that the others are compared with
+        met = each.groupBy("value").agg(
+            F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt or 0))).alias("x")
+        )
+        met, values = gathered(met.filter("low != high").select("value", "members", "x"))
         if bands == BANDS:
-            rows = found_rows
-            if rows.isEmpty():
+            if not values:
+                n = 0
                 break
+            rows = each = cut_and_gather(each.join(small(met.select("value"), values), "value"))
+        each = each.join(small(met, values), "value")
         if salt is None:
-            sizes = cut_and_gather(rows.groupBy("value").agg(F.count("*").alias("members")))
-            few = rows.join(sizes.filter(F.col("members") <= CROWD), "value")
-            pairs = met_by(few, "value", fits)
-            crowded = cut_and_gather(rows.join(sizes.filter(F.col("members") > CROWD), "value").select("node", "n", "c").distinct())
-            if not crowded.isEmpty():
-                pairs = pairs.union(met_by(rare_shingles(sets_of(crowded.select("node")), least).join(crowded, "node"), "h", fits))
+            pairs = met_by(each.filter(F.col("members") <= CROWD), "value", fits)
+            crowded, n = gathered(each.filter(F.col("members") > CROWD).select("node", "n", "c").distinct())
+            if n:
+                pairs = pairs.union(met_by(rare_shingles(sets_of(small(crowded.select("node"), n)), least).join(crowded, "node"), "h", fits))
         else:
-            # the member that the others are compared with
-            met = cut_and_gather(found_rows.groupBy("value").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(salt))).alias("x")))
-            pairs = found_rows.join(met, "value").filter((F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
+            pairs = each.filter((F.col("c") != F.col("x.c")) & fits(F.col("n"), F.col("x.n")))
             pairs = pairs.select(F.col("x.node").alias("p"), F.col("node").alias("q"), F.col("x.c").alias("a"), F.col("c").alias("b"))
-        new = checked(pairs)
-    else:
-        roots = components(new).select(F.col("node").alias("r"), F.col("root").alias("to"))
-        named = named.join(roots, "r", "left").select("c", F.coalesce("to", "r").alias("r"))
-    named = cut_lineage(named.join(numbers.withColumnRenamed("c", "r"), "r").select("c", "component_id"))
-    return found.join(named, "c").select(F.col("key").alias(key), "component_id")
+        new, n = checked(pairs)
+    if n:
+        joined.append(new)
+    # all rounds' edges are between numbers, so together they make the components
+    if joined:
+        roots = components(functools.reduce(DataFrame.union, joined)).select(F.col("node").alias("c"), F.col("root").alias("r"))
+        found = found.join(roots, "c", "left").select("key", F.coalesce("r", "c").alias("c"))
+    return found.join(numbers, "c").select(F.col("key").alias(key), "component_id")

@@ -15,8 +15,8 @@ meetings become rarer by a power of two for each further bit of the key. The res
 What grows: one row for each distinct fingerprint and left-out bit (64 of 3 segments). Rows of one key never become
 pairs: each task compares a key's fingerprints in blocks and emits a spanning forest of the links, at most one
 row for each fingerprint and key. A key that holds more than ``most`` fingerprints is cut into blocks by hash, and each pair of blocks is compared in
-a task of its own, so no task holds more than two blocks. Copies of one fingerprint count once. Components come from alternating large-star and
-small-star steps, each an aggregation and an equi-join. A component's least id is aggregated before it is joined back.
+a task of its own, so no task holds more than two blocks. Copies of one fingerprint count once. For components each task contracts its own edges to
+stars; what doesn't fit one block by then goes through alternating large-star and small-star steps, each an aggregation and an equi-join. A component's least id is aggregated before it is joined back.
 
 Defined results: null text is empty text; no words give fingerprint 0, linked like any other; fewer words than a shingle
 give the whole sequence as one; repeated rows are rows of one class; an empty table gives an empty result; other
@@ -35,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_and_gather, cut_lineage, slices
+from .common import GATHERED, counted, cut_lineage, gathered, slices, small
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: Edges that a task contracts at once, some 50 bytes each.
+BLOCK_EDGES = 1_000_000
 
 
 def simhash(text: str, words: int = 4) -> int:
@@ -194,8 +196,8 @@ def _links(distance: int):
 def links(fps: DataFrame, distance: int = 4, segments: int = 3, most: int = 16_384) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that hold every component together."""
     found = variants(fps, segments, distance)
-    hot = cut_lineage(crowded(fps, segments, distance, most))
-    if not hot.isEmpty():
+    hot, n = counted(crowded(fps, segments, distance, most))
+    if n:
         # a block of a crowded key meets each other block of it in a task of their own
         block, parts = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.col("parts")
         others = F.filter(F.sequence(F.lit(0), parts - 1), lambda i: i != block)
@@ -214,10 +216,58 @@ def _are_stars(edges: DataFrame) -> bool:
     return not each.agg(F.count_if((F.col("uppers") > 1) | ((F.col("uppers") > 0) & (F.col("lower") > 0)))).first()[0]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each component that has an edge. ``edges``: columns a, b."""
-    now = cut_and_gather(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), and the least node of each one's component: roots hang below lesser ones until no edge joins two."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    low = np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[b]
+        open_ = x != y
+        if not open_.any():
+            return nodes, nodes[low]
+        np.minimum.at(low, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (low != low[low]).any():
+            low = low[low]
+
+
+def _contracted(edges: DataFrame, with_roots: bool = False) -> DataFrame:
+    """(u, v): of each block of ``BLOCK_EDGES`` edges in a partition the stars, v the least node; ``with_roots`` has a row (v, v) for each of those."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = least_nodes(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("u", "v")))
+        kept = slice(None) if with_roots else u != v
+        return pa.RecordBatch.from_arrays([pa.array(u[kept]), pa.array(v[kept])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_EDGES:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, rounds: int = 60, rows: int = GATHERED, n: int | None = None) -> DataFrame:
+    """(node, root): the least node of each component that has an edge. ``edges``: columns a, b.
+
+    Each task first contracts its blocks of edges to stars. Edges that fit one block (``rows``) are done by that; more
+    go through large-star and small-star steps, contracted before each, until the stars fit or nothing is left to move.
+    ``n`` tells the number of edges where they are gathered already.
+    """
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    if n is None or n > rows:
+        now, n = gathered(now.distinct(), rows)
     for _ in range(rounds):
+        if n > rows:
+            now, n = gathered(_contracted(now).distinct(), rows)
+        if n <= rows:
+            return _contracted(now, with_roots=True).toDF("node", "root")
         if _are_stars(now):
             break
         # u > v in each edge; upward edges go from the lesser node. No filter stands above a union: Spark 4.1's optimizer fails on some
@@ -226,7 +276,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = upward.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(least, "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = cut_and_gather(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now, n = gathered(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), rows)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -239,9 +289,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fingerprint, component_id): a row for each document; component_id is the least id of its component."""
     own = cut_lineage(with_fingerprint(docs, id_col, text_col, words))
-    least = cut_lineage(own.groupBy("fp").agg(F.min("id").alias("first")))
-    found = cut_lineage(links(least.select("fp"), distance, segments or segments_for(least.count(), distance), most))
-    roots = components(found).withColumnRenamed("node", "fp")
+    least, n = counted(own.groupBy("fp").agg(F.min("id").alias("first")))
+    found, n = gathered(links(least.select("fp"), distance, segments or segments_for(n, distance), most))
+    roots = small(components(found, n=n).withColumnRenamed("node", "fp"), n)
     joined = cut_lineage(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     # read anew on both sides, so that a component of very many fingerprints is split in the join, as is a fingerprint of very many copies below
     smallest = cut_lineage(joined.groupBy("root").agg(F.min("first").alias("component_id")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streamworks.llm import nearcopies
 from streamworks.llm.common import cut_and_gather
+from streamworks.llm.simhash import components
 
 
 def words(rng, k):
@@ -88,3 +89,32 @@ def test_rare_shingles_meet_for_every_near_pair(spark, least):
         a, b = set(sets[i].tolist()), set(sets[j].tolist())
         if len(a & b) >= least * len(a | b):
             assert held.get(i, set()) & held.get(j, set())
+
+
+def test_rounds_take_few_jobs(spark):
+    """The driver holds threads and plans for each job of a minute, so the jobs of all rounds are bounded."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    rng = random.Random(5)
+    texts = pages(20, 6)
+    texts += [f"{t} {rng.choice('xyz')}" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.struct("doc_id"))
+    began = jobs()
+    found = nearcopies.merged(df, df.select("key", F.col("key").alias("component_id")), "key").collect()
+    took = jobs() - began
+    assert {r.key.doc_id: r.component_id.doc_id for r in found} == linked(texts)
+    assert took < 120
+
+
+@pytest.mark.parametrize("rows", [100_000, 60])
+def test_components_of_chains_and_stars(spark, rows):
+    """Whether the edges fit one task or go through steps, also where each task's own are contracted first."""
+    rng = random.Random(8)
+    nodes = [rng.getrandbits(63) - (1 << 62) for _ in range(500)]
+    chain, star, ring = nodes[:300], nodes[300:400], nodes[400:]
+    edges = [*itertools.pairwise(chain), *((star[0], x) for x in star[1:]), *itertools.pairwise([*ring, ring[0]]), (chain[0], chain[0])]
+    rng.shuffle(edges)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    began = jobs()
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(4), rows=rows).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, min(part)) for part in (chain, star, ring) for x in part)
+    assert rows == 60 or jobs() - began < 8
